@@ -94,8 +94,7 @@ def ranked(df: DataFrame, within: list[str], order_hash: str, tie: str, rows: in
     from pyspark.sql import Window as W
 
     buckets = max(1, -(-rows // per_bucket))
-    step = (1 << 64) // buckets + 1
-    b = F.floor((F.col(order_hash).cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)")).cast("int")
+    b = F.shiftright((F.shiftright(order_hash, 32) + F.lit(1 << 31)) * F.lit(buckets), 32).cast("int")
     df = df.withColumn("_bucket", b if buckets > 1 else F.lit(0))
     keys = [*within, "_bucket"]
     inside = W.partitionBy(*keys).orderBy(order_hash, tie)
