@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import drift
 from ..runtime import table as t
 
 
@@ -12,7 +13,11 @@ def _source_overview(s, d):
     return x.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("vulnerable"))
 
 
-QUERIES = {"source_overview": _source_overview}
+QUERIES = {
+    "source_overview": _source_overview,
+    "p2_found": lambda s, d: drift.found_changes(t(s, d, "raw_lines")),
+    "p2_table": lambda s, d: drift.unified(t(s, d, "raw_lines")),
+}
 SQL = {"source_overview": "SELECT coalesce(lower(trim(source)),'unknown') AS source, count(*) AS n, count(*) FILTER (label = 1) AS vulnerable FROM samples GROUP BY 1"}
 
 
