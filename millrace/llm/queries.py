@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from ..runtime import table as t
-from . import canonical, grouping, mixing
+from . import canonical, grouping, leakage, mixing, overlap, packing
+
+
+_SPLITS = ("train_split", "valid_split", "test_split")
 
 
 def queries() -> dict:
@@ -15,6 +18,12 @@ def queries() -> dict:
         "p3_splits": lambda s, d: grouping.split_groups(t(s, d, "samples")),
         "p5_found": lambda s, d: canonical.found_copies(t(s, d, "samples")),
         "p5_collapsed": lambda s, d: canonical.collapse(t(s, d, "samples")).select("sample_id", "label", "source", "n_copies"),
+        "p4_found": lambda s, d: overlap.found_overlaps(*(t(s, d, x) for x in _SPLITS)),
+        "p4_report": lambda s, d: overlap.overlap_report(*(t(s, d, x) for x in _SPLITS)),
+        "p7_pack": lambda s, d: packing.pack(t(s, d, "documents"), t(s, d, "pack_limits")),
+        "p7_report": lambda s, d: packing.pack_report(t(s, d, "documents"), t(s, d, "pack_limits")),
+        "p8_found": lambda s, d: leakage.found_leaks(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p8_report": lambda s, d: leakage.leak_report(t(s, d, "documents"), t(s, d, "eval_items")),
     }
 
 
