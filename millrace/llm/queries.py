@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table as t
-from . import canonical, grouping, leakage, mixing, overlap, packing
+from . import canonical, grouping, leakage, mixing, overlap, packing, sentences
 
 
 _SPLITS = ("train_split", "valid_split", "test_split")
@@ -24,6 +24,7 @@ def queries() -> dict:
         "p7_report": lambda s, d: packing.pack_report(t(s, d, "documents"), t(s, d, "pack_limits")),
         "p8_found": lambda s, d: leakage.found_leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_report": lambda s, d: leakage.leak_report(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p9_found": lambda s, d: sentences.found_sentences(t(s, d, "documents")),
     }
 
 
