@@ -33,6 +33,7 @@ _RULE = re.compile(r"[ \t]*(=+|-{3,}|_{3,}|\*{3,})[ \t]*$")
 _TOKEN = re.compile(r"\S+")
 _THAI = re.compile("[฀-๿]")
 _CJK = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
+_CJK_START = re.compile("[。！？]\\s*([぀-ヿ㐀-鿿]{2})")
 _STRIP = "\"'“”„‘’«»()[]{}「」『』（）《》〈〉,;:!?…。！？।؟،؛、，；：-–—"
 _HARD = "!?。！？।॥؟۔｡．"
 
@@ -86,7 +87,7 @@ def blocks(text: str):
 
 
 def shape(token: str) -> str:
-    """U capital, l plain lower case, i identifier, d digit, o other, by what a token begins with."""
+    """U capital, l lower case (words, file names), i identifier, d digit, o other, by what a token begins with."""
     t = token.lstrip(_STRIP)
     if not t:
         return "o"
@@ -96,7 +97,7 @@ def shape(token: str) -> str:
     if not c.isalpha():
         return "i" if c == "_" else "o"
     core = t.rstrip(_STRIP + ".")
-    if "_" in core or "(" in core or (c.islower() and (any(x.isdigit() for x in core) or "." in core)):
+    if "_" in core or "(" in core or (c.islower() and any(x.isdigit() for x in core) and "." not in core):
         return "i"
     if _CJK.match(c) or _THAI.match(c):
         return "o"
@@ -105,10 +106,12 @@ def shape(token: str) -> str:
     return "l" if c.islower() else "o"
 
 
-def word(token: str) -> str:
-    t = token.strip(_STRIP).lower()
+def word(token: str, lower: bool = True) -> str:
+    t = token.strip(_STRIP)
+    if lower:
+        t = t.lower()
     if t.endswith("."):
-        t = t.rstrip(".")
+        t = t.rstrip(".").rstrip(_STRIP)
     return "#" if t and t[-1].isdigit() and t[0] in "0123456789.,$€£-+" and not any(x.isalpha() for x in t) else t
 
 
@@ -122,8 +125,14 @@ def count(text: str, lang: str, into: Counter) -> None:
             tokens = tokens[1:]
         fresh = kind != "head"
         prev = None
+        for m in _CJK_START.finditer(text, a, b):
+            for g in (lang, "*"):
+                into[g, "open", m[1], "", ""] += 1
+        if kind == "para" and _CJK.match(text[a]):
+            for g in (lang, "*"):
+                into[g, "open", text[a : a + 2], "", ""] += 1
         for t in tokens:
-            w = word(t)
+            w = word(t, lower=False)
             if not w:
                 continue
             for g in (lang, "*"):
@@ -134,7 +143,10 @@ def count(text: str, lang: str, into: Counter) -> None:
                     into[g, "pair", prev, w, shape(t)] += 1
             tail = t.rstrip("\"'”’»)]}」』）")
             fresh = tail[-1:] in tuple(_HARD) and tail == t
-            prev = w if tail == t and t.endswith(".") and not t.endswith("..") else None
+            if t.endswith(".") and not t.endswith(".."):
+                for g in (lang, "*"):
+                    into[g, "dot", word(t, lower=False), "", ""] += 1
+            prev = word(t, lower=False) if tail == t and t.endswith(".") and not t.endswith("..") else None
 
 
 _COUNTS = "lang string, kind string, a string, b string, s string, n long"
@@ -162,9 +174,11 @@ class Model:
 
     def __init__(self):
         self.starters: dict[str, set] = {}
+        self.openings: dict[str, set] = {}  # first two characters of sentences in scripts without spaces
         self.abbreviations: dict[str, set] = {}
         self.ordinals: dict[str, set] = {}
-        self.final: dict[str, set] = {}
+        self.final: dict[str, set] = {}  # abbreviations that often end sentences
+        self.plain: dict[str, set] = {}  # words whose period does end sentences, whatever they look like
 
 
 def learn(documents: DataFrame) -> Model:
@@ -185,19 +199,32 @@ def learn(documents: DataFrame) -> Model:
     model = Model()
     for r in starter.collect():
         model.starters.setdefault(r["lang"], set()).add(r["a"])
-    pairs = c.where("kind = 'pair'").join(F.broadcast(starter.select("lang", F.col("a").alias("b"), F.lit(1).alias("is_start"))), ["lang", "b"], "left")
-    cont = F.col("s").isin("l", "d") | ((F.col("s") == "U") & F.col("is_start").isNull())
+    opens = c.where("kind = 'open'").select("lang", "a", "n")
+    opens = opens.join(opens.groupBy("lang").agg(F.sum("n").alias("O")), "lang").where((F.col("n") >= MIN_COUNT) & (F.col("n") >= 5e-4 * F.col("O")))
+    for r in opens.collect():
+        model.openings.setdefault(r["lang"], set()).add(r["a"])
+    own = F.broadcast(starter.select("lang", F.col("a").alias("b"), F.lit(1).alias("own")))
+    any_ = F.broadcast(starter.where("lang = '*'").select(F.col("a").alias("b"), F.lit(1).alias("any")))
+    pairs = c.where("kind = 'pair'").join(own, ["lang", "b"], "left").join(any_, "b", "left")
+    cont = F.col("s").isin("l", "d") | ((F.col("s") == "U") & F.coalesce("own", "any").isNull())
     per = pairs.groupBy("lang", "a").agg(F.sum("n").alias("np"), F.sum(F.when(cont, F.col("n")).otherwise(0)).alias("nk"))
     all_ = per.groupBy("lang").agg(F.sum("np").alias("tp"), F.sum("nk").alias("tk"))
     x = per.join(all_, "lang")
     k, n = F.col("nk").cast("double"), F.col("np").cast("double")
     rn = F.greatest(F.col("tp") - F.col("np"), F.lit(1)).cast("double")
     rk = F.least(F.greatest(F.col("tk") - F.col("nk"), F.lit(0)).cast("double"), rn)
-    abbr = x.where("a <> '#'").where(enough("np", "tp")).where((k / n >= 0.35) & ((_llr(k, n, rk, rn) > LLR) & (k / n > rk / rn) | (k / n >= 0.9)))
+    # an abbreviation has its period in most of its uses, and no dot inside but between one or two letters
+    dots = c.where("kind = 'dot'").select("lang", "a", F.col("n").alias("dots"))
+    uses = words.select("lang", "a", F.col("all").alias("uses"))
+    x = x.where(r"a rlike '^(\\p{L}{1,2}[.])*\\p{L}{1,2}$|^[^.]+$'").join(dots, ["lang", "a"]).join(uses, ["lang", "a"])
+    abbr = x.where("a <> '#' and dots >= 0.5 * uses").where(enough("np", "tp")).where((k / n >= 0.35) & ((_llr(k, n, rk, rn) > LLR) & (k / n > rk / rn) | (k / n >= 0.9)))
     for r in abbr.select("lang", "a", (k / n).alias("rate")).collect():
         model.abbreviations.setdefault(r["lang"], set()).add(r["a"])
         if r["rate"] < 0.75:
             model.final.setdefault(r["lang"], set()).add(r["a"])
+    plain = x.where("a <> '#'").where(enough("np", "tp")).where((k / n < 0.1) & ((F.length("a") == 1) | F.col("a").contains(".")))
+    for r in plain.select("lang", "a").collect():
+        model.plain.setdefault(r["lang"], set()).add(r["a"])
     o = c.where("kind = 'pair' and a = '#' and s = 'U'").select("lang", "b", F.col("n").alias("k")).join(words.withColumnRenamed("a", "b"), ["lang", "b"])
     o = o.join(c.where("kind = 'pair' and a = '#'").groupBy("lang").agg(F.sum("n").alias("P")), "lang").join(tot.select("lang", "N"), "lang").join(starts.select("lang", F.col("a").alias("b"), "st"), ["lang", "b"], "left")
     kk, nn = F.col("k").cast("double"), F.col("P").cast("double")
@@ -249,6 +276,8 @@ class Cutter:
     def __init__(self, model: Model, lang: str):
         both = lambda m: m.get(lang, set()) | m.get("*", set())
         self.starters, self.abbreviations, self.ordinals = both(model.starters), both(model.abbreviations), both(model.ordinals)
+        self.openings = both(model.openings)
+        self.plain = both(model.plain) - self.abbreviations
         self.final = model.final.get(lang, set()) if lang in model.abbreviations else model.final.get("*", set())
 
     def ends(self, text: str) -> list[int]:
@@ -305,14 +334,17 @@ class Cutter:
         if _CJK.match(tok[:1]) or _THAI.match(tok[:1]) or (tok and shape(tok) == "o"):
             if bracket:
                 return alone
-            cut = text[e : e + 1]
-            return alone and cut.isspace()
+            if _CJK.match(tok[:1]):
+                return tok[:2] in self.openings
+            if _THAI.match(tok[:1]):
+                return nxt.isspace()
+            return word(tok, lower=False) in self.starters
         if not nxt.isspace():
             return bracket and alone
         s = shape(tok)
         if bracket and alone:
             return True
-        return s == "U" or (s == "i" and tok.lstrip(_STRIP)[:1].islower() and word(tok) in self.starters) or s == "d" and alone or (s == "i" and ("_" in tok or "(" in tok))
+        return s == "U" or (s == "i" and tok.lstrip(_STRIP)[:1].islower() and word(tok, lower=False) in self.starters) or s == "d" and alone or (s == "i" and ("_" in tok or "(" in tok))
 
     def _ends(self, text, a, b, e, marks) -> bool:
         nxt = text[e]
@@ -325,15 +357,15 @@ class Cutter:
                 return False
             return nxt not in ",;:、，；：،؛"
         if not nxt.isspace():
-            return bool(_CJK.match(nxt)) and a > 0 and not (text[a - 1].isascii() and text[a - 1].isalnum()) and False
+            return False
         s = a
         while s > 0 and not text[s - 1].isspace():
             s -= 1
         tok = text[s:b]
         core = tok.lstrip(_STRIP)
-        w = word(core)
+        w = word(core, lower=False)
         after = self._next(text, e)
-        sh, nw = shape(after), word(after)
+        sh, nw = shape(after), word(after, lower=False)
         starts = nw in self.starters
         opened = after[:1] in OPEN or after[:1] in "\"'"
         if w == "#":
@@ -343,7 +375,8 @@ class Cutter:
         bare = core[:-1]
         letter = len(bare) == 1 and bare.isalpha()
         dotted = "." in bare and all(len(p) <= 2 and p.isalpha() for p in bare.split(".") if p)
-        if w in self.abbreviations or letter or dotted:
+        known = w in self.abbreviations or (w[:1].isupper() and w[1:].islower() and w.lower() in self.abbreviations and w not in self.plain)
+        if known or (letter or dotted) and w not in self.plain:
             if sh == "U":
                 return starts and not (letter and bare.isupper() and len(nw) == 1)
             return sh in "io" and w in self.final
