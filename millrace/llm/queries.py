@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table as t
-from . import canonical, grouping, leakage, mixing, overlap, packing, sentences
+from . import canonical, grouping, leakage, mixing, overlap, packing, sentences, unparsable
 
 
 _SPLITS = ("train_split", "valid_split", "test_split")
@@ -20,6 +20,8 @@ def queries() -> dict:
         "p5_collapsed": lambda s, d: canonical.collapse(t(s, d, "samples")).select("sample_id", "label", "source", "n_copies"),
         "p4_found": lambda s, d: overlap.found_overlaps(*(t(s, d, x) for x in _SPLITS)),
         "p4_report": lambda s, d: overlap.overlap_report(*(t(s, d, x) for x in _SPLITS)),
+        "p6_found": lambda s, d: unparsable.found_unparsable(t(s, d, "repo_commits")),
+        "p6_rates": lambda s, d: unparsable.rates(t(s, d, "repo_commits")),
         "p7_pack": lambda s, d: packing.pack(t(s, d, "documents"), t(s, d, "pack_limits")),
         "p7_report": lambda s, d: packing.pack_report(t(s, d, "documents"), t(s, d, "pack_limits")),
         "p8_found": lambda s, d: leakage.found_leaks(t(s, d, "documents"), t(s, d, "eval_items")),
