@@ -107,7 +107,7 @@ def _lines(patch) -> Column:
 def _side(lines: Column, mark: str, context) -> Column:
     own = lambda l: l.startswith(mark)
     picked = F.filter(lines, lambda l: own(l) | context(l))
-    text = F.array_join(F.transform(picked, lambda l: F.when(own(l) | l.startswith(" "), F.expr("substring(l, 2)") if False else F.substr(l, F.lit(2))).otherwise(l)), "\n")
+    text = F.array_join(F.transform(picked, lambda l: F.when(own(l) | l.startswith(" "), F.substr(l, F.lit(2))).otherwise(l)), "\n")
     return F.nullif(strip(text), F.lit(""))
 
 
