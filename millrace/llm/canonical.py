@@ -162,7 +162,7 @@ def collapse(samples: DataFrame) -> DataFrame:
     name is replaced.
     """
     groups, _ = copy_groups(samples)
-    marks = groups.select(F.col("sample_id").alias("_id"), F.col("first_id").alias("_first"), F.col("copies").alias("_copies"))
+    marks = groups.select(F.col("sample_id").alias("__id"), F.col("first_id").alias("__first"), F.col("copies").alias("__copies"))
     s = samples.drop("n_copies")
-    joined = s.join(marks, s["sample_id"] == marks["_id"], "left").where("_id is null or _id = _first")
-    return joined.withColumn("n_copies", F.coalesce("_copies", F.lit(1)).cast("long")).drop("_id", "_first", "_copies")
+    joined = s.join(marks, s["sample_id"] == marks["__id"], "left").where("__id is null or __id = __first")
+    return joined.withColumn("n_copies", F.coalesce("__copies", F.lit(1)).cast("long")).drop("__id", "__first", "__copies")

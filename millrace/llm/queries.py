@@ -30,5 +30,35 @@ def queries() -> dict:
     }
 
 
+_RUNS = """list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"""
+_WORDS = r"""regexp_extract_all(regexp_replace(lower(text), '([\x{3040}-\x{30FF}\x{3400}-\x{9FFF}])', ' \1 ', 'g'), '[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]|[\p{L}\p{N}]+')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": """WITH l AS (SELECT run_id, collectors FROM (SELECT run_id, collectors, row_number() OVER (PARTITION BY run_id ORDER BY written_at DESC) AS r FROM collection_results) WHERE r = 1),
+            c AS (SELECT run_id, lower(trim(k)) AS k, coalesce(v.samples_collected, 0) AS n FROM (SELECT run_id, unnest(map_keys(collectors)) AS k, unnest(map_values(collectors)) AS v FROM l)),
+            s AS (SELECT run_id, k, sum(n) AS n FROM c GROUP BY 1, 2), total AS (SELECT run_id, sum(n) AS n FROM c GROUP BY 1)
+            SELECT total.run_id, m.source FROM total CROSS JOIN mix_targets m LEFT JOIN s ON s.run_id = total.run_id AND s.k = m.collector
+            WHERE m.target_pct * total.n > 100 * m.max_repeats * coalesce(s.n, 0)""",
+        "p3_found": r"""WITH RECURSIVE x AS (SELECT sample_id, coalesce('e' || lower(trim(metadata.ecosystem)), 'n') AS eco, unnest(regexp_split_to_array(lower(metadata.package_name), '[,;|\r\n]')) AS name FROM samples),
+            k AS (SELECT sample_id, eco || chr(1) || regexp_replace(name, '[^\p{L}\p{N}]+', '', 'g') AS key FROM x WHERE regexp_replace(name, '[^\p{L}\p{N}]+', '', 'g') <> ''),
+            e AS (SELECT DISTINCT a.key AS a, b.key AS b FROM k a JOIN k b USING (sample_id)),
+            r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+            f AS (SELECT key, min(sample_id) AS first FROM k GROUP BY 1), g AS (SELECT r.a AS key, min(f.first) AS group_id FROM r JOIN f ON f.key = r.b GROUP BY 1),
+            m AS (SELECT DISTINCT k.sample_id, g.group_id FROM k JOIN g USING (key))
+            SELECT sample_id, group_id FROM m WHERE group_id IN (SELECT group_id FROM m GROUP BY 1 HAVING count(*) > 1)""",
+        "p4_found": f"""WITH a AS (SELECT row_id, s, list_transform(regexp_extract_all(code, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM (SELECT row_id, code, 't' AS s FROM train_split UNION ALL SELECT row_id, code, 'e' FROM valid_split UNION ALL SELECT row_id, code, 'e' FROM test_split) WHERE code IS NOT NULL),
+            b AS (SELECT row_id, s, {_RUNS} AS g FROM a WHERE len(w) >= 3), u AS (SELECT row_id, s, len(g) AS n, unnest(g) AS h FROM b)
+            SELECT least(x.row_id, y.row_id) AS id_a, greatest(x.row_id, y.row_id) AS id_b FROM u x JOIN u y USING (h) WHERE x.s = 't' AND y.s = 'e'
+            GROUP BY x.row_id, y.row_id, x.n, y.n HAVING count(*) >= 0.6 * (x.n + y.n - count(*))""",
+        "p5_found": r"""WITH x AS (SELECT sample_id, label, regexp_replace(lower(code), '[^\p{L}\p{N}]+', '', 'g') AS c, attrs FROM samples WHERE label IS NOT NULL AND code IS NOT NULL),
+            j AS (SELECT sample_id, string_agg(t.fullkey || '=' || coalesce(t.atom::VARCHAR, ''), ',' ORDER BY t.fullkey) AS a FROM x, json_tree(x.attrs) t GROUP BY 1),
+            y AS (SELECT x.sample_id, min(x.sample_id) OVER (PARTITION BY label, c, attrs IS NULL, j.a) AS first_id FROM x LEFT JOIN j USING (sample_id) WHERE c <> '')
+            SELECT first_id, sample_id AS copy_id FROM y WHERE first_id <> sample_id""",
+        "p8_found": f"""WITH i AS (SELECT item_id, CASE WHEN lang IN ('zh', 'ja') THEN 24 ELSE 12 END AS n, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+            d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+            iw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g FROM i WHERE len(w) >= n),
+            dw AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12 UNION ALL SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 22), lambda k: array_to_string(w[k:k + 23], ' '))) FROM d WHERE len(w) >= 24)
+            SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+    }
