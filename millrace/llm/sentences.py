@@ -6,8 +6,9 @@ into three lists: words that start sentences; words whose period is followed by
 abbreviation); and words that follow the period of a number, as in German ordinals and dates (a collocation). The
 second pass cuts each text into blocks (headings, list items, fences, paragraphs) and classifies every terminator.
 
-A list keeps only words with at least MIN_COUNT uses and MIN_SHARE of its language's counted events, so each
-list has at most 1 / MIN_SHARE words and may be broadcast at any size of the corpus.
+A list keeps only words with at least MIN_COUNT uses and MIN_SHARE of its language's counted events, and only
+languages with LANGUAGE_SHARE of all words have lists of their own; so there are at most 1 / LANGUAGE_SHARE + 1
+languages with lists of at most 1 / MIN_SHARE words, which may be broadcast at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_COUNT, MIN_SHARE = 3, 1e-5
+MIN_COUNT, MIN_SHARE, LANGUAGE_SHARE = 3, 1e-5, 1e-3
+#: Capitals that start no sentence speak for an abbreviation only after words as short as titles.
+TITLE = 5
 #: 99.9 % of the chi-squared distribution with one degree of freedom.
 LLR = 10.83
 
@@ -126,26 +129,22 @@ def count(text: str, lang: str, into: Counter) -> None:
         fresh = kind != "head"
         prev = None
         for m in _CJK_START.finditer(text, a, b):
-            for g in (lang, "*"):
-                into[g, "open", m[1], "", ""] += 1
+            into[lang, "open", m[1], "", ""] += 1
         if kind == "para" and _CJK.match(text[a]):
-            for g in (lang, "*"):
-                into[g, "open", text[a : a + 2], "", ""] += 1
+            into[lang, "open", text[a : a + 2], "", ""] += 1
         for t in tokens:
             w = word(t, lower=False)
             if not w:
                 continue
-            for g in (lang, "*"):
-                into[g, "word", w, "", ""] += 1
-                if fresh:
-                    into[g, "start", w, "", ""] += 1
-                if prev is not None:
-                    into[g, "pair", prev, w, shape(t)] += 1
+            into[lang, "word", w, "", ""] += 1
+            if fresh:
+                into[lang, "start", w, "", ""] += 1
+            if prev is not None:
+                into[lang, "pair", prev, w, shape(t)] += 1
             tail = t.rstrip("\"'”’»)]}」』）")
             fresh = tail[-1:] in tuple(_HARD) and tail == t
             if t.endswith(".") and not t.endswith(".."):
-                for g in (lang, "*"):
-                    into[g, "dot", word(t, lower=False), "", ""] += 1
+                into[lang, "dot", word(t, lower=False), "", ""] += 1
             prev = word(t, lower=False) if tail == t and t.endswith(".") and not t.endswith("..") else None
 
 
@@ -186,7 +185,12 @@ def learn(documents: DataFrame) -> Model:
     from ..runtime import settle
 
     raw = documents.select("text", "lang").mapInArrow(_count_batches, _COUNTS)
-    c = settle(raw.groupBy("lang", "kind", "a", "b", "s").agg(F.sum("n").alias("n")))
+    each = settle(raw.groupBy("lang", "kind", "a", "b", "s").agg(F.sum("n").alias("n")))
+    # a language counts if it has its share of all words; the others are cut by what was learned over all
+    size = each.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("w"))
+    large = size.join(F.broadcast(size.agg(F.sum("w").alias("all_w")))).where(F.col("w") >= LANGUAGE_SHARE * F.col("all_w")).select("lang")
+    every = each.groupBy("kind", "a", "b", "s").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "kind", "a", "b", "s", "n")
+    c = settle(each.join(F.broadcast(large), "lang").select(every.columns).unionByName(every))
     words = c.where("kind = 'word'").select("lang", "a", F.col("n").alias("all"))
     starts = c.where("kind = 'start'").select("lang", "a", F.col("n").alias("st"))
     tot = words.groupBy("lang").agg(F.sum("all").alias("N")).join(starts.groupBy("lang").agg(F.sum("st").alias("S")), "lang")
@@ -206,7 +210,7 @@ def learn(documents: DataFrame) -> Model:
     own = F.broadcast(starter.select("lang", F.col("a").alias("b"), F.lit(1).alias("own")))
     any_ = F.broadcast(starter.where("lang = '*'").select(F.col("a").alias("b"), F.lit(1).alias("any")))
     pairs = c.where("kind = 'pair'").join(own, ["lang", "b"], "left").join(any_, "b", "left")
-    cont = F.col("s").isin("l", "d") | ((F.col("s") == "U") & F.coalesce("own", "any").isNull())
+    cont = F.col("s").isin("l", "d") | ((F.col("s") == "U") & F.coalesce("own", "any").isNull() & (F.length("a") <= TITLE))
     per = pairs.groupBy("lang", "a").agg(F.sum("n").alias("np"), F.sum(F.when(cont, F.col("n")).otherwise(0)).alias("nk"))
     all_ = per.groupBy("lang").agg(F.sum("np").alias("tp"), F.sum("nk").alias("tk"))
     x = per.join(all_, "lang")

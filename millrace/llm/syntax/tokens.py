@@ -178,14 +178,14 @@ def javascript_tokens(text: str):
 _C_KEYWORDS = set("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Complex _Imaginary _Alignas _Alignof _Atomic _Generic _Noreturn _Static_assert _Thread_local".split())
 _C_ALIAS = {"__inline": "inline", "__inline__": "inline", "__const": "const", "__const__": "const", "__volatile__": "volatile", "__volatile": "volatile", "__restrict": "restrict", "__restrict__": "restrict", "__signed__": "signed", "__thread": "_Thread_local", "asm": "asm", "__asm__": "asm", "__asm": "asm", "__attribute__": "__attribute__", "__attribute": "__attribute__", "__extension__": "__extension__", "typeof": "typeof", "__typeof__": "typeof", "__typeof": "typeof"}
 _C = re.compile(
-    r"""(?P<space>[ \t\v\f]+)|(?P<name>[A-Za-z_$]\w*)|(?P<num>\.?\d(?:[eEpP][+-]|[\w.])*)
-    |(?P<string>(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*")|(?P<char>[uUL]?'(?:[^'\\\n]|\\.)+')
+    r"""(?P<space>[ \t\v\f]+)|(?P<string>(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*")|(?P<char>[uUL]?'(?:[^'\\\n]|\\.)+')
+    |(?P<name>[A-Za-z_$]\w*)|(?P<num>\.?\d(?:[eEpP][+-]|[\w.])*)
     |(?P<op>%:%:|<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||\*=|/=|%=|\+=|-=|&=|\^=|\|=|\#\#|[\[\](){}.&*+\-~!/%<>^|?:;=,\#])""",
     re.X,
 )
 _C_COMMENT = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)+\'|/\*', re.S)
 _C_DIRECTIVE = re.compile(r"[ \t]*(?:#|%:)[ \t]*(\w*)(.*)", re.S)
-_C_NUM = re.compile(r"(?:0[xX][\da-fA-F']+(?:\.[\da-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[uUlLfFiIjJzZ]*")
+_C_NUM = re.compile(r"(?:(?:0[xX][\da-fA-F]+|0[bB][01]+|0[0-7]*|[1-9]\d*)[uUlLiIjJ]*|0[xX](?:[\da-fA-F]*\.[\da-fA-F]+|[\da-fA-F]+\.?)[pP][+-]?\d+[fFlL]?|(?:(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+)[fFlLiIjJ]*)")
 
 
 def _strip_comment(m: re.Match) -> str:
