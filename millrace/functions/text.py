@@ -10,9 +10,15 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import constants as K
 
+# types as objects: this module is imported before there is a session
+_INT = T.IntegerType()
+_COUNTS = T.StructType([T.StructField(n, _INT) for n in ("loops", "conditionals", "function_calls", "try_blocks", "string_ops")])
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", _INT), T.StructField("end", _INT)]))
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -204,7 +210,7 @@ def line_metrics(x) -> Column:
     return F.struct(n(F.size(lines), 1000).alias("loc"), n(F.size(own), 1000).alias("sloc"), *(n(F.regexp_count(c, F.lit(p)), cap).alias(a) for a, p, cap in (("sql_concat", K.SQL_CONCAT, 50), ("execute_calls", K.EXECUTE_CALL, 20), ("user_input", K.USER_INPUT, 20))))
 
 
-@F.pandas_udf("loops int, conditionals int, function_calls int, try_blocks int, string_ops int")
+@F.pandas_udf(_COUNTS)
 def syntax_counts(code: pd.Series) -> pd.DataFrame:
     """Loops, conditionals, calls, try blocks and additions or multiplications of Python code; zeros where it does not parse."""
     kinds = ((ast.For, ast.While, ast.AsyncFor), (ast.If, ast.IfExp), (ast.Call,), (ast.Try,))
@@ -227,7 +233,7 @@ def risky_count(x) -> Column:
     return F.coalesce(sum((F.regexp_count(_c(x), F.lit(p)) for p in K.RISKY_PATTERNS), F.lit(0)), F.lit(0))
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(_SPANS)
 def risky_spans(code: pd.Series) -> pd.Series:
     """(start, end) of each match, pattern by pattern in the order of the list."""
     ps = [re.compile(p) for p in K.RISKY_PATTERNS]

@@ -71,10 +71,11 @@ def roc_auc(df: DataFrame, truth: str, prob: str) -> DataFrame:
 
     Distinct scores are aggregated first; only their running counts need an order.
     """
-    g = df.where(F.col(truth).isin(0, 1) & F.col(prob).isNotNull()).groupBy(prob).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy(prob).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = g.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("P"), F.sum("n").alias("N"))
-    return s.select(F.round(ratio(F.col("u"), F.coalesce(F.col("P") * F.col("N"), F.lit(0))), 6).alias("auc"))
+    x = df.where(F.col(truth).isin(0, 1) & F.col(prob).isNotNull()).select(F.col(prob).alias("score"), F.col(truth).alias("truth"))
+    g = x.groupBy("score").agg(F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = g.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    return s.select(F.round(ratio(F.col("u"), F.coalesce(F.col("all_pos") * F.col("all_neg"), F.lit(0))), 6).alias("auc"))
 
 
 def ensemble_mean(preds: DataFrame, row: str, prob: str, label: str) -> DataFrame:

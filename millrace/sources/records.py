@@ -39,8 +39,9 @@ def described(head, body) -> Column:
 
 def from_osv(docs: DataFrame, json_col: str, ecosystem: Column | None = None) -> DataFrame:
     """Documents without an affected package name drop out."""
-    d = docs.withColumn("d", F.from_json(json_col, OSV)).where("d.affected[0].package.name <> ''")
-    name, first = F.col("d.affected")[0]["package"]["name"], F.get("d.severity", F.lit(0))
+    d = docs.withColumn("d", F.from_json(json_col, OSV))
+    name, first = F.get("d.affected", F.lit(0))["package"]["name"], F.get("d.severity", F.lit(0))
+    d = d.where(name != "")
     severity = F.when(F.size(F.coalesce("d.severity", F.array().cast("array<struct<type:string,score:string,severity:string>>"))) == 0, "UNKNOWN").when(first["type"] == "CVSS_V3", F.when(F.contains(first["score"], F.lit("/")), "HIGH").otherwise("MEDIUM")).otherwise(F.upper(F.coalesce(first["severity"], F.lit("UNKNOWN"))))
     about = F.coalesce(F.nullif("d.details", F.lit("")), "d.summary")
     return canonical(d, sample_id=F.col("d.id"), source=F.lit("osv"), description=described(F.col("d.summary"), F.col("d.details")), severity=severity, ecosystem=ecosystem if ecosystem is not None else F.lit(None), vulnerability_type=X.first_keyword(about, K.TYPE_KEYWORDS), vulnerable_code=F.concat(F.lit("# Vulnerable package: "), name, F.lit(" (see references)")), fixed_code=F.concat(F.lit("# Fixed package: "), name, F.lit(" (see references)")), published_at=F.col("d.published"), modified_at=F.col("d.modified"), package_name=name, refs=urls(F.col("d.references")))
