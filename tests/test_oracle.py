@@ -7,11 +7,11 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import core, graph_plans, stats_plans, text_plans
+from millrace.plans import core, extra_plans, graph_plans, stats_plans, text_plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-PLANS = (core, text_plans, stats_plans, graph_plans)
+PLANS = (core, text_plans, stats_plans, graph_plans, extra_plans)
 QUERIES = {k: v for m in PLANS for k, v in m.queries().items()}
 SQL = {k: v for m in PLANS for k, v in m.oracle_sql().items()}
 
