@@ -208,13 +208,13 @@ def _(s, d):
     return x.select("vec_id", F.round(F.get(head("f"), F.lit(0)), 3).alias("z"))
 
 
-@query("ml2_graph_layer", "WITH e AS (SELECT DISTINCT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey), g AS (SELECT src, count(*) AS deg FROM e GROUP BY 1) SELECT e.dst AS node, round(greatest(0, sum(s.s_acctbal / sqrt(g.deg)) / sqrt(any_value(h.deg))), 1) AS h FROM e JOIN g ON g.src = e.src JOIN g h ON h.src = e.dst JOIN supplier s ON s.s_suppkey = e.src GROUP BY 1")
+@query("ml2_graph_layer", "WITH e AS (SELECT DISTINCT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey), g AS (SELECT src, count(*) AS deg FROM e GROUP BY 1) SELECT e.dst AS node, round(greatest(0, sum(s.s_acctbal / sqrt(g.deg)) / sqrt(any_value(h.deg))), 5) AS h FROM e JOIN g ON g.src = e.src JOIN g h ON h.src = e.dst JOIN supplier s ON s.s_suppkey = e.src GROUP BY 1")
 def _(s, d):
     x = t(s, d, "supplier")
     nodes = x.select(F.lit(1).alias("graph"), F.col("s_suppkey").alias("node"), F.array("s_acctbal").alias("h"))
     k = x.select(F.col("s_suppkey").alias("src"), "s_nationkey")
     edges = k.join(k.withColumnRenamed("src", "dst"), "s_nationkey").select(F.lit(1).alias("graph"), "src", "dst")
-    return M.graph_layer(nodes, edges).select("node", F.round(F.get("h", F.lit(0)), 1).alias("h"))
+    return M.graph_layer(nodes, edges).select("node", F.round(F.get("h", F.lit(0)), 5).alias("h"))
 
 
 @query("ml12_mean_logits", "SELECT user_id, CASE WHEN avg(value) > avg(100 - value) THEN 1 ELSE 0 END AS label FROM events WHERE value IS NOT NULL GROUP BY 1")

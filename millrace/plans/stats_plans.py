@@ -530,9 +530,11 @@ def _(s, d):
     return Z.accepted(t(s, d, "events"), "user_id", "ts", "event_id", 2, 86_400)
 
 
-@query("wn17_running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 3) AS mean FROM events")
+@query("wn17_running_mean", "SELECT event_id, round(sum(value) OVER w, 2) / count(value) OVER w AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def _(s, d):
-    return t(s, d, "events").select("event_id", F.round(F.avg("value").over(W.partitionBy("user_id").orderBy("ts", "event_id")), 3).alias("mean"))
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    # values have two decimals; the rounded sum is the same whatever the order of adding
+    return t(s, d, "events").select("event_id", F.try_divide(F.round(F.sum("value").over(w), 2), F.count("value").over(w)).alias("mean"))
 
 
 @query("wn18_merged_ranges", "SELECT user_id, min(a) AS a, max(b) AS b, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a, b) AS g FROM (SELECT *, CASE WHEN coalesce(a > max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 60, true) THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT user_id, event_id AS a, event_id + 40 AS b FROM events))) GROUP BY user_id, g")

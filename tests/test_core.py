@@ -219,7 +219,7 @@ def test_files(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text('{"id": "1", "n": 2}\n\nbroken {\n{"id": "2"}\n')
     assert files.read_jsonl(spark, str(p), "id string, n long", source="s").where("id is not null").count() == 2
-    assert files.read_jsonl(spark, str(p), "id string, n long", bad="keep").select("id", "_bad_line").where("_bad_line is not null").count() == 1
+    assert sum(r["_bad_line"] is not None for r in files.read_jsonl(spark, str(p), "id string, n long", bad="keep").collect()) == 1
     assert files.rejected(spark, str(p), "id string, n long").count() == 1
     with pytest.raises(Exception):  # noqa: B017
         files.read_jsonl(spark, str(p), "id string, n long", bad="fail").collect()
