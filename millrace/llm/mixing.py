@@ -71,13 +71,13 @@ def short_sources(results: DataFrame, targets: DataFrame) -> DataFrame:
     The horizon is the run's total. A source can serve max_repeats x samples blocks; it falls short if the first
     block beyond those is released before the horizon. For whole numbers that is target_pct * total > 100 * supply.
     """
-    rows = read_targets(targets)
+    rows = [r for r in read_targets(targets) if r["target_pct"] > 0]
     if not rows:
         return results.select("run_id", F.lit("").alias("source")).limit(0)
     period = sum(r["target_pct"] for r in rows)
     runs = run_counts(results)
     total = F.aggregate("c", F.lit(0).cast("long"), lambda a, e: a + e["n"])
-    each = F.array(*[F.struct(F.lit(r["source"]).alias("source"), F.lit((r["collector"] or "").strip().lower()).alias("col"), F.lit(int(r["target_pct"])).cast("long").alias("w"), F.lit(int(r["max_repeats"] or 0)).cast("long").alias("cap")) for r in rows if r["target_pct"] > 0])
+    each = F.array(*[F.struct(F.lit(r["source"]).alias("source"), F.lit((r["collector"] or "").strip().lower()).alias("col"), F.lit(int(r["target_pct"])).cast("long").alias("w"), F.lit(int(r["max_repeats"] or 0)).cast("long").alias("cap")) for r in rows])
     x = runs.select("run_id", "c", total.alias("total"), F.explode(each).alias("t"))
     supply = F.aggregate(F.filter("c", lambda e: e["k"] == F.col("t.col")), F.lit(0).cast("long"), lambda a, e: a + e["n"]) * F.col("t.cap")
     release = F.expr(f"supply * {period} div t.w")  # of block supply + 1

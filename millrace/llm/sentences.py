@@ -242,28 +242,38 @@ def _spans(text: str) -> list[int]:
     """For each position the depth of quotes and brackets around it, counting only pairs that close in this text."""
     depth = [0] * (len(text) + 1)
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # how often each closer is on the stack: no search for one that is not
     pairs = []
+
+    def push(closer, i):
+        stack.append((closer, i))
+        waiting[closer] += 1
+
+    def close(closer, i):
+        """Pair with the nearest opener; those above it are left without partner."""
+        while True:
+            c, at = stack.pop()
+            waiting[c] -= 1
+            if c == closer:
+                pairs.append((at, i))
+                return
+
     for i, ch in enumerate(text):
         if ch == '"' or ch == "'":
             before, after = text[i - 1 : i], text[i + 1 : i + 2]
             opens = (not before or before.isspace() or before in "([{«“„—–-（「:" or bool(_CJK.match(before))) and after and not after.isspace()
-            held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch), None)
-            if ch == "'" and not opens and held is None:
+            if ch == "'" and not opens and not waiting[ch]:
                 continue
-            if held is not None and not (opens and before and before.isspace() and ch == "'"):
+            if waiting[ch] and not (opens and before and before.isspace() and ch == "'"):
                 if ch == "'" and after and after.isalnum():
                     continue
-                pairs.append((stack[held][1], i))
-                del stack[held:]
+                close(ch, i)
             elif opens:
-                stack.append((ch, i))
-            continue
-        held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch), None)
-        if held is not None:
-            pairs.append((stack[held][1], i))
-            del stack[held:]
+                push(ch, i)
+        elif waiting[ch]:
+            close(ch, i)
         elif ch in OPEN and not (ch == "‘" and text[i - 1 : i].isalnum()):
-            stack.append((OPEN[ch], i))
+            push(OPEN[ch], i)
     for a, b in pairs:
         depth[a] += 1
         depth[b] -= 1
@@ -329,7 +339,10 @@ class Cutter:
         k = a
         while k > 0 and depth[k - 1]:
             k -= 1
-        alone = not text[:k].strip() or text[:k].rstrip()[-1] in _HARD + "." + "".join(CLOSERS) or (bool(_THAI.match(text[:k].rstrip()[-1])) and text[k - 1].isspace())
+        p = k
+        while p > 0 and text[p - 1].isspace():
+            p -= 1
+        alone = p == 0 or text[p - 1] in _HARD + "." or text[p - 1] in CLOSERS or (bool(_THAI.match(text[p - 1])) and p < k)
         bracket = text[k] in "([{（【"
         nxt = text[e]
         if _END.match(nxt) or nxt in ",;:、，；：،؛":

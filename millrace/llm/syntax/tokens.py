@@ -230,7 +230,7 @@ def _holds(expr: str, macros: dict) -> bool:
     code = "".join(py)
     if len(code) > 10_000 or not _C_EXPR_OK.fullmatch(code.replace("==", "==").replace("?", "").replace(":", "")) or "**" in code:
         return False
-    if "?" in code:
+    if "?" in code or ("<<" in code and any(int(n) > 64 for n in re.findall(r"<<\(*(\d+)", code))):
         return False
     try:
         return bool(eval(code, {"__builtins__": {}}))  # noqa: S307 - digits and operators only
