@@ -204,44 +204,93 @@ class Grammar:
         pop = self.final[state] and any(k in self.follow[self.owner[state]] for k in kinds)
         return shifts, calls, jumps, pop
 
+    def step(self, state: int, tok: tuple):
+        """What a descriptor does before a token, worked out once per state and token.
+
+        (shifts, nodes, inner, pop): states after the token with the descriptor's own stack node; rules called on the
+        way, each with its callers (state after the call, calling rule or None for the own node); states after the
+        token inside those rules; and whether the own rule may end here. Rules that shift nothing here are left out.
+        """
+        callers: dict = {}
+        shifts, ended, pop = set(), set(), False
+        todo, seen = [(state, None)], set()
+        while todo:
+            d = todo.pop()
+            if d in seen:
+                continue
+            seen.add(d)
+            at, rule = d
+            own, calls, jumps, final = self.action(at, *tok)
+            shifts.update((e, rule) for e in own)
+            todo.extend((e, rule) for e in jumps)
+            for r, s, e in calls:
+                edge = (e, rule)
+                if r not in callers:
+                    callers[r] = [edge]
+                    todo.append((s, r))
+                elif edge not in callers[r]:
+                    callers[r].append(edge)
+                    if r in ended:
+                        todo.append(edge)
+            if final:
+                if rule is None:
+                    pop = True
+                elif rule not in ended:
+                    ended.add(rule)
+                    todo.extend(callers[rule])
+        needed, back = set(), [r for _, r in shifts if r is not None]
+        while back:
+            r = back.pop()
+            if r not in needed:
+                needed.add(r)
+                back.extend(c for _, c in callers[r] if c is not None)
+        nodes = tuple((r, tuple(callers[r])) for r in needed)
+        return tuple(e for e, r in shifts if r is None), nodes, tuple((e, r) for e, r in shifts if r is not None), pop
+
     def accepts(self, tokens) -> bool:
-        """tokens: (kinds, fresh) each, kinds a tuple of the terminals a token may be. All start rules run together."""
-        actions = self._actions
-        roots = {id(r): r for r in ([] for _ in self.starts)}
-        # a stack node is the list of its callers: (state after the call, caller's node)
-        cur = [(self.start[s], r) for s, r in zip(self.starts, roots.values())]
+        """tokens: (kinds, fresh) each, kinds a tuple of the terminals a token may be. All start rules run together.
+
+        A stack node is the list of its callers: (state after the call, caller's node). A rule called at a token has
+        one node there, whoever calls it.
+        """
+        steps, step = self._actions, self.step
+        roots = [[] for _ in self.starts]
+        root_ids = {id(r) for r in roots}
+        cur = [(self.start[s], r) for s, r in zip(self.starts, roots)]
         for tok in tokens:
+            last = tok[0][0] == EOF
             nxt: list = []
             nodes: dict = {}
             done: set = set()
-            popped: dict = {}
             while cur:
-                d = cur.pop()
-                state, node = d
+                state, node = cur.pop()
                 key = (state, id(node))
                 if key in done:
                     continue
                 done.add(key)
-                a = actions.get((state, tok))
-                if a is None:
-                    a = actions[state, tok] = self.action(state, *tok)
-                shifts, calls, jumps, pop = a
+                plan = steps.get((state, tok))
+                if plan is None:
+                    plan = steps[state, tok] = step(state, tok)
+                shifts, called, inner, pop = plan
                 for e in shifts:
                     nxt.append((e, node))
-                for e in jumps:
-                    cur.append((e, node))
-                for r, s, e in calls:
-                    callee = nodes.get(r)
-                    if callee is None:
-                        callee = nodes[r] = [(e, node)]
-                        cur.append((s, callee))
-                    elif not any(x is node and q == e for q, x in callee):
-                        callee.append((e, node))
-                        if id(callee) in popped:
-                            cur.append((e, node))
+                if called:
+                    for r, _ in called:
+                        if r not in nodes:
+                            nodes[r] = []
+                    for r, edges in called:
+                        callee = nodes[r]
+                        for e, by in edges:
+                            caller = node if by is None else nodes[by]
+                            for q, x in callee:
+                                if x is caller and q == e:
+                                    break
+                            else:
+                                callee.append((e, caller))
+                    for e, r in inner:
+                        nxt.append((e, nodes[r]))
                 if pop:
-                    popped[id(node)] = node
-                    if tok[0][0] == EOF and id(node) in roots:
+                    if last and id(node) in root_ids:
                         return True
                     cur.extend(node)
             if not nxt:

@@ -9,13 +9,25 @@ import tokenize
 
 from .gll import EOF
 
-END = ((EOF,), True)
+
+
+class Token(tuple):
+    """(kinds, fresh). Equal tokens are one object, so they are compared and hashed as objects."""
+
+    __slots__ = ()
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
+
+
+END = Token(((EOF,), True))
 _CACHE: dict = {}
 
 
 def _tok(*kinds, fresh=False):
-    key = (kinds, fresh)
-    return _CACHE.setdefault(key, key)
+    got = _CACHE.get((kinds, fresh))
+    if got is None:
+        got = _CACHE[kinds, fresh] = Token((kinds, fresh))
+    return got
 
 
 def newlines(text: str) -> str:
