@@ -39,6 +39,7 @@ _CJK = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
 _CJK_START = re.compile("[。！？]\\s*([぀-ヿ㐀-鿿]{2})")
 _STRIP = "\"'“”„‘’«»()[]{}「」『』（）《》〈〉,;:!?…。！？।؟،؛、，；：-–—"
 _HARD = "!?。！？।॥؟۔｡．"
+_LAST = frozenset(_HARD + ".")
 
 
 def language(lang: str | None) -> str:
@@ -118,34 +119,38 @@ def word(token: str, lower: bool = True) -> str:
     return "#" if t and t[-1].isdigit() and t[0] in "0123456789.,$€£-+" and not any(x.isalpha() for x in t) else t
 
 
-def count(text: str, lang: str, into: Counter) -> None:
-    """Counts of one text. Keys: (language, kind, word, next word, next shape)."""
+def count(text: str, lang: str, tokens_of: dict[str, Counter], into: Counter) -> None:
+    """Counts of one text: its tokens by language, and by (language, kind, word, next word, next shape) what follows an end."""
+    held = tokens_of.setdefault(lang, Counter())
     for kind, a, b in blocks(text):
         if kind == "fence":
             continue
         tokens = _TOKEN.findall(text[a:b])
         if kind != "para":
             tokens = tokens[1:]
-        fresh = kind != "head"
-        prev = None
         for m in _CJK_START.finditer(text, a, b):
             into[lang, "open", m[1], "", ""] += 1
         if kind == "para" and _CJK.match(text[a]):
             into[lang, "open", text[a : a + 2], "", ""] += 1
-        for t in tokens:
+        held.update(tokens)
+        ends = [(i, t) for i, t in enumerate(tokens) if t[-1] in _LAST]
+        if kind != "head":
+            ends.insert(0, (-1, ""))
+        for i, t in ends:
             w = word(t, lower=False)
-            if not w:
+            dot = t[-1:] == "."
+            if (i >= 0 and not w) or (dot and t.endswith("..")):
                 continue
-            into[lang, "word", w, "", ""] += 1
-            if fresh:
-                into[lang, "start", w, "", ""] += 1
-            if prev is not None:
-                into[lang, "pair", prev, w, shape(t)] += 1
-            tail = t.rstrip("\"'”’»)]}」』）")
-            fresh = tail[-1:] in tuple(_HARD) and tail == t
-            if t.endswith(".") and not t.endswith(".."):
-                into[lang, "dot", word(t, lower=False), "", ""] += 1
-            prev = word(t, lower=False) if tail == t and t.endswith(".") and not t.endswith("..") else None
+            if dot:
+                into[lang, "dot", w, "", ""] += 1
+            # the next token that is more than punctuation
+            for j in range(i + 1, len(tokens)):
+                if nw := word(tokens[j], lower=False):
+                    if dot:
+                        into[lang, "pair", w, nw, shape(tokens[j])] += 1
+                    else:
+                        into[lang, "start", nw, "", ""] += 1
+                    break
 
 
 _COUNTS = "lang string, kind string, a string, b string, s string, n long"
@@ -154,9 +159,14 @@ _COUNTS = "lang string, kind string, a string, b string, s string, n long"
 def _count_batches(batches):
     for b in batches:
         c: Counter = Counter()
+        tokens_of: dict[str, Counter] = {}
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text:
-                count(text, language(lang), c)
+                count(text, language(lang), tokens_of, c)
+        for lang, held in tokens_of.items():
+            for t, n in held.items():
+                if w := word(t, lower=False):
+                    c[lang, "word", w, "", ""] += n
         rows = list(zip(*((*(x.encode("utf-8", "replace").decode()[:64] for x in k), n) for k, n in c.items()))) or [()] * 6
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in rows[:5]), pa.array(rows[5], pa.int64())], ["lang", "kind", "a", "b", "s", "n"])
 
