@@ -187,6 +187,7 @@ class Model:
         self.abbreviations: dict[str, set] = {}
         self.ordinals: dict[str, set] = {}
         self.final: dict[str, set] = {}  # abbreviations that often end sentences
+        self.middle: dict[str, set] = {}  # abbreviations that practically never do, such as titles
         self.plain: dict[str, set] = {}  # words whose period does end sentences, whatever they look like
 
 
@@ -232,8 +233,10 @@ def learn(documents: DataFrame) -> Model:
     uses = words.select("lang", "a", F.col("all").alias("uses"))
     x = x.where(r"a rlike '^(\\p{L}{1,2}[.])*\\p{L}{1,2}$|^[^.]+$'").join(dots, ["lang", "a"]).join(uses, ["lang", "a"])
     abbr = x.where("a <> '#' and dots >= 0.5 * uses").where(enough("np", "tp")).where((k / n >= 0.35) & ((_llr(k, n, rk, rn) > LLR) & (k / n > rk / rn) | (k / n >= 0.9)))
-    for r in abbr.select("lang", "a", (k / n).alias("rate")).collect():
+    for r in abbr.select("lang", "a", "np", (k / n).alias("rate")).collect():
         model.abbreviations.setdefault(r["lang"], set()).add(r["a"])
+        if r["np"] >= 20 and r["rate"] >= 0.97:
+            model.middle.setdefault(r["lang"], set()).add(r["a"])
         if r["rate"] < 0.75:
             model.final.setdefault(r["lang"], set()).add(r["a"])
     plain = x.where("a <> '#'").where(enough("np", "tp")).where((k / n < 0.1) & ((F.length("a") == 1) | F.col("a").contains(".")))
@@ -302,6 +305,7 @@ class Cutter:
         self.starters, self.abbreviations, self.ordinals = both(model.starters), both(model.abbreviations), both(model.ordinals)
         self.openings = both(model.openings)
         self.plain = both(model.plain) - self.abbreviations
+        self.middle = model.middle.get(lang, set()) | (model.middle.get("*", set()) - (model.abbreviations.get(lang, set()) - model.middle.get(lang, set())))
         self.final = model.final.get(lang, set()) if lang in model.abbreviations else model.final.get("*", set())
 
     def ends(self, text: str) -> list[int]:
@@ -405,7 +409,7 @@ class Cutter:
         known = w in self.abbreviations or (w[:1].isupper() and w[1:].islower() and w.lower() in self.abbreviations and w not in self.plain)
         if known or (letter or dotted) and w not in self.plain:
             if sh == "U":
-                return starts and not (letter and bare.isupper() and len(nw) == 1)
+                return starts and w not in self.middle and not (letter and bare.isupper() and len(nw) == 1)
             return sh in "io" and w in self.final
         return True
 
