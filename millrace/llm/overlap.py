@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import settle
+from ..runtime import settle, skew_safe_lookup
 
 THRESHOLD = 0.6
 RUN = 3
@@ -41,7 +41,7 @@ def _classes(df: DataFrame, run: int, side: int) -> tuple[DataFrame, DataFrame]:
     """(members: id, cls), (classes: cls, runs, n): rows with the same set of runs are one class, named by its smallest id."""
     sets = settle(_sets(df, run).withColumn("sig", F.md5(F.concat_ws(",", F.col("runs").cast("array<string>")))))
     cls = settle(sets.groupBy("sig").agg(F.min("id").alias("cls"), F.count("*").alias("n"), F.min("runs").alias("runs")))
-    members = sets.select("id", "sig").join(cls.select("sig", "cls"), "sig").select("id", "cls")
+    members = skew_safe_lookup(sets.select("id", "sig"), cls.select("sig", "cls", "n"), "sig", "n", sets.count()).select("id", "cls")
     return members, cls.select("cls", "runs", "n").withColumn("side", F.lit(side))
 
 
