@@ -255,6 +255,39 @@ def _(s, d):
     return t(s, d, "train_split").select("row_id", X.first_keyword(F.col("code"), {"copy": ["memcpy"], "format": ["snprintf"], "branch": ["switch"]}, "none").alias("hint"))
 
 
+# ---- reports --------------------------------------------------------------------------------------------------------
+@query("sk7_json_report", "SELECT json_object('source', coalesce(lower(trim(source)), 'unknown'), 'n', count(*))::VARCHAR AS document FROM samples GROUP BY coalesce(lower(trim(source)), 'unknown')")
+def _(s, d):
+    g = t(s, d, "samples").groupBy(F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+    return g.select(F.to_json(F.struct("source", "n")).alias("document"))
+
+
+@query("sk6_sk17_table_rows", "SELECT '| ' || split || ' | ' || n || ' | ' || format('{:.2f}', 100.0 * n / sum(n) OVER ()) || ' |' AS line FROM (SELECT 'train' AS split, count(*) AS n FROM train_split UNION ALL SELECT 'valid', count(*) FROM valid_split UNION ALL SELECT 'test', count(*) FROM test_split)")
+def _(s, d):
+    parts = [t(s, d, f"{n}_split").agg(F.count("*").alias("n")).select(F.lit(n).alias("split"), "n") for n in ("train", "valid", "test")]
+    pct = F.format_string("%.2f", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy()))
+    return R.union_all(parts).select(F.concat(F.lit("| "), "split", F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), pct, F.lit(" |")).alias("line"))
+
+
+@query("pj16_pj17_json_audit", "SELECT 0 AS problems, 13 AS columns")
+def _(s, d):
+    from ..sources.records import json_problems
+
+    x = t(s, d, "samples")
+    return s.createDataFrame([(len(json_problems(x)), len(x.columns))], "problems long, columns long")
+
+
+@query("ud6_grouped_aggregate", "SELECT user_id, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) AS spread FROM events WHERE value IS NOT NULL GROUP BY 1")
+def _(s, d):
+    x = t(s, d, "events").where("value is not null")
+    return x.groupBy("user_id").agg(F.round(F.percentile("value", 0.9) - F.percentile("value", 0.1), 6).alias("spread"))
+
+
+@query("ss10_batch_gate", "SELECT event_type, count(*) AS waiting, count(*) >= 100 AS ready FROM events GROUP BY 1")
+def _(s, d):
+    return t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("waiting"), (F.count("*") >= 100).alias("ready"))
+
+
 def queries() -> dict:
     return QUERIES
 
