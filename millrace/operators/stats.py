@@ -114,7 +114,7 @@ def bootstrap_mean(df: DataFrame, value: str, resamples: int = 1000, seed: int =
     e = x.select("v", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     g = e.withColumn("k", times(u(F.col("r")))).groupBy("r").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
     q = g.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return x.agg(F.avg("v").alias("mean")).join(q)
+    return q.select(x.agg(F.avg("v")).scalar().alias("mean"), "low", "high")
 
 
 def class_weights(df: DataFrame, label: str, multiplier: float = 1.0, cap: float = 5.0) -> DataFrame:

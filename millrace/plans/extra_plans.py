@@ -114,8 +114,8 @@ def _(s, d):
     edges = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     path = _new(s, "graph")
     writers.graph_tables(nodes, edges, path)
-    e = s.read.parquet(f"{path}/edges").agg(F.count("*").alias("edges"))
-    return s.read.parquet(f"{path}/nodes").agg(F.count("*").alias("nodes")).join(F.broadcast(e))
+    e = s.read.parquet(f"{path}/edges").agg(F.count("*"))
+    return s.read.parquet(f"{path}/nodes").agg(F.count("*").alias("nodes")).withColumn("edges", e.scalar())
 
 
 # ---- rows and scores ------------------------------------------------------------------------------------------------
@@ -177,8 +177,7 @@ def _(s, d):
 @query("ss4_resume_by_offset", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup')")
 def _(s, d):
     e = t(s, d, "events")
-    mark = e.where("event_type = 'signup'").agg(F.max("event_id").alias("done"))
-    return e.join(F.broadcast(mark)).where("event_id > done").select("event_id")
+    return e.where(F.col("event_id") > e.where("event_type = 'signup'").agg(F.max("event_id")).scalar()).select("event_id")
 
 
 @query("ss9_line_diff", "SELECT row_id, len(list_distinct(list_filter(b, lambda l: NOT list_contains(a, l)))) AS added, len(list_distinct(list_filter(a, lambda l: NOT list_contains(b, l)))) AS removed FROM (SELECT row_id, string_split(vulnerable_code, chr(10)) AS a, string_split(fixed_code, chr(10)) AS b FROM repo_commits WHERE vulnerable_code IS NOT NULL AND fixed_code IS NOT NULL)")

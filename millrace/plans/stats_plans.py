@@ -182,7 +182,7 @@ def _(s, d):
     c = t(s, d, "collection_results")
     names = t(s, d, "mix_targets").agg(F.collect_set("collector").alias("want"))  # one row of seven names
     have = c.select("run_id", F.transform(F.map_keys("collectors"), lambda k: F.lower(F.trim(k))).alias("k")).groupBy("run_id").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("k"))
-    return have.join(F.broadcast(names)).select("run_id", F.explode(F.array_except("want", "k")).alias("collector"))
+    return have.select("run_id", F.explode(F.array_except(names.scalar(), "k")).alias("collector"))
 
 
 # ---- counts -------------------------------------------------------------------------------------------------------
@@ -546,8 +546,7 @@ def _(s, d):
 @query("wn20_last_ten", "SELECT event_id, total FROM (SELECT event_id, count(*) OVER () AS total, row_number() OVER (ORDER BY event_id DESC) AS r FROM events WHERE event_type = 'error') WHERE r <= 10")
 def _(s, d):
     x = t(s, d, "events").where("event_type = 'error'")
-    total = x.agg(F.count("*").alias("total"))
-    return x.orderBy(F.desc("event_id")).limit(10).select("event_id").join(F.broadcast(total))
+    return x.orderBy(F.desc("event_id")).limit(10).select("event_id", x.agg(F.count("*")).scalar().alias("total"))
 
 
 @query("ss7_sessions", "SELECT user_id, session::BIGINT AS session, count(*) AS n, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS end_ FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT user_id, ts, CASE WHEN coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 43200000000, true) THEN 1 ELSE 0 END AS new FROM events)) GROUP BY 1, 2")

@@ -60,7 +60,7 @@ def sarif(events: DataFrame) -> DataFrame:
 def metrics_document(scores: DataFrame, sweep: DataFrame) -> DataFrame:
     """(document): a row of scores with the sweep as an array."""
     arr = sweep.agg(F.array_sort(F.collect_list(F.struct("threshold", "precision", "recall", "f1"))).alias("threshold_sweep"))
-    return scores.join(F.broadcast(arr)).select(F.to_json(F.struct("*")).alias("document"))
+    return scores.withColumn("threshold_sweep", arr.scalar()).select(F.to_json(F.struct("*")).alias("document"))
 
 
 def graph_tables(nodes: DataFrame, edges: DataFrame, path: str, key: str = "id") -> None:
