@@ -117,6 +117,6 @@ def mix_report(samples: DataFrame, targets: DataFrame, total: int | None = None)
     m = mix(samples, targets, total)
     got = m.groupBy("source").agg(F.count("*").alias("blocks"), F.count_if(F.col("repeat") == 1).alias("records"), F.max("repeat").alias("max_repeat"))
     t = targets.where("source is not null and target_pct is not null").select(plain("source").alias("source"), "target_pct")
-    whole = got.agg(F.sum("blocks").alias("_all"))
-    j = t.join(F.broadcast(got), "source", "left").join(F.broadcast(whole))
-    return j.select("source", "target_pct", F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("max_repeat", F.lit(0)).alias("max_repeat"), F.round(100.0 * F.coalesce("blocks", F.lit(0)) / F.col("_all"), 4).alias("reached_pct"))
+    whole = got.agg(F.sum("blocks")).scalar()
+    j = t.join(F.broadcast(got), "source", "left")
+    return j.select("source", "target_pct", F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("max_repeat", F.lit(0)).alias("max_repeat"), F.round(100.0 * F.coalesce("blocks", F.lit(0)) / whole, 4).alias("reached_pct"))

@@ -199,7 +199,7 @@ def learn(documents: DataFrame) -> Model:
     each = settle(raw.groupBy("lang", "kind", "a", "b", "s").agg(F.sum("n").alias("n")))
     # a language counts if it has its share of all words; the others are cut by what was learned over all
     size = each.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("w"))
-    large = size.join(F.broadcast(size.agg(F.sum("w").alias("all_w")))).where(F.col("w") >= LANGUAGE_SHARE * F.col("all_w")).select("lang")
+    large = size.where(F.col("w") >= LANGUAGE_SHARE * size.agg(F.sum("w")).scalar()).select("lang")
     every = each.groupBy("kind", "a", "b", "s").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "kind", "a", "b", "s", "n")
     c = settle(each.join(F.broadcast(large), "lang").select(every.columns).unionByName(every))
     words = c.where("kind = 'word'").select("lang", "a", F.col("n").alias("all"))
