@@ -106,3 +106,12 @@ def ranked(df: DataFrame, within: list[str], order_hash: str, tie: str, rows: in
     cond = [numbered[k].eqNullSafe(offsets[k]) for k in keys]
     joined = numbered.join(offsets, cond).select(*[numbered[c] for c in numbered.columns], offsets["_before"])
     return joined.withColumn(out, (F.col("_inside") + F.col("_before")).cast("long")).drop("_bucket", "_inside", "_before")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that costs far more than moving its rows: a table of fewer files than there are cores is dealt to all of them.
+
+    A table of at least as many splits as cores is left where it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
