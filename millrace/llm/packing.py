@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import settle, spread
+
 DIMS, BITS = 4, 8
 #: Tokens one range packs, about; each range leaves at most a few containers part empty.
 RANGE_TOKENS = 4_000_000
@@ -93,7 +95,7 @@ def measured(documents: DataFrame, vocabulary: str) -> DataFrame:
             keys = hilbert(np.stack([curve_key(x) for _, x in keep]))
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in keep], pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "tokens", "curve"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tokens long, curve long")
+    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, tokens long, curve long")
 
 
 def pack_stretch(sizes: list[int], capacity: int, open_: list[tuple[int, int]], fresh) -> list[list[tuple[int, int, int]]]:
@@ -120,8 +122,6 @@ def pack(documents: DataFrame, limits: DataFrame, vocabulary: str | None = None)
     no token and no place. A text within the capacity is one piece. Containers without a positive capacity are
     left out. Repeated doc_ids are packed as often as they occur.
     """
-    from ..runtime import settle
-
     vocabulary = vocabulary or default_vocabulary()
     caps = [(r[0], int(r[1])) for r in limits.where("capacity_tokens > 0").select("container", "capacity_tokens").collect()]
     sized = settle(measured(documents, vocabulary))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import settle, spread
+
 MIN_COUNT, MIN_SHARE, LANGUAGE_SHARE = 3, 1e-5, 1e-3
 #: Capitals that start no sentence speak for an abbreviation only after words as short as titles.
 TITLE = 5
@@ -193,9 +195,7 @@ class Model:
 
 def learn(documents: DataFrame) -> Model:
     """The three lists from all texts. Counting is combined in each batch and before the shuffle."""
-    from ..runtime import settle
-
-    raw = documents.select("text", "lang").mapInArrow(_count_batches, _COUNTS)
+    raw = spread(documents.select("text", "lang")).mapInArrow(_count_batches, _COUNTS)
     each = settle(raw.groupBy("lang", "kind", "a", "b", "s").agg(F.sum("n").alias("n")))
     # a language counts if it has its share of all words; the others are cut by what was learned over all
     size = each.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("w"))
@@ -460,4 +460,4 @@ def found_sentences(documents: DataFrame) -> DataFrame:
                     en.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(st, pa.int32()), pa.array(en, pa.int32())], ["doc_id", "sent_start", "sent_end"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(cut, "doc_id long, sent_start int, sent_end int")
+    return spread(documents.select(F.col("doc_id").cast("long"), "text", "lang")).mapInArrow(cut, "doc_id long, sent_start int, sent_end int")

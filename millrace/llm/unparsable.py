@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .syntax import tokens
 from .syntax.grammars import grammar
 
@@ -81,7 +82,7 @@ def judged(commits: DataFrame) -> DataFrame:
 
     Empty files are valid. Nothing is shuffled. No commits give no rows.
     """
-    return commits.select(F.col("row_id").cast("long"), "repository", "language", "file_path", "vulnerable_code", "fixed_code").mapInArrow(_judge, _FILES)
+    return spread(commits.select(F.col("row_id").cast("long"), "repository", "language", "file_path", "vulnerable_code", "fixed_code")).mapInArrow(_judge, _FILES)
 
 
 def found_unparsable(commits: DataFrame) -> DataFrame:
