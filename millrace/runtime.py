@@ -40,9 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one."""
+    """The folder named by spark.checkpoint.dir, which all executors share. On one machine a temporary one will do."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="millrace-scratch-")
         atexit.register(shutil.rmtree, path[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)

@@ -13,11 +13,10 @@ from ..runtime import scratch_dir
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """A table of a folder as a stream of its files."""
+    """A table of a folder as a stream of its files, whether it is one file or a folder of them."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    import os
-
-    if os.path.isdir(f"{folder}/{name}.parquet"):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
