@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import re
 import warnings
 
 import pyarrow as pa
@@ -14,7 +15,8 @@ from ..runtime import spread
 from .syntax import tokens
 from .syntax.grammars import grammar
 
-LANGUAGES = {"python": "python", "python3": "python", "py": "python", "javascript": "javascript", "js": "javascript", "jsx": "javascript", "node": "javascript", "nodejs": "javascript", "ecmascript": "javascript", "c": "c", "h": "c", "c99": "c", "c11": "c"}
+#: By the letters of the name: versions, blanks and punctuation do not count.
+LANGUAGES = {"python": "python", "py": "python", "javascript": "javascript", "js": "javascript", "jsx": "javascript", "node": "javascript", "nodejs": "javascript", "ecmascript": "javascript", "c": "c", "h": "c", "ansic": "c"}
 EXTENSIONS = {"py": "python", "pyw": "python", "js": "javascript", "jsx": "javascript", "cjs": "javascript", "c": "c", "h": "c"}
 _SCANNERS = {"python": tokens.python_tokens, "javascript": tokens.javascript_tokens, "c": tokens.c_tokens}
 #: Verdicts a worker remembers, so that copies of a file in one task are parsed once.
@@ -24,7 +26,7 @@ REMEMBERED = 20_000
 def language_of(language: str | None, path: str | None) -> str | None:
     """python, javascript or c, by the stated language or, where that is null, the extension; else None."""
     if language is not None and language.strip():
-        return LANGUAGES.get(language.strip().lower())
+        return None if "+" in language or "#" in language else LANGUAGES.get(re.sub(r"[^a-z]", "", language.lower()))
     name = (path or "").rsplit("/", 1)[-1]
     return EXTENSIONS.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
 

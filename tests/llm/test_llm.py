@@ -264,6 +264,9 @@ def test_python_grammar_agrees_with_the_interpreter():
 
 
 def test_language_and_rows(spark):
+    names = {"Python 3.11": "python", " PY": "python", "Node.js": "javascript", "C99": "c", "C++": None, "C#": None, "go": None}
+    assert {n: unparsable.language_of(n, "x.py") for n in names} == names
+    assert [unparsable.language_of(x, p) for x, p in ((None, "a/b.JSX"), ("", "x.h"), (None, "py"), (None, None))] == ["javascript", "c", None, None]
     schema = "row_id long, repository string, language string, file_path string, vulnerable_code string, fixed_code string, invalid int"
     df = spark.createDataFrame([(1, "r", " PY ", "a.js", "x = (", "x = 1", 0), (2, None, None, "b/c.jsx", "let x = ", None, 0), (3, "r", "cobol", "x.py", "((", None, 0), (4, "r", None, None, "((", "", 0), (5, "r", "C", "a.h", "int x;" * 20_000, "int", 0)], schema)
     assert sorted(tuple(r) for r in unparsable.found_unparsable(df).collect()) == [(1, "vulnerable_code"), (2, "vulnerable_code"), (5, "fixed_code")]
