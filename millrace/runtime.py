@@ -17,13 +17,14 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Arrow functions import there."""
+    """Send this package to the executors once per application, so that Arrow functions import there.
+
+    Local Python workers need it too: they do not know what the driver has put on its path.
+    """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    if spark.sparkContext.master.startswith("local["):
-        return
     here = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="millrace-code-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
