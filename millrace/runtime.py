@@ -42,6 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share. On one machine a temporary one will do."""
+    ship(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -116,5 +117,6 @@ def spread(df: DataFrame) -> DataFrame:
 
     A table of at least as many splits as cores is left where it is, without a shuffle.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
