@@ -14,8 +14,8 @@ from ..runtime import settle, skew_safe_lookup
 
 BINS = 20
 GROUPS_A_CHUNK = 50_000
-MAX_CHUNKS = 1024
-STRATA = 64
+#: Partial solutions (one a stratum and chunk) that one task combines.
+TUPLES_A_TASK = 2048
 
 
 def package_keys(name, ecosystem):
@@ -129,46 +129,91 @@ def allocate(loads: np.ndarray, shares: list[float]) -> np.ndarray:
     return out
 
 
+def kind_key(vulnerability_type, label):
+    """Letters and digits of the type in lower case, then the label: equal for two rows only if both are. Nulls are kinds of their own."""
+    name = F.regexp_replace(F.lower(F.coalesce(F.trim(vulnerability_type), F.lit(""))), r"[^\p{L}\p{N}]+", "")
+    return F.concat(name, F.lit("\u0001"), F.coalesce(F.col(label).cast("string"), F.lit("")))
+
+
+def strata(groups: DataFrame, bins: int) -> DataFrame:
+    """(kind, n_groups, stratum, chunks): the stratum of each kind of groups, and into how many chunks it is cut.
+
+    A kind that can fill the bins is a stratum of its own, however many there are. Kinds of fewer groups than bins
+    are pooled by label, and labels whose pool is still smaller in one rest.
+    """
+    label = F.substring_index("kind", "\u0001", -1)
+    kinds = settle(groups.groupBy("kind").agg(F.count("*").alias("n_groups")).withColumn("label", label))
+    pools = kinds.where(F.col("n_groups") < bins).groupBy("label").agg(F.sum("n_groups").alias("pooled"))
+    pools = pools.select("label", F.when(F.col("pooled") >= bins, F.concat(F.lit("\u0002"), "label")).otherwise(F.lit("\u0003")).alias("pool"))
+    named = kinds.join(pools, "label", "left").select("kind", "n_groups", F.when(F.col("n_groups") >= bins, F.col("kind")).otherwise(F.col("pool")).alias("stratum"))
+    sizes = named.groupBy("stratum").agg(F.ceil(F.sum("n_groups") / GROUPS_A_CHUNK).cast("int").alias("chunks"))
+    return named.join(sizes, "stratum").select("kind", "n_groups", "stratum", "chunks")
+
+
+def place(loads: DataFrame, shares: dict[str, float], bins: int) -> DataFrame:
+    """(stratum, chunk, bin, split) for (stratum, chunk, bin, n): bins are combined into `bins` whole ones, those allocated.
+
+    A task combines about TUPLES_A_TASK partial solutions; if there are more, what the tasks make is combined again.
+    """
+    names, parts = list(shares), list(shares.values())
+
+    def combined(pdf):
+        tuples = pdf.pivot_table(index=["stratum", "chunk"], columns="bin", values="n", aggfunc="sum", fill_value=0).reindex(columns=range(bins), fill_value=0).sort_index()
+        return tuples, combine_loads(tuples.to_numpy())
+
+    def rows(tuples, **columns):
+        import pandas as pd
+
+        s, c = (np.repeat(tuples.index.get_level_values(i).to_numpy(), bins) for i in (0, 1))
+        return pd.DataFrame({"stratum": s, "chunk": c, "bin": np.tile(np.arange(bins), len(tuples)), **columns})
+
+    def last(pdf):
+        tuples, to = combined(pdf)
+        final = np.zeros(bins)
+        for row, t in zip(tuples.to_numpy(), to):
+            np.add.at(final, t, row)
+        split = allocate(final, parts)
+        return rows(tuples, split=[names[s] for s in split[to.ravel()]])
+
+    def some(key, pdf):
+        tuples, to = combined(pdf)
+        return rows(tuples, n=tuples.to_numpy().ravel(), batch=key[0], to=to.ravel())
+
+    batches = -(-loads.select("stratum", "chunk").distinct().count() // TUPLES_A_TASK)
+    if batches <= 1:
+        return loads.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(last, "stratum string, chunk int, bin int, split string")
+    batch = F.pmod(F.xxhash64("stratum", "chunk"), F.lit(batches)).cast("int")
+    part = settle(loads.withColumn("batch", batch).groupBy("batch").applyInPandas(some, "stratum string, chunk int, bin int, n long, batch int, to int"))
+    upper = part.groupBy(F.lit("").alias("stratum"), F.col("batch").alias("chunk"), F.col("to").alias("bin")).agg(F.sum("n").alias("n"))
+    above = place(settle(upper), shares, bins).select(F.col("chunk").alias("batch"), F.col("bin").alias("to"), "split")
+    return part.join(above, ["batch", "to"]).select("stratum", "chunk", "bin", "split")
+
+
 def split_groups(samples: DataFrame, shares: dict[str, float] | None = None, bins: int = BINS) -> DataFrame:
     """(sample_id, group_id, split): related rows share a split, splits have nearly their shares.
 
     Rows without a package are groups of one. Groups are spread by kind (vulnerability_type and label of most of
-    their rows, STRATA classes at most) so that each bin gets its part of each. Groups are dealt into bins per chunk
-    of about GROUPS_A_CHUNK groups; the chunks' bins, at most MAX_CHUNKS x STRATA x bins numbers, are combined in one task.
-    Empty input gives no rows.
+    their rows) so that each bin gets its part of each: every kind of at least `bins` groups by itself, the others
+    pooled, see `strata`. Groups are dealt into bins per chunk of about GROUPS_A_CHUNK groups of a stratum; the bins of
+    all chunks and strata are combined by `place`. Empty input gives no rows.
     """
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
-    names, parts = list(shares), list(shares.values())
     rel = related_groups(samples)
-    kind = F.pmod(F.xxhash64(F.regexp_replace(F.lower(F.coalesce(F.trim("vulnerability_type"), F.lit(""))), r"[^\p{L}\p{N}]+", ""), F.coalesce("label", F.lit(-1))), F.lit(STRATA)).cast("int")
-    rows = samples.select(F.col("sample_id").alias("sid"), kind.alias("kind"))
+    rows = samples.select(F.col("sample_id").alias("sid"), kind_key("vulnerability_type", "label").alias("kind"))
     joined = settle(rows.join(rel.select(F.col("sample_id").alias("rid"), "group_id").distinct(), F.col("sid") == F.col("rid"), "left").select(F.col("sid").alias("sample_id"), F.coalesce("group_id", "sid").alias("group_id"), "kind"))
     per = joined.groupBy("group_id", "kind").count()
     groups = per.groupBy("group_id").agg(F.sum("count").alias("n"), F.max_by("kind", F.struct("count", "kind")).alias("kind"))
     groups = settle(groups)
-    chunks = min(MAX_CHUNKS, max(1, -(-groups.count() // GROUPS_A_CHUNK)))
 
     def deal(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["n", "group_id"], ascending=[False, True])
-        return pd.DataFrame({"group_id": pdf["group_id"].to_numpy(), "n": pdf["n"].to_numpy(), "chunk": key[0], "kind": key[1], "bin": difference(pdf["n"].to_numpy(dtype=float), bins)})
-
-    dealt = settle(groups.withColumn("chunk", F.pmod(F.xxhash64("group_id"), F.lit(chunks)).cast("int")).groupBy("chunk", "kind").applyInPandas(deal, "group_id long, n long, chunk int, kind int, bin int"))
-
-    def combine(pdf):
-        import pandas as pd
-
-        tuples = pdf.pivot_table(index=["chunk", "kind"], columns="bin", values="n", aggfunc="sum", fill_value=0).reindex(columns=range(bins), fill_value=0).sort_index()
-        to = combine_loads(tuples.to_numpy())
-        final = np.zeros(bins)
-        for row, t in zip(tuples.to_numpy(), to):
-            np.add.at(final, t, row)
-        split = allocate(final, parts)
-        c, k = (np.repeat(tuples.index.get_level_values(i).to_numpy(), bins) for i in (0, 1))
-        return pd.DataFrame({"chunk": c, "kind": k, "bin": np.tile(np.arange(bins), len(to)), "split": [names[s] for s in split[to.ravel()]]})
+        return pd.DataFrame({"group_id": pdf["group_id"].to_numpy(), "n": pdf["n"].to_numpy(), "stratum": key[0], "chunk": key[1], "bin": difference(pdf["n"].to_numpy(dtype=float), bins)})
 
-    loads = dealt.groupBy("chunk", "kind", "bin").agg(F.sum("n").alias("n"))
-    plan = loads.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(combine, "chunk int, kind int, bin int, split string")
-    placed = settle(dealt.join(plan, ["chunk", "kind", "bin"]).select("group_id", "split", "n"))
+    in_stratum = skew_safe_lookup(groups, settle(strata(groups, bins)), "kind", "n_groups", groups.count())
+    chunk = F.pmod(F.xxhash64("group_id"), F.col("chunks")).cast("int")
+    dealt = settle(in_stratum.select("group_id", "n", "stratum", chunk.alias("chunk")).groupBy("stratum", "chunk").applyInPandas(deal, "group_id long, n long, stratum string, chunk int, bin int"))
+    plan = place(dealt.groupBy("stratum", "chunk", "bin").agg(F.sum("n").alias("n")), shares, bins)
+    placed = settle(dealt.join(plan, ["stratum", "chunk", "bin"]).select("group_id", "split", "n"))
     return skew_safe_lookup(joined.select("sample_id", "group_id"), placed, "group_id", "n", joined.count()).select("sample_id", "group_id", "split")

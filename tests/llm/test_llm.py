@@ -124,6 +124,30 @@ def test_splits(spark):
     assert abs(share["validation"] - 0.1) < 0.04 and abs(share["test"] - 0.1) < 0.04
 
 
+def test_splits_by_kind(spark, monkeypatch):
+    kinds = [(f"type {i}", i % 2) for i in range(90)]  # more than any fixed number of buckets keeps apart
+    sizes = [20 + 7 * (i % 5) for i in range(90)]
+    rows = [(v, y) for (v, y), n in zip(kinds, sizes) for _ in range(n)] + [("rare one", 1)] * 3 + [(None, None)] * 40
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame([(i, (None, None), y, v) for i, (v, y) in enumerate(rows)], SAMPLES)
+    for most in (grouping.TUPLES_A_TASK, 7):
+        monkeypatch.setattr(grouping, "TUPLES_A_TASK", most)
+        s = grouping.split_groups(df).join(df, "sample_id")
+        assert s.count() == len(rows)
+        for v, y, n, train in s.where("vulnerability_type is null or vulnerability_type <> 'rare one'").groupBy("vulnerability_type", "label").agg(F.count("*"), F.count_if(F.col("split") == "train")).collect():
+            assert int(n / 20) * 16 <= train <= -(-n // 20) * 16, (v, y, n, train)
+
+
+def test_strata(spark):
+    many = [(f"k{i}\x01{i % 2}", 25 if i < 100 else 3) for i in range(110)] + [("x\x01", 2), ("y\x017", 1)]
+    groups = spark.createDataFrame([(k,) for k, n in many for _ in range(n)], "kind string")
+    got = {r["kind"]: r["stratum"] for r in grouping.strata(groups, 20).collect()}
+    assert len(got) == 112 and all(got[k] == k for k, n in many if n == 25)
+    assert {got[k] for k, n in many if n < 25} == {"\x03"}  # 15 groups a label fill no 20 bins
+    got = {r["kind"]: r["stratum"] for r in grouping.strata(groups, 10).collect()}
+    assert {got[k] for k, n in many if n == 3} == {"\x020", "\x021"} and got["x\x01"] == got["y\x017"] == "\x03"
+
+
 def test_differencing_beats_a_bad_deal():
     w = np.array([9.0, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1, 1])
     b = grouping.difference(w, 3)
