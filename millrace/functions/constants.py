@@ -48,6 +48,8 @@ LANGUAGE_FILES = {"python": [".py"], "javascript": [".js", ".ts", ".jsx", ".tsx"
 # fixed values
 EXPLOIT_LANGUAGES = {".py": "Python", ".c": "C", ".cpp": "C++", ".java": "Java", ".js": "JavaScript", ".rb": "Ruby", ".php": "PHP", ".pl": "Perl", ".sh": "Bash", ".bat": "Batch", ".ps1": "PowerShell", ".go": "Go", ".rs": "Rust"}
 EXTENSION_LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".cpp": "cpp", ".c": "c", ".h": "c", ".php": "php", ".rb": "ruby", ".sql": "sql", ".cs": "csharp", ".swift": "swift", ".kt": "kotlin", ".scala": "scala"}
+SOURCE_LANGUAGES = {"python": "python", "py": "python", "javascript": "javascript", "js": "javascript", "jsx": "javascript", "node": "javascript", "nodejs": "javascript", "ecmascript": "javascript", "c": "c", "h": "c", "ansic": "c"}
+SOURCE_EXTENSIONS = {"py": "python", "pyw": "python", "js": "javascript", "jsx": "javascript", "cjs": "javascript", "c": "c", "h": "c"}
 LANGUAGE_HINTS = {"cursor.execute": "python", "os.system": "python", "subprocess": "python", "requests.get": "python", "conn.prepareStatement": "java", "Runtime.getRuntime": "java", "HttpURLConnection": "java", "Paths.get": "java", "fs.readFileSync": "javascript", "fetch(": "javascript", "document.getElementById": "javascript", "shell_exec": "php", "file_get_contents": "php", "escapeshellarg": "php", "$_GET": "php"}
 
 # fixed values

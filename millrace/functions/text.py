@@ -194,10 +194,26 @@ def last_match(x, pattern: str, group: int = 1) -> Column:
 
 
 # ---- code --------------------------------------------------------------------------------------------------------
+def source_language(language, path) -> Column:
+    """python, javascript or c, by the stated language or, where that is null or blank, the extension; else null.
+
+    The rule of `llm.unparsable.language_of` as an expression.
+    """
+    table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+    stated, name = _c(language), F.substring_index(_c(path), "/", -1)
+    by_name = F.when(~stated.rlike("[+#]"), F.try_element_at(table(K.SOURCE_LANGUAGES), F.regexp_replace(F.lower(stated), "[^a-z]", "")))
+    by_extension = F.when(name.contains("."), F.try_element_at(table(K.SOURCE_EXTENSIONS), F.lower(F.substring_index(name, ".", -1))))
+    return F.when(stated.rlike(r"(?U)[^\s\x1c-\x1f]"), by_name).otherwise(by_extension)
+
+
 def blank_preprocessor(x) -> Column:
-    """Lines of #include, #define, #ifdef, #ifndef and #endif blanked, runs of blank lines made one, ends stripped."""
-    t = F.regexp_replace(_c(x), r"(?m)^[ \t]*#[ \t]*(include|define|ifdef|ifndef|endif)\b[^\n]*$", "")
-    return strip(F.regexp_replace(t, r"\n\s*\n+", "\n\n"))
+    r"""Lines of #include, #define, #ifdef, #ifndef and #endif blanked, runs of blank lines made one, ends stripped.
+
+    \n, \r\n and a lone \r end a line. A line that stays keeps the \r of its \r\n; a run of blank lines, whatever
+    their ends, becomes \n\n after the character before its first \n or lone \r. Null stays null.
+    """
+    t = F.regexp_replace(_c(x), r"(?<![^\r\n])[ \t]*#[ \t]*(include|define|ifdef|ifndef|endif)\b[^\r\n]*", " ")  # a space, so that \r before and \n after stay two line ends; it goes with its blank run
+    return strip(F.regexp_replace(t, r"(\n|\r(?!\n))\s*(\n|\r(?!\n))+", "\n\n"))
 
 
 def line_metrics(x) -> Column:

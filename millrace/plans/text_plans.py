@@ -217,6 +217,13 @@ def _(s, d):
     return t(s, d, "repo_commits").where("file_path like '%.c' and not contains(vulnerable_code, '\r')").select("row_id", F.md5(X.blank_preprocessor("vulnerable_code")).alias("h"))
 
 
+# the same over all C files, headers and any line ends included
+@query("st13_no_preprocessor_all_c")
+def _(s, d):
+    c = t(s, d, "repo_commits").where(X.source_language("language", "file_path") == "c")
+    return c.select("row_id", F.md5(X.blank_preprocessor("vulnerable_code")).alias("h"))
+
+
 @query("st14_risky_count", "SELECT sample_id, " + " + ".join(f"len(regexp_extract_all(code, {q(p)}))" for p in K.RISKY_PATTERNS) + " AS n FROM samples WHERE code IS NOT NULL")
 def _(s, d):
     return t(s, d, "samples").where("code is not null").select("sample_id", X.risky_count("code").cast("long").alias("n"))

@@ -287,6 +287,18 @@ def test_python_grammar_agrees_with_the_interpreter():
                 assert not got or any(x in str(e) for x in ("assign", "delete", "follows", "literal", "escape", "duplicate", "precedence", "parenthes")), text[-200:]
 
 
+def test_language_as_expression(spark):
+    from millrace.functions import constants as K
+    from millrace.functions import text as X
+
+    assert (K.SOURCE_LANGUAGES, K.SOURCE_EXTENSIONS) == (unparsable.LANGUAGES, unparsable.EXTENSIONS)
+    langs = [None, "", " ", "\u00a0\t", "\x1c", "Python 3", " PY ", "python", "C", "C99", "ANSI C", "C++", "c#", "Node.js", "java", "\u0130"]
+    paths = [None, "", "a.py", "a.b/c", "a.b/c.PYW", ".c", "x.", "x/y.h", "x.jsx", "x.cpp"]
+    rows = [(a, b) for a in langs for b in paths]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.source_language("a", "b").alias("k")).collect()
+    assert {(r["a"], r["b"]): r["k"] for r in got} == {x: unparsable.language_of(*x) for x in rows}
+
+
 def test_language_and_rows(spark):
     names = {"Python 3.11": "python", " PY": "python", "Node.js": "javascript", "C99": "c", "C++": None, "C#": None, "go": None}
     assert {n: unparsable.language_of(n, "x.py") for n in names} == names

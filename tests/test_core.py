@@ -1,7 +1,10 @@
 """Small exact cases, edges included, of the core operators."""
 
+import hashlib
 import json
 import os
+import random
+import re
 import zipfile
 
 import numpy as np
@@ -14,6 +17,7 @@ from millrace.functions import text as X
 from millrace.functions import constants as K
 from millrace.operators import drift, graph, relational, series, stats, vectors
 from millrace.operators.components import components
+from millrace.plans import text_plans
 from millrace.runtime import ranked, settle, skew_safe_lookup
 from millrace.sinks import writers
 from millrace.sources import files, records, replay
@@ -52,6 +56,35 @@ def test_patches(spark):
     assert one(spark, " only context", X.patch_snippets)["before"] is None
 
 
+def without_preprocessor(code):
+    """Line by line: (text, end) pairs, directives emptied, a run of blank lines and the end before it cut to two line feeds."""
+    lines = [re.match(r"(.*?)(\r\n|\r|\n|$)", x, re.S).groups() for x in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", code)]
+    lines = [("" if re.match(r"[ \t]*#[ \t]*(include|define|ifdef|ifndef|endif)\b", x) else x, end) for x, end in lines]
+    out, blanks = [], 0
+    for x, end in lines:
+        if not x.strip(" \t\v\f"):
+            blanks += 1
+            continue
+        if blanks and out:
+            out[-1] = (out[-1][0], ("\r" if out[-1][1] == "\r\n" else "") + "\n\n")
+        out.append((x, end))
+        blanks = 0
+    return "".join(x + end for x, end in out).strip(" \t\r\n\v\f")
+
+
+def test_no_preprocessor_over_all_c_and_line_ends(spark, tmp_path):
+    rng = random.Random(5)
+    pieces = ["int a;", "  int b; // #define", "#include <x.h>", "\t# define N 1", "#ifdef N", "#endif /* N */", "#if N", "#endifx", "", "  "]
+    codes = ["".join(rng.choice(pieces) + rng.choice(["\n", "\r\n", "\r"] if i % 2 else ["\r\n"]) for _ in range(rng.randint(0, 14))) + rng.choice(["", "#endif", "}"]) for i in range(400)]
+    codes += ["#include <a>\rint x;\n", "int a;\r\n#define B\r\n\r\nint c;\r\n", ""]
+    kinds = [("c", "a/b.c"), ("C", "b.h"), (None, "x.c"), (" ", "y.H"), ("ANSI C", None)]
+    others = [("C++", "a.h"), ("python", "a.c"), (None, "a.cpp"), (None, None)]
+    rows = [(i, c, *kinds[i % 5]) for i, c in enumerate(codes)] + [(1000 + i, "int x;", *o) for i, o in enumerate(others)] + [(2000, None, "c", "n.c")]
+    spark.createDataFrame(rows, "row_id long, vulnerable_code string, language string, file_path string").write.parquet(str(tmp_path / "repo_commits.parquet"))
+    got = {r["row_id"]: r["h"] for r in text_plans.QUERIES["st13_no_preprocessor_all_c"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(without_preprocessor(c).encode()).hexdigest() for i, c in enumerate(codes)} | {2000: None}
+
+
 def test_references(spark):
     urls = ["https://github.com/o/r/commit/abc", "https://example.com/x", "https://github.com/o/r/pull/1", "https://github.com/o/r/commit/" + "a" * 40, "https://github.com/o/r/issues"]
     df = spark.createDataFrame([(urls,)], "u array<string>")
