@@ -240,7 +240,7 @@ def _(s, d):
 @query("ud5_table_function")
 def _(s, d):
     register(s)
-    t(s, d, "repo_commits").where("language = 'python'").createOrReplaceTempView("mr_python")
+    t(s, d, "repo_commits").where(X.source_language("language", "file_path") == "python").createOrReplaceTempView("mr_python")
     return s.sql("SELECT kind, count(*) AS n FROM mr_python, LATERAL python_nodes(vulnerable_code) GROUP BY kind")
 
 

@@ -228,7 +228,7 @@ def _(s, d):
 
 @query("ar3_ar4_gr10_trees")
 def _(s, d):
-    py = t(s, d, "repo_commits").where(F.lower(F.trim("language")).isin("python", "py"))
+    py = t(s, d, "repo_commits").where(X.source_language("language", "file_path") == "python")
     x = G.trees(py, "row_id", "vulnerable_code")
     return x.select("row_id", "ok", "how", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"))
 

@@ -145,7 +145,7 @@ def _(s, d):
 
 @query("st5_syntax_counts")
 def _(s, d):
-    py = t(s, d, "repo_commits").where(F.lower(F.trim("language")).isin("python", "py"))
+    py = t(s, d, "repo_commits").where(X.source_language("language", "file_path") == "python")
     return py.select("row_id", X.syntax_counts("vulnerable_code").alias("m")).select("row_id", "m.*")
 
 

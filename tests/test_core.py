@@ -17,7 +17,7 @@ from millrace.functions import text as X
 from millrace.functions import constants as K
 from millrace.operators import drift, graph, relational, series, stats, vectors
 from millrace.operators.components import components
-from millrace.plans import text_plans
+from millrace.plans import extra_plans, graph_plans, text_plans
 from millrace.runtime import ranked, settle, skew_safe_lookup
 from millrace.sinks import writers
 from millrace.sources import files, records, replay
@@ -236,6 +236,16 @@ def test_trees(spark):
     assert r[2]["how"] == "partial" and r[3]["how"] == "tokens" and r[3]["nodes"] == ["(", "a", "b"]
 
 
+def test_python_rows_by_language_or_extension(spark, tmp_path):
+    kinds = [("python", "a.py"), ("Python 3", "b"), (" py", "c.txt"), (None, "d.py"), ("", "e.PYW"), ("javascript", "f.py"), (None, "g.js"), (None, None)]
+    rows = [(i, "for x in y: f(x)", *k) for i, k in enumerate(kinds)]
+    spark.createDataFrame(rows, "row_id long, vulnerable_code string, language string, file_path string").write.parquet(str(tmp_path / "repo_commits.parquet"))
+    run = lambda m, name: m.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(r["row_id"] for r in run(text_plans, "st5_syntax_counts")) == [0, 1, 2, 3, 4]
+    assert sorted(r["row_id"] for r in run(graph_plans, "ar3_ar4_gr10_trees")) == [0, 1, 2, 3, 4]
+    assert {r["kind"]: r["n"] for r in run(extra_plans, "ud5_table_function")}["For"] == 5
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(60, 8))
