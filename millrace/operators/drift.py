@@ -77,6 +77,21 @@ def _values(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["file_id", "rid", "path", "v"])
 
 
+def _match(batches):
+    """Of each file's pairs the best, then the best of what both sides still have, until no pair is left."""
+    for b in batches:
+        out = []
+        for feed, ord_, pairs in zip(*(b.column(i).to_pylist() for i in range(3))):
+            olds, news = set(), set()
+            for p in sorted(pairs, key=lambda p: (-p["n"], -p["same"], p["old"], p["new"])):
+                if p["old"] not in olds and p["new"] not in news:
+                    olds.add(p["old"])
+                    news.add(p["new"])
+                    out.append((feed, ord_, p["old"], p["new"]))
+        cols = list(zip(*out)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()))], ["feed", "ord", "old", "new"])
+
+
 def catalogue(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files: feed, file_id, ord), (fields: feed, file_id, ord, path, kind).
 
@@ -104,7 +119,8 @@ def changes(lines: DataFrame) -> DataFrame:
 
     For a renaming field_path is the old path and new_path the new one; for the rest new_path is null. A path is
     renamed if at least one shared record has both values and all that have both agree; if several paths fit, the
-    pair with most such records wins, then the one with the same last name, then the first by name, each path once.
+    pair with most such records wins, then the one with the same last name, then the first by name, each path once;
+    so on with the paths that are left, until none fit. One task holds the fitting pairs of one file.
     Lines that are no JSON object, and null payloads, are ignored; lines without a string id take no part in
     renaming. A file without any valid line has no fields. No lines give no rows.
     """
@@ -124,12 +140,8 @@ def changes(lines: DataFrame) -> DataFrame:
     new_v = vals.select("feed", "ord", "rid", F.col("path").alias("new"), F.col("v").alias("v1")).join(new.select("feed", "ord", F.col("path").alias("new")), ["feed", "ord", "new"], "left_semi")
     pairs = old_v.join(new_v, ["feed", "ord", "rid"]).groupBy("feed", "ord", "old", "new", "rid").agg(F.max((F.col("v0") == F.col("v1")).cast("int")).alias("eq")).groupBy("feed", "ord", "old", "new").agg(F.count("*").alias("n"), F.sum("eq").alias("eq")).where("n = eq")
     leaf = lambda c: F.element_at(F.split(c, r"\."), -1)
-    rank = [F.desc("n"), F.desc("same"), "old", "new"]
-    pairs = pairs.withColumn("same", (leaf("old") == leaf("new")).cast("int"))
-    for _ in range(2):
-        pairs = pairs.withColumn("ro", F.row_number().over(W.partitionBy("feed", "ord", "old").orderBy(*rank))).withColumn("rn", F.row_number().over(W.partitionBy("feed", "ord", "new").orderBy(*rank)))
-        pairs = pairs.where("ro = 1 and rn = 1") if _ == 1 else pairs.where("rn = 1 or ro = 1")
-    renamed = settle(pairs.select("feed", "ord", "old", "new"))
+    ranked = pairs.withColumn("same", (leaf("old") == leaf("new")).cast("int")).groupBy("feed", "ord").agg(F.collect_list(F.struct("n", "same", "old", "new")).alias("pairs"))
+    renamed = settle(ranked.mapInArrow(_match, "feed string, ord int, old string, new string"))
     r_old, r_new = renamed.select("feed", "ord", F.col("old").alias("path"), "new"), renamed.select("feed", "ord", F.col("new").alias("path"))
     out = log.join(r_new, ["feed", "ord", "path"], "left_anti").join(r_old, ["feed", "ord", "path"], "left")
     kind = F.when(F.col("new").isNotNull(), "renamed").when(F.col("old_kind").isNull(), "added").when(F.col("new_kind").isNull(), "removed").otherwise("retyped")

@@ -357,6 +357,14 @@ def test_drift(spark):
     assert drift.found_changes(df.limit(0)).count() == 0 and drift.unified(df.limit(0)).count() == 0
 
 
+def test_drift_matches_until_no_pair_is_left(spark):
+    file = lambda names, **more: json.dumps({"id": "r"} | dict.fromkeys(names, 7) | more)
+    df = lines(spark, [(1, "a", 1, 1, file("ab")), (2, "a", 2, 1, file("cd")), (3, "a", 3, 1, file("wxyz", u=1)), (4, "b", 1, 1, file("pqrst")), (5, "b", 2, 1, file("efghi"))])
+    got = sorted((r["file_id"], r["change_kind"], r["field_path"], r["new_path"]) for r in drift.changes(df).collect())
+    want = [(2, "renamed", "a", "c"), (2, "renamed", "b", "d"), (3, "renamed", "c", "w"), (3, "renamed", "d", "x"), *((3, "added", p, None) for p in "uyz"), *((5, "renamed", o, n) for o, n in zip("pqrst", "efghi"))]
+    assert got == sorted(want, key=lambda r: r[:3])
+
+
 def test_streams(spark, tmp_path):
     from millrace.streaming import streams
 
