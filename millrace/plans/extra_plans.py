@@ -87,7 +87,7 @@ def _(s, d):
 @query("sc20_inventory", "SELECT 'part' AS directory, count(*) > 0 AS found FROM samples")
 def _(s, d):
     path = _new(s, "part")
-    writers.write_jsonl(t(s, d, "mix_targets"), f"{path}/part", files=1)
+    writers.write_jsonl(t(s, d, "samples"), f"{path}/part")
     return files.inventory(s, f"{path}/part/*.json").select("directory", (F.col("bytes") > 0).alias("found"))
 
 
@@ -99,6 +99,15 @@ def _(s, d):
     return s.read.schema(x.schema).json(path).agg(F.count("*").alias("n"))
 
 
+# the same over a table that grows
+@query("sk3_append_new_samples", "SELECT sample_id, source, label, code FROM samples")
+def _(s, d):
+    path, x = _new(s, "append"), t(s, d, "samples").select("sample_id", "source", "label", "code")
+    writers.append_jsonl(x.where("sample_id % 3 = 0"), path, "sample_id")
+    writers.append_jsonl(x, path, "sample_id")
+    return s.read.schema(x.schema).json(path)
+
+
 @query("sk10_sk12_parquet_append", "SELECT 2 * count(*) AS n FROM valid_split")
 def _(s, d):
     path, x = _new(s, "history"), t(s, d, "valid_split").select("row_id", F.col("label").cast("long").alias("label"), F.lit(0.5).cast("float").alias("prob"))

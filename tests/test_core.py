@@ -285,6 +285,18 @@ def test_files(spark, tmp_path):
     assert {r["directory"]: r["files"] for r in files.inventory(spark, str(tmp_path / "seed_*")).collect()} == {"seed_1": 2, "seed_2": 2}
 
 
+def test_inventory_query_counts_the_samples_it_wrote(spark, tmp_path, monkeypatch):
+    path, seen, real = str(tmp_path / "copy"), [], files.inventory
+    df = spark.range(0, 1000, 1, 5).select(F.col("id").alias("sample_id"), F.lit("int a;").alias("code"))
+    df.write.parquet(str(tmp_path / "samples.parquet"))
+    monkeypatch.setattr(extra_plans, "_new", lambda s, name: path)
+    monkeypatch.setattr(extra_plans.files, "inventory", lambda *a: seen.append(real(*a)) or seen[0])
+    assert [tuple(r) for r in extra_plans.QUERIES["sc20_inventory"](spark, str(tmp_path)).collect()] == [("part", True)]
+    written = [p for p in os.listdir(path + "/part") if p.endswith(".json")]
+    assert [tuple(r) for r in seen[0].collect()] == [("part", len(written), sum(os.path.getsize(f"{path}/part/{p}") for p in written))]
+    assert len(written) > 1 and spark.read.json(path + "/part").count() == 1000
+
+
 def test_replayed_pages_and_history(spark, tmp_path):
     for kw, n, docs in (("sql", 0, [{"id": 1}, {"id": 2}]), ("sql", 1, [{"id": 3}]), ("xss", 0, [{"id": 4}])):
         (tmp_path / f"{kw}__{n}.json").write_text(json.dumps(docs))
