@@ -1,4 +1,4 @@
-"""Writers of JSON lines, reports and snapshots, chosen by name."""
+"""Writers of JSON lines, tables and reports, chosen by name."""
 
 from __future__ import annotations
 
