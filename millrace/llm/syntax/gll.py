@@ -4,7 +4,8 @@ Rules are regular expressions over terminals and rule names; each becomes a dete
 transition network). A descriptor is an automaton state with a stack node. A node stands for one rule called at one
 token; its edges are the callers, so all descriptors that called the rule there share one run of it. All descriptors
 advance token by token, which keeps several dialects, started together, in step. Sets of possible first and following
-tokens are used to drop descriptors that cannot go on; they never drop one that can.
+tokens are used to drop descriptors that cannot go on; they never drop one that can. Stacks are immutable and
+interned, so equal ones are one object across files, and each move of a set of descriptors is worked out once.
 
 Notation, one rule a line, `name = body`: juxtaposition, `|`, `( )`, `[ ]` optional, `*`, `+`, 'text' for a token of
 that text, CAPITALS for a class of tokens, lower case for rules, and zero-width tests of the next token: `@asi` (it
@@ -16,6 +17,9 @@ from __future__ import annotations
 import re
 
 EOF = "<eof>"
+ACCEPTED, REJECTED = -1, -2
+#: Sets of descriptors that a worker remembers between files; a bound of memory, without effect on any result.
+MOST_CONFIGS = 200_000
 _PIECE = re.compile(r"'((?:[^'\\]|\\.)+)'|(@?[A-Za-z_][\w~^]*)|([()|*+\[\]])|\s+")
 _ASI_STOP = ("}", EOF)
 _NOT_EXPR = ("{", "function", "class")
@@ -112,6 +116,7 @@ class Grammar:
         self.starts = starts
         self._sets()
         self._actions: dict = {}
+        self._reset()
 
     def _automaton(self, name, body):
         nfa = _Nfa()
@@ -247,61 +252,122 @@ class Grammar:
         nodes = tuple((r, tuple(callers[r])) for r in needed)
         return tuple(e for e, r in shifts if r is None), nodes, tuple((e, r) for e, r in shifts if r is not None), pop
 
+    def _reset(self) -> None:
+        """Forget all interned stacks and moves; they are worked out again when needed."""
+        self._nodes: dict = {}
+        self._edges: list[tuple] = []
+        self._configs: dict = {}
+        self._members: list[tuple] = []
+        self._moves: list[dict] = []
+        roots = [self._node(s, ()) for s in self.starts]
+        self._roots = frozenset(roots)
+        self._begin = self._config((self.start[s], r) for s, r in zip(self.starts, roots))
+
+    def _node(self, rule: str, callers) -> int:
+        """The stack node of a rule with these callers; equal stacks are one node, in whatever file they arise."""
+        key = (rule, frozenset(callers)) if callers else (rule, None)
+        got = self._nodes.get(key)
+        if got is None:
+            got = self._nodes[key] = len(self._edges)
+            self._edges.append(tuple(callers))
+        return got
+
+    def _config(self, descriptors) -> int:
+        """A set of descriptors (state, node), numbered."""
+        key = frozenset(descriptors)
+        got = self._configs.get(key)
+        if got is None:
+            got = self._configs[key] = len(self._members)
+            self._members.append(tuple(key))
+            self._moves.append({})
+        return got
+
+    def _settle_nodes(self, fresh: dict[str, list]) -> dict[str, int]:
+        """Numbers of the rules called at one token. fresh: rule -> callers (state, number of a node or rule of this token)."""
+        done: dict[str, int] = {}
+        open_: set[str] = set()
+        for top in fresh:
+            stack = [top]
+            while stack:
+                r = stack[-1]
+                if r in done:
+                    stack.pop()
+                    continue
+                waiting = [by for _, by in fresh[r] if isinstance(by, str) and by not in done]
+                if not waiting:
+                    done[r] = self._node(r, {(e, done[by] if isinstance(by, str) else by) for e, by in fresh[r]})
+                    open_.discard(r)
+                    stack.pop()
+                elif r in open_ or any(by in open_ for by in waiting):
+                    return self._cyclic(fresh)
+                else:
+                    open_.add(r)
+                    stack.extend(waiting)
+        return done
+
+    def _cyclic(self, fresh: dict[str, list]) -> dict[str, int]:
+        """Rules that call themselves before any token make stacks with cycles; these are not shared with other files."""
+        at = {}
+        for r in fresh:
+            at[r] = len(self._edges)
+            self._edges.append(())
+        for r, callers in fresh.items():
+            self._edges[at[r]] = tuple({(e, at[by] if isinstance(by, str) else by) for e, by in callers})
+        return at
+
+    def _advance(self, config: int, tok) -> int:
+        """The configuration after a token, ACCEPTED or REJECTED."""
+        steps, edges = self._actions, self._edges
+        cur = list(self._members[config])
+        last = tok[0][0] == EOF
+        done, nxt, inner, fresh = set(cur), set(), set(), {}
+        accepted = False
+        while cur:
+            state, node = cur.pop()
+            plan = steps.get((state, tok))
+            if plan is None:
+                plan = steps[state, tok] = self.step(state, tok)
+            shifts, called, deeper, pop = plan
+            nxt.update((e, node) for e in shifts)
+            for r, callers in called:
+                held = fresh.setdefault(r, [])
+                for e, by in callers:
+                    edge = (e, node if by is None else by)
+                    if edge not in held:
+                        held.append(edge)
+            inner.update(deeper)
+            if pop:
+                if last and node in self._roots:
+                    accepted = True
+                for d in edges[node]:
+                    if d not in done:
+                        done.add(d)
+                        cur.append(d)
+        if accepted:
+            out = ACCEPTED
+        elif not nxt and not inner:
+            out = REJECTED
+        else:
+            at = self._settle_nodes(fresh)
+            out = self._config(nxt | {(e, at[r]) for e, r in inner})
+        self._moves[config][tok] = out
+        return out
+
     def accepts(self, tokens) -> bool:
         """tokens: (kinds, fresh) each, kinds a tuple of the terminals a token may be. All start rules run together.
 
-        A stack node is the list of its callers: (state after the call, caller's node). A rule called at a token has
-        one node there, whoever calls it.
+        A stack node is the set of its callers: (state after the call, caller's node). A rule called at a token has one
+        node there, whoever calls it. Nodes with the same callers are the same node, and so are sets of descriptors; so
+        what a token does is worked out once for each set, and looked up wherever the same stacks arise again.
         """
-        steps, step = self._actions, self.step
-        roots = [[] for _ in self.starts]
-        root_ids = {id(r) for r in roots}
-        cur = [(self.start[s], r) for s, r in zip(self.starts, roots)]
+        if len(self._members) > MOST_CONFIGS:
+            self._reset()
+        at, moves = self._begin, self._moves
         for tok in tokens:
-            last = tok[0][0] == EOF
-            nxt: list = []
-            nodes: dict = {}
-            done: set = set()
-            while cur:
-                state, node = cur.pop()
-                key = (state, id(node))
-                if key in done:
-                    continue
-                done.add(key)
-                plan = steps.get((state, tok))
-                if plan is None:
-                    plan = steps[state, tok] = step(state, tok)
-                shifts, called, inner, pop = plan
-                for e in shifts:
-                    nxt.append((e, node))
-                if called:
-                    for r, _ in called:
-                        if r not in nodes:
-                            nodes[r] = []
-                    for r, edges in called:
-                        callee = nodes[r]
-                        for e, by in edges:
-                            caller = node if by is None else nodes[by]
-                            for q, x in callee:
-                                if x is caller and q == e:
-                                    break
-                            else:
-                                callee.append((e, caller))
-                    for e, r in inner:
-                        nxt.append((e, nodes[r]))
-                if pop:
-                    if last and id(node) in root_ids:
-                        return True
-                    cur.extend(node)
-            if not nxt:
-                return False
-            if len(nxt) > 1:
-                kept, seen = [], set()
-                for d in nxt:
-                    k = (d[0], id(d[1]))
-                    if k not in seen:
-                        seen.add(k)
-                        kept.append(d)
-                nxt = kept
-            cur = nxt
+            to = moves[at].get(tok)
+            if to is None:
+                to = self._advance(at, tok)
+            if to < 0:
+                return to == ACCEPTED
+            at = to
         return False

@@ -68,16 +68,20 @@ sub = starred | [ test ] ':' [ test ] [ ':' [ test ] ]
 """
 
 # ~ is replaced by nothing and by A: the same rules outside and inside async functions, where await is an operator.
+# $ is replaced by nothing, S and L: the same statements outside, in a switch, and in a loop, for break and continue.
 JAVASCRIPT = r"""
-stmt~ = block~ | decl~ semi | ';' | @expr expr~ semi | 'if' '(' expr~ ')' stmt~ [ 'else' stmt~ ] | 'do' stmt~ 'while' '(' expr~ ')' [ ';' ] | 'while' '(' expr~ ')' stmt~
-stmt~ = 'for' '(' [ expr~ | decl~ ] ';' [ expr~ ] ';' [ expr~ ] ')' stmt~ | 'for' '(' ( ( 'var' | 'let' | 'const' ) bind~ | unit~ ) ( 'of' assign~ | 'in' expr~ ) ')' stmt~
-stmt~ = 'continue' [ name ] semi | 'break' [ name ] semi | 'return' [ expr~ ] semi | 'with' '(' expr~ ')' stmt~ | 'throw' expr~ semi | 'debugger' semi | name ':' stmt~
-stmt~ = 'switch' '(' expr~ ')' '{' ( ( 'case' expr~ | 'default' ) ':' stmt~* )* '}' | 'try' block~ ( 'catch' [ '(' bind~ ')' ] block~ [ 'finally' block~ ] | 'finally' block~ )
-stmt~ = function~ | class~
+stmt~$ = block~$ | decl~ semi | ';' | @expr expr~ semi | 'if' '(' expr~ ')' stmt~$ [ 'else' stmt~$ ] | 'do' stmt~L 'while' '(' expr~ ')' [ ';' ] | 'while' '(' expr~ ')' stmt~L
+stmt~$ = 'for' '(' [ expr~ | decl~ ] ';' [ expr~ ] ';' [ expr~ ] ')' stmt~L | 'for' '(' ( ( 'var' | 'let' | 'const' ) bind~ | target~ | pattern~ ) ( 'of' assign~ | 'in' expr~ ) ')' stmt~L
+stmt~$ = 'return' [ expr~ ] semi | 'with' '(' expr~ ')' stmt~$ | 'throw' expr~ semi | 'debugger' semi | name ':' stmt~$ | 'break' name semi
+stmt~$ = 'try' block~$ ( 'catch' [ '(' bind~ ')' ] block~$ [ 'finally' block~$ ] | 'finally' block~$ )
+stmt~$ = function~ | class~
+stmt~ = 'switch' '(' expr~ ')' '{' ( ( 'case' expr~ | 'default' ) ':' stmt~S* )* '}'
+stmt~S = 'switch' '(' expr~ ')' '{' ( ( 'case' expr~ | 'default' ) ':' stmt~S* )* '}' | 'break' semi
+stmt~L = 'switch' '(' expr~ ')' '{' ( ( 'case' expr~ | 'default' ) ':' stmt~L* )* '}' | 'break' semi | 'continue' [ name ] semi
 semi = ';' | @asi
-block~ = '{' stmt~* '}'
+block~$ = '{' stmt~$* '}'
 decl~ = ( 'var' | 'let' | 'const' ) bind~ [ '=' assign~ ] ( ',' bind~ [ '=' assign~ ] )*
-bind~ = name | '{' [ prop~ ( ',' prop~ )* [ ',' ] ] '}' | '[' ( ',' | [ '...' ] bind~ [ '=' assign~ ] )* ']'
+bind~ = name | '{' [ prop~ ( ',' prop~ )* [ ',' ] ] '}' | '[' ','* [ [ '...' ] bind~ [ '=' assign~ ] ( ','+ [ '...' ] bind~ [ '=' assign~ ] )* ','* ] ']'
 prop~ = key~ ':' bind~ [ '=' assign~ ] | name [ '=' assign~ ] | '...' bind~
 function~ = 'function' [ '*' ] [ name ] '(' [ params ] ')' block | 'async' 'function' [ '*' ] [ name ] '(' [ paramsA ] ')' blockA
 params~ = param~ ( ',' param~ )* [ ',' ]
@@ -87,19 +91,25 @@ member~ = ';' | [ 'static' ] ( key~ | PRIVATE ) [ '=' assign ] semi | [ 'static'
 method~ = [ 'get' | 'set' | '*' ] ( key~ | PRIVATE ) '(' [ params ] ')' block | 'async' [ '*' ] ( key~ | PRIVATE ) '(' [ paramsA ] ')' blockA
 key~ = WORD | STRING | NUMBER | '[' assign~ ']'
 expr~ = assign~ ( ',' assign~ )*
-assign~ = unit~ ( binop unit~ )* [ '?' assign~ ':' assign~ ]
-unit~ = prefix~* ( postfix~ [ '++' | '--' ] | arrow~ | 'yield' [ [ '*' ] assign~ ] )
+assign~ = operands~ [ '?' assign~ ':' assign~ ] | target~ ( '=' | augop ) assign~ | pattern~ '=' assign~ | arrow~ | 'yield' [ [ '*' ] assign~ ]
+operands~ = unit~ ( binop unit~ )*
+unit~ = prefix~* ( postfix~ | target~ ( '++' | '--' ) | ( '++' | '--' ) target~ )
 binop = '+' | '-' | '*' | '/' | '%' | '**' | '<<' | '>>' | '>>>' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&' | '|' | '^' | '&&' | '||' | '??' | 'in' | 'instanceof'
-binop = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
-prefix~ = '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'new'
+augop = '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
+prefix~ = '!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'new'
 prefixA = 'await'
+target~ = name | '(' target~ ')' | 'new'* primary~ suffix~* ( '.' ( WORD | PRIVATE ) | '[' expr~ ']' )
+pattern~ = '{' [ slot~ ( ',' slot~ )* [ ',' ] ] '}' | '[' ','* [ [ '...' ] place~ [ '=' assign~ ] ( ','+ [ '...' ] place~ [ '=' assign~ ] )* ','* ] ']'
+slot~ = key~ ':' place~ [ '=' assign~ ] | name [ '=' assign~ ] | '...' place~
+place~ = target~ | pattern~
 arrow~ = name '=>' body | '(' [ params~ ] ')' '=>' body | 'async' name '=>' bodyA | 'async' '(' [ paramsA ] ')' '=>' bodyA
 body~ = block~ | @expr assign~
-postfix~ = primary~ ( '.' ( WORD | PRIVATE ) | '?.' ( WORD | PRIVATE | '[' expr~ ']' | callargs~ ) | '[' expr~ ']' | callargs~ | template~ )*
+postfix~ = primary~ suffix~*
+suffix~ = '.' ( WORD | PRIVATE ) | '?.' ( WORD | PRIVATE | '[' expr~ ']' | callargs~ ) | '[' expr~ ']' | callargs~ | template~
 callargs~ = '(' [ [ '...' ] assign~ ( ',' [ '...' ] assign~ )* [ ',' ] ] ')'
-primary~ = name | NUMBER | STRING | REGEX | template~ | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr~ ')' | '[' ( ',' | [ '...' ] assign~ )* ']' | function~ | class~
-primary~ = '{' [ entry~ ( ',' entry~ )* [ ',' ] ] '}' | 'import' callargs~ | 'new' '.' 'target' | PRIVATE 'in' unit~
-entry~ = key~ ':' assign~ | name [ '=' assign~ ] | '...' assign~ | method~
+primary~ = name | NUMBER | STRING | REGEX | template~ | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr~ ')' | function~ | class~
+primary~ = '[' ','* [ [ '...' ] assign~ ( ','+ [ '...' ] assign~ )* ','* ] ']' | '{' [ entry~ ( ',' entry~ )* [ ',' ] ] '}' | 'import' callargs~ | 'new' '.' 'target' | PRIVATE 'in' unit~
+entry~ = key~ ':' assign~ | name | '...' assign~ | method~
 template~ = TEMPLATE | TEMPLATE_HEAD expr~ ( TEMPLATE_MIDDLE expr~ )* TEMPLATE_TAIL
 name = NAME
 """
@@ -166,6 +176,8 @@ def grammar(language: str) -> Grammar:
     if language == "javascript":
         rules = []
         for line in JAVASCRIPT.strip().splitlines():
-            rules += [line.replace("'~'", "\0").replace("~", x).replace("\0", "'~'") for x in (("", "A") if "~" in line.replace("'~'", "") else ("",))]
+            line = line.replace("'~'", "\0")
+            for x in ("", "A") if "~" in line else ("",):
+                rules += [line.replace("~", x).replace("$", y).replace("\0", "'~'") for y in (("", "S", "L") if "$" in line else ("",))]
         return Grammar("\n".join(["script = stmt*", *rules]), ["script"])
     return Grammar(C_SHARED + C_OLD, ["unit", "oldunit"])

@@ -31,28 +31,36 @@ def language_of(language: str | None, path: str | None) -> str | None:
     return EXTENSIONS.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
 
 
-def parses(code: str, language: str) -> bool:
-    """Whether some dialect of the language accepts the whole file.
+VALID, INVALID, UNDECIDED, UNKNOWN = "valid", "invalid", "undecided", "unknown language"
+
+
+def verdict(code: str, language: str) -> str:
+    """valid if some dialect of the language accepts the whole file, else invalid; undecided where that cannot be told.
 
     For Python an exact check by the interpreter's own parser follows what the grammar accepts: it knows rules that
-    are no matter of grammar, such as what can be assigned to.
+    are no matter of grammar, such as what can be assigned to. Undecided are C files whose macros expand beyond
+    `tokens.MOST_EXPANDED` tokens, and files nested beyond the depth of the interpreter.
     """
-    toks = _SCANNERS[language](code)
-    if toks is None or not grammar(language).accepts(toks):
-        return False
-    if language == "python":
-        try:
+    try:
+        toks = _SCANNERS[language](code)
+        if toks is None or not grammar(language).accepts(toks):
+            return INVALID
+        if language == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(tokens.newlines(code))
-        except (SyntaxError, ValueError):
-            return False
-        except (RecursionError, MemoryError):
-            return True
-    return True
+    except (SyntaxError, ValueError):
+        return INVALID
+    except (tokens.Undecided, RecursionError, MemoryError):
+        return UNDECIDED
+    return VALID
+
+
+def parses(code: str, language: str) -> bool:
+    return verdict(code, language) == VALID
 
 
-_FILES = "row_id long, repository string, lang string, code_field string, invalid boolean"
+_FILES = "row_id long, repository string, lang string, code_field string, verdict string"
 
 
 def _judge(batches):
@@ -65,34 +73,38 @@ def _judge(batches):
             for field, code in (("vulnerable_code", bad), ("fixed_code", good)):
                 if code is None:
                     continue
-                verdict = None
+                said = UNKNOWN
                 if kind is not None:
                     key = (kind, hashlib.blake2b(code.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     if key not in known:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        known[key] = not parses(code, kind)
-                    verdict = known[key]
-                for c, v in zip(out, (row, repo, kind, field, verdict)):
+                        known[key] = verdict(code, kind)
+                    said = known[key]
+                for c, v in zip(out, (row, repo, kind, field, said)):
                     c.append(v)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row_id", "repository", "lang", "code_field", "invalid"])
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row_id", "repository", "lang", "code_field", "verdict"])
 
 
 def judged(commits: DataFrame) -> DataFrame:
-    """(row_id, repository, lang, code_field, invalid) of every non-null file; invalid is null if the language is unknown.
+    """(row_id, repository, lang, code_field, verdict) of every non-null file: valid, invalid, undecided or unknown language.
 
-    Empty files are valid. Nothing is shuffled. No commits give no rows.
+    Empty files are valid. No commits give no rows.
     """
     return spread(commits.select(F.col("row_id").cast("long"), "repository", "language", "file_path", "vulnerable_code", "fixed_code")).mapInArrow(_judge, _FILES)
 
 
 def found_unparsable(commits: DataFrame) -> DataFrame:
-    return judged(commits).where("invalid").select("row_id", "code_field")
+    return judged(commits).where(F.col("verdict") == INVALID).select("row_id", "code_field")
 
 
 def rates(commits: DataFrame) -> DataFrame:
-    """(repository, lang, files, invalid_files, invalid_pct) per repository and language ('unknown' where null)."""
+    """(repository, lang, files, invalid_files, undecided_files, invalid_pct) per repository and language ('unknown' where null).
+
+    invalid_pct is of the files that could be judged, null if there are none.
+    """
     j = judged(commits)
-    g = j.groupBy(F.coalesce("repository", F.lit("unknown")).alias("repository"), F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.count("*").alias("files"), F.count_if("invalid").alias("invalid_files"))
-    return g.withColumn("invalid_pct", F.round(100.0 * F.col("invalid_files") / F.col("files"), 4))
+    g = j.groupBy(F.coalesce("repository", F.lit("unknown")).alias("repository"), F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.count("*").alias("files"), *(F.count_if(F.col("verdict") == v).alias(n) for v, n in ((INVALID, "invalid_files"), (UNDECIDED, "undecided_files"), (UNKNOWN, "_unknown"))))
+    told = F.col("files") - F.col("undecided_files") - F.col("_unknown")
+    return g.withColumn("invalid_pct", F.round(100.0 * F.col("invalid_files") / F.when(told > 0, told), 4)).drop("_unknown")
