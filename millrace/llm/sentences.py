@@ -6,27 +6,33 @@ into three lists: words that start sentences; words whose period is followed by
 abbreviation); and words that follow the period of a number, as in German ordinals and dates (a collocation). The
 second pass cuts each text into blocks (headings, list items, fences, paragraphs) and classifies every terminator.
 
-A list keeps only words with at least MIN_COUNT uses and MIN_SHARE of its language's counted events, and only
-languages with LANGUAGE_SHARE of all words have lists of their own; so there are at most 1 / LANGUAGE_SHARE + 1
-languages with lists of at most 1 / MIN_SHARE words, which may be broadcast at any size of the corpus.
+A list keeps only words with at least MIN_COUNT uses and MIN_SHARE of its language's counted events, so one language
+has at most 1 / MIN_SHARE words in each list. Every language is learned, however few its texts; a language is a tag of
+two or three letters, so there are fewer than 18,300. Lists are broadcast for as many languages at a time as have
+LIST_ENTRIES entries together; more languages are cut in further runs over their own documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import settle, spread
 
-MIN_COUNT, MIN_SHARE, LANGUAGE_SHARE = 3, 1e-5, 1e-3
-#: Capitals that start no sentence speak for an abbreviation only after words as short as titles.
-TITLE = 5
-#: 99.9 % of the chi-squared distribution with one degree of freedom.
-LLR = 10.83
+MIN_COUNT, MIN_SHARE = 3, 1e-5
+#: Entries of lists that are broadcast together. The lists of one language, and those of all languages, are never divided.
+LIST_ENTRIES = 1_000_000
+#: A capital that starts no sentence speaks for an abbreviation after words that have their period in so many of their uses.
+PERIOD_SHARE = 0.9
+#: 99.9 and 95 % of the chi-squared distribution with one degree of freedom.
+LLR, LLR_95 = 10.83, 3.84
 
 OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "‘": "’", "「": "」", "『": "』", "（": "）", "《": "》", "〈": "〉", "【": "】", "‹": "›", "»": "«"}
 CLOSERS = set(OPEN.values()) | {'"', "'", "”", "’"}
@@ -45,12 +51,53 @@ _LAST = frozenset(_HARD + ".")
 
 
 def language(lang: str | None) -> str:
-    """The primary subtag in lower case; 'und' where there is none."""
-    return re.split(r"[-_]", (lang or "").strip().lower())[0] or "und"
+    """The primary subtag in lower case; 'und' where there is none of two or three letters."""
+    tag = re.split(r"[-_]", (lang or "").strip().lower())[0]
+    return tag if re.fullmatch("[a-z]{2,3}", tag) else "und"
+
+
+def language_column(lang):
+    """`language` as a column."""
+    tag = F.regexp_extract(F.lower(F.trim(lang)), "^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when(F.coalesce(tag, F.lit("")) == "", "und").otherwise(tag)
+
+
+_MARKED = r"[ \t]*(?:#|[-*+•‣◦·–][ \t]|\(?\d{1,3}[.)][ \t]|\(?[a-zA-Z][)][ \t]|[=_*-]+[ \t]*(?:\n|\Z))"
+_MARKED_FIRST, _MARKED_LATER = re.compile(_MARKED), re.compile("\n" + _MARKED)
+_GAP = re.compile(r"\n\s*\n")
 
 
 def blocks(text: str):
     """(kind, start, end) of each fence, heading, list item and paragraph, without surrounding space."""
+    if "```" in text or "~~~" in text or len(text.splitlines()) != text.count("\n") + (text[-1:] != "\n" and text != ""):
+        yield from _blocks(text)
+        return
+    at, end = 0, len(text)
+    while at < end:
+        gap = _GAP.search(text, at)
+        a, b = gap.span() if gap else (end, end)
+        if a > at:
+            if not _MARKED_FIRST.match(text, at, a) and not _MARKED_LATER.search(text, at, a):
+                yield from _trimmed(text, "para", at, a)
+            elif "\n" not in (part := text[at:a]):
+                yield from _trimmed(text, "head" if _HEAD.match(part) else "item" if _ITEM.match(part) else "para", at, a)
+            else:
+                for kind, x, y in _blocks(part):
+                    yield kind, at + x, at + y
+        at = b
+
+
+def _trimmed(text, kind, a, b):
+    while a < b and text[a].isspace():
+        a += 1
+    while b > a and text[b - 1].isspace():
+        b -= 1
+    if b > a:
+        yield kind, a, b
+
+
+def _blocks(text: str):
+    """The same line by line, for texts with fences or unusual line ends and for stretches with headings or items."""
     lines, at = [], 0
     for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)|(?<=[  \x0b\x0c\x85])", text):
         lines.append((at, at + len(line)))
@@ -92,6 +139,7 @@ def blocks(text: str):
         yield ("para", *trimmed(*para))
 
 
+@lru_cache(1 << 16)
 def shape(token: str) -> str:
     """U capital, l lower case (words, file names), i identifier, d digit, o other, by what a token begins with."""
     t = token.lstrip(_STRIP)
@@ -112,65 +160,110 @@ def shape(token: str) -> str:
     return "l" if c.islower() else "o"
 
 
-def word(token: str, lower: bool = True) -> str:
+@lru_cache(1 << 16)
+def word(token: str) -> str:
+    """A token without marks around it; '#' for a number, a digest for more than 64 characters."""
     t = token.strip(_STRIP)
-    if lower:
-        t = t.lower()
     if t.endswith("."):
         t = t.rstrip(".").rstrip(_STRIP)
-    return "#" if t and t[-1].isdigit() and t[0] in "0123456789.,$€£-+" and not any(x.isalpha() for x in t) else t
+    if not t:
+        return t
+    if t[-1].isdigit() and t[0] in "0123456789.,$€£-+" and not any(x.isalpha() for x in t):
+        return "#"
+    return t if len(t) <= 64 else "\u0001" + blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def count(text: str, lang: str, tokens_of: dict[str, Counter], into: Counter) -> None:
-    """Counts of one text: its tokens by language, and by (language, kind, word, next word, next shape) what follows an end."""
-    held = tokens_of.setdefault(lang, Counter())
-    for kind, a, b in blocks(text):
-        if kind == "fence":
-            continue
-        tokens = _TOKEN.findall(text[a:b])
-        if kind != "para":
-            tokens = tokens[1:]
-        for m in _CJK_START.finditer(text, a, b):
-            into[lang, "open", m[1], "", ""] += 1
-        if kind == "para" and _CJK.match(text[a]):
-            into[lang, "open", text[a : a + 2], "", ""] += 1
-        held.update(tokens)
-        ends = [(i, t) for i, t in enumerate(tokens) if t[-1] in _LAST]
-        if kind != "head":
-            ends.insert(0, (-1, ""))
-        for i, t in ends:
-            w = word(t, lower=False)
-            dot = t[-1:] == "."
-            if (i >= 0 and not w) or (dot and t.endswith("..")):
+class Counts:
+    """Counts of a batch by language: tokens, pairs of a token that ends something and the next one, and openings."""
+
+    def __init__(self):
+        self.tokens: dict[str, Counter] = {}
+        self.pairs: dict[str, Counter] = {}
+        self.opens: Counter = Counter()
+
+    def add(self, text: str, lang: str) -> None:
+        if lang not in self.tokens:
+            self.tokens[lang], self.pairs[lang] = Counter(), Counter()
+        held, pairs = self.tokens[lang], []
+        for kind, a, b in blocks(text):
+            if kind == "fence":
                 continue
-            if dot:
-                into[lang, "dot", w, "", ""] += 1
-            # the next token that is more than punctuation
-            for j in range(i + 1, len(tokens)):
-                if nw := word(tokens[j], lower=False):
-                    if dot:
-                        into[lang, "pair", w, nw, shape(tokens[j])] += 1
-                    else:
-                        into[lang, "start", nw, "", ""] += 1
-                    break
+            tokens = _TOKEN.findall(text, a, b)
+            if kind != "para":
+                tokens = tokens[1:]
+            if tokens and _CJK.search(text, a, b):
+                self.opens.update((lang, x) for x in _CJK_START.findall(text, a, b))
+                if kind == "para" and _CJK.match(text[a]):
+                    self.opens[lang, text[a : a + 2]] += 1
+            held.update(tokens)
+            ends = [i for i, t in enumerate(tokens) if t[-1] in _LAST]
+            if kind != "head":
+                ends.insert(0, -1)
+            n = len(tokens)
+            for i in ends:
+                j = i + 1
+                # the next token that is more than punctuation
+                while j < n and not (tokens[j][0].isalnum() or word(tokens[j])):
+                    j += 1
+                pairs.append((tokens[i] if i >= 0 else "", tokens[j] if j < n else ""))
+        self.pairs[lang].update(pairs)
+
+    def rows(self) -> dict[tuple, list[int]]:
+        """(lang, kind, word, next) -> [uses, starts, dots, nexts, continued, opens].
+
+        Kind w are words; u are capitals after a period, by the word before it; o are two-character openings.
+        """
+        out: dict[tuple, list[int]] = {}
+
+        def add(lang, kind, a, b, at, n):
+            row = out.get((lang, kind, a, b))
+            if row is None:
+                row = out[lang, kind, a, b] = [0, 0, 0, 0, 0, 0]
+            row[at] += n
+
+        for lang, held in self.tokens.items():
+            for t, n in held.items():
+                if w := word(t):
+                    add(lang, "w", w, "", 0, n)
+        for lang, pairs in self.pairs.items():
+            for (t, after), n in pairs.items():
+                w = word(t)
+                dot = t[-1:] == "."
+                if (t and not w) or (dot and t.endswith("..")):
+                    continue
+                if dot:
+                    add(lang, "w", w, "", 2, n)
+                nw = word(after)
+                if not nw:
+                    continue
+                if not dot:
+                    add(lang, "w", nw, "", 1, n)
+                    continue
+                add(lang, "w", w, "", 3, n)
+                sh = shape(after)
+                if sh == "l" or sh == "d":
+                    add(lang, "w", w, "", 4, n)
+                elif sh == "U":
+                    add(lang, "u", w, nw, 3, n)
+        for (lang, x), n in self.opens.items():
+            add(lang, "o", x, "", 5, n)
+        return out
 
 
-_COUNTS = "lang string, kind string, a string, b string, s string, n long"
+_NUMBERS = ("uses", "starts", "dots", "nexts", "continued", "opens")
+_COUNTS = "lang string, kind string, a string, b string, " + ", ".join(f"{n} long" for n in _NUMBERS)
 
 
 def _count_batches(batches):
-    for b in batches:
-        c: Counter = Counter()
-        tokens_of: dict[str, Counter] = {}
-        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+    for batch in batches:
+        c = Counts()
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                count(text, language(lang), tokens_of, c)
-        for lang, held in tokens_of.items():
-            for t, n in held.items():
-                if w := word(t, lower=False):
-                    c[lang, "word", w, "", ""] += n
-        rows = list(zip(*((*(x.encode("utf-8", "replace").decode()[:64] for x in k), n) for k, n in c.items()))) or [()] * 6
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in rows[:5]), pa.array(rows[5], pa.int64())], ["lang", "kind", "a", "b", "s", "n"])
+                c.add(text, lang)
+        rows = c.rows()
+        texts = [pa.array([k[i] if i < 2 else k[i].encode("utf-8", "replace").decode() for k in rows], pa.string()) for i in range(4)]
+        numbers = [pa.array([r[i] for r in rows.values()], pa.int64()) for i in range(6)]
+        yield pa.RecordBatch.from_arrays([*texts, *numbers], ["lang", "kind", "a", "b", *_NUMBERS])
 
 
 def _llr(k1, n1, k2, n2):
@@ -180,121 +273,115 @@ def _llr(k1, n1, k2, n2):
     return 2 * (l(k1, n1, p1) + l(k2, n2, p2) - l(k1, n1, p) - l(k2, n2, p))
 
 
+LISTS = ("starters", "openings", "abbreviations", "ordinals", "final", "middle", "plain")
+
+
 class Model:
-    """Lists by language; each word of `starters`, `abbreviations` and `ordinals` maps to how sure it is."""
+    """Words by list and language.
 
-    def __init__(self):
-        self.starters: dict[str, set] = {}
-        self.openings: dict[str, set] = {}  # first two characters of sentences in scripts without spaces
-        self.abbreviations: dict[str, set] = {}
-        self.ordinals: dict[str, set] = {}
-        self.final: dict[str, set] = {}  # abbreviations that often end sentences
-        self.middle: dict[str, set] = {}  # abbreviations that practically never do, such as titles
-        self.plain: dict[str, set] = {}  # words whose period does end sentences, whatever they look like
-
-
-def learn(documents: DataFrame) -> Model:
-    """The three lists from all texts. Counting is combined in each batch and before the shuffle."""
-    raw = spread(documents.select("text", "lang")).mapInArrow(_count_batches, _COUNTS)
-    each = settle(raw.groupBy("lang", "kind", "a", "b", "s").agg(F.sum("n").alias("n")))
-    # a language counts if it has its share of all words; the others are cut by what was learned over all
-    size = each.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("w"))
-    large = size.where(F.col("w") >= LANGUAGE_SHARE * size.agg(F.sum("w")).scalar()).select("lang")
-    every = each.groupBy("kind", "a", "b", "s").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "kind", "a", "b", "s", "n")
-    c = settle(each.join(F.broadcast(large), "lang").select(every.columns).unionByName(every))
-    words = c.where("kind = 'word'").select("lang", "a", F.col("n").alias("all"))
-    starts = c.where("kind = 'start'").select("lang", "a", F.col("n").alias("st"))
-    tot = words.groupBy("lang").agg(F.sum("all").alias("N")).join(starts.groupBy("lang").agg(F.sum("st").alias("S")), "lang")
-    s = starts.join(words, ["lang", "a"]).join(tot, "lang")
+    starters start sentences; openings are the first two characters of sentences in scripts without spaces;
+    abbreviations have periods that end nothing; of these, final often end sentences all the same, and middle practically
+    never, such as titles; ordinals follow the period of a number; plain words end sentences, whatever they look like.
+    """
+
+    def __init__(self, rows=()):
+        for name in LISTS:
+            setattr(self, name, {})
+        for lang, name, a in rows:
+            getattr(self, name).setdefault(lang, set()).add(a)
+
+
+def learn(documents: DataFrame) -> DataFrame:
+    """(lang, list, a): all lists, from all texts. Counting is combined in each batch and before the shuffle."""
+    raw = spread(documents.select("text", language_column(F.col("lang")).alias("lang"))).mapInArrow(_count_batches, _COUNTS)
+    sums = [F.sum(n).alias(n) for n in _NUMBERS]
+    each = settle(raw.groupBy("lang", "kind", "a", "b").agg(*sums))
+    every = each.groupBy("kind", "a", "b").agg(*sums).select(F.lit("*").alias("lang"), "kind", "a", "b", *_NUMBERS)
+    c = settle(each.unionByName(every))
+    # one row a language, of which there are few by definition
+    of = settle(c.groupBy("lang").agg(F.sum("uses").alias("N"), F.sum("starts").alias("S"), F.sum("opens").alias("O"), F.sum(F.when((F.col("kind") == "w") & (F.col("a") == "#"), F.col("nexts"))).alias("P")))
     enough = lambda n, of: (F.col(n) >= MIN_COUNT) & (F.col(n) >= MIN_SHARE * F.col(of))
-    k1, n1 = F.col("st").cast("double"), F.col("all").cast("double")
-    rest_n = F.greatest(F.col("N") - F.col("all"), F.lit(1)).cast("double")
-    starter = s.where(enough("st", "S")).where((k1 / n1 > 3 * F.col("S") / F.col("N")) | (k1 / n1 >= 0.5)).where(_llr(k1, n1, F.least(F.greatest(F.col("S") - k1, F.lit(0.0)), rest_n), rest_n) > LLR).select("lang", "a", (k1 / n1).alias("rate"))
-    starter = settle(starter)
-    model = Model()
-    for r in starter.collect():
-        model.starters.setdefault(r["lang"], set()).add(r["a"])
-    opens = c.where("kind = 'open'").select("lang", "a", "n")
-    opens = opens.join(opens.groupBy("lang").agg(F.sum("n").alias("O")), "lang").where((F.col("n") >= MIN_COUNT) & (F.col("n") >= 5e-4 * F.col("O")))
-    for r in opens.collect():
-        model.openings.setdefault(r["lang"], set()).add(r["a"])
-    own = F.broadcast(starter.select("lang", F.col("a").alias("b"), F.lit(1).alias("own")))
-    any_ = F.broadcast(starter.where("lang = '*'").select(F.col("a").alias("b"), F.lit(1).alias("any")))
-    pairs = c.where("kind = 'pair'").join(own, ["lang", "b"], "left").join(any_, "b", "left")
-    cont = F.col("s").isin("l", "d") | ((F.col("s") == "U") & F.coalesce("own", "any").isNull() & (F.length("a") <= TITLE))
-    per = pairs.groupBy("lang", "a").agg(F.sum("n").alias("np"), F.sum(F.when(cont, F.col("n")).otherwise(0)).alias("nk"))
+    words = c.where("kind = 'w'").select("lang", "a", *_NUMBERS[:-1])
+    s = words.where(F.col("starts") >= MIN_COUNT).join(F.broadcast(of), "lang")
+    k1, n1 = F.col("starts").cast("double"), F.col("uses").cast("double")
+    rest_n = F.greatest(F.col("N") - F.col("uses"), F.lit(1)).cast("double")
+    starter = s.where(enough("starts", "S")).where((k1 / n1 > 3 * F.col("S") / F.col("N")) | (k1 / n1 >= 0.5)).where(_llr(k1, n1, F.least(F.greatest(F.col("S") - k1, F.lit(0.0)), rest_n), rest_n) > LLR)
+    starter = settle(starter.select("lang", "a"))
+    opening = c.where((F.col("kind") == "o") & (F.col("opens") >= MIN_COUNT)).join(F.broadcast(of), "lang").where(F.col("opens") >= 5e-4 * F.col("O"))
+    # capitals after a period that start no sentence, by the word before
+    capital = c.where("kind = 'u'").select("lang", "a", "b", F.col("nexts").alias("after"))
+    strange = capital.where("a <> '#'").join(starter.select("lang", F.col("a").alias("b")), ["lang", "b"], "left_anti").join(starter.where("lang = '*'").select(F.col("a").alias("b")), "b", "left_anti")
+    per = words.where("nexts > 0").join(strange.groupBy("lang", "a").agg(F.sum("after").alias("strange"), (F.sum("after") * F.sum("after") / F.sum(F.col("after") * F.col("after"))).alias("kinds")), ["lang", "a"], "left")
+    # titles stand before different names, of which there must be enough: one phrase said often is no evidence
+    kept = F.when((F.col("dots") >= PERIOD_SHARE * F.col("uses")) & (F.col("kinds") >= MIN_COUNT), F.col("strange")).otherwise(0)
+    per = settle(per.select("lang", "a", "uses", "dots", F.col("nexts").alias("np"), (F.col("continued") + kept).alias("nk"), (F.col("continued") + F.coalesce("strange", F.lit(0))).alias("most")))
     all_ = per.groupBy("lang").agg(F.sum("np").alias("tp"), F.sum("nk").alias("tk"))
-    x = per.join(all_, "lang")
+    # an abbreviation has its period in most of its uses, and no dot inside but between one or two letters
+    x = per.where(F.col("np") >= MIN_COUNT).where(r"a <> '#' and a rlike '^(\\p{L}{1,2}[.])*\\p{L}{1,2}$|^[^.]+$'").join(F.broadcast(all_), "lang").where(enough("np", "tp"))
     k, n = F.col("nk").cast("double"), F.col("np").cast("double")
     rn = F.greatest(F.col("tp") - F.col("np"), F.lit(1)).cast("double")
     rk = F.least(F.greatest(F.col("tk") - F.col("nk"), F.lit(0)).cast("double"), rn)
-    # an abbreviation has its period in most of its uses, and no dot inside but between one or two letters
-    dots = c.where("kind = 'dot'").select("lang", "a", F.col("n").alias("dots"))
-    uses = words.select("lang", "a", F.col("all").alias("uses"))
-    x = x.where(r"a rlike '^(\\p{L}{1,2}[.])*\\p{L}{1,2}$|^[^.]+$'").join(dots, ["lang", "a"]).join(uses, ["lang", "a"])
-    abbr = x.where("a <> '#' and dots >= 0.5 * uses").where(enough("np", "tp")).where((k / n >= 0.35) & ((_llr(k, n, rk, rn) > LLR) & (k / n > rk / rn) | (k / n >= 0.9)))
-    for r in abbr.select("lang", "a", "np", (k / n).alias("rate")).collect():
-        model.abbreviations.setdefault(r["lang"], set()).add(r["a"])
-        if r["np"] >= 20 and r["rate"] >= 0.97:
-            model.middle.setdefault(r["lang"], set()).add(r["a"])
-        if r["rate"] < 0.75:
-            model.final.setdefault(r["lang"], set()).add(r["a"])
-    plain = x.where("a <> '#'").where(enough("np", "tp")).where((k / n < 0.1) & ((F.length("a") == 1) | F.col("a").contains(".")))
-    for r in plain.select("lang", "a").collect():
-        model.plain.setdefault(r["lang"], set()).add(r["a"])
-    o = c.where("kind = 'pair' and a = '#' and s = 'U'").select("lang", "b", F.col("n").alias("k")).join(words.withColumnRenamed("a", "b"), ["lang", "b"])
-    o = o.join(c.where("kind = 'pair' and a = '#'").groupBy("lang").agg(F.sum("n").alias("P")), "lang").join(tot.select("lang", "N"), "lang").join(starts.select("lang", F.col("a").alias("b"), "st"), ["lang", "b"], "left")
-    kk, nn = F.col("k").cast("double"), F.col("P").cast("double")
-    ordinal = o.where(enough("k", "P")).where("coalesce(st, 0) < k").where(_llr(kk, nn, F.greatest(F.col("all") - kk, F.lit(0.0)), F.greatest(F.col("N") - nn, F.lit(1.0))) > LLR)
-    for r in ordinal.select("lang", "b").collect():
-        model.ordinals.setdefault(r["lang"], set()).add(r["b"])
-    return model
-
-
-def _spans(text: str) -> list[int]:
-    """For each position the depth of quotes and brackets around it, counting only pairs that close in this text."""
-    depth = [0] * (len(text) + 1)
-    stack: list[tuple[str, int]] = []
-    waiting: Counter = Counter()  # how often each closer is on the stack: no search for one that is not
-    pairs = []
+    is_abbr = (F.col("dots") >= 0.5 * F.col("uses")) & (k / n >= 0.35) & ((_llr(k, n, rk, rn) > LLR) & (k / n > rk / rn) | (k / n >= 0.9))
+    # significantly more often than nine times in ten something continues
+    never = (k / n > 0.9) & (_llr(k, n, 0.9 * n * 1e6, n * 1e6) > LLR_95)
+    is_plain = (F.col("most") / n < 0.1) & ((F.length("a") == 1) | F.col("a").contains("."))
+    lists = F.array_compact(F.array(F.when(is_abbr, "abbreviations"), F.when(is_abbr & never, "middle"), F.when(is_abbr & (k / n < 0.75), "final"), F.when(is_plain, "plain")))
+    by_period = x.select("lang", F.explode(lists).alias("list"), "a")
+    # what follows numbers more often than other words: words that start sentences otherwise do not count
+    o = capital.where(f"a = '#' and after >= {MIN_COUNT}").select("lang", "b", "after").join(words.select("lang", F.col("a").alias("b"), "uses", "starts"), ["lang", "b"]).join(F.broadcast(of), "lang")
+    kk, nn = F.col("after").cast("double"), F.col("P").cast("double")
+    ordinal = o.where(enough("after", "P")).where("starts < after").where(_llr(kk, nn, F.greatest(F.col("uses") - kk, F.lit(0.0)), F.greatest(F.col("N") - nn, F.lit(1.0))) > LLR)
+    named = lambda df, name, col="a": df.select("lang", F.lit(name).alias("list"), F.col(col).alias("a"))
+    return settle(named(starter, "starters").unionByName(named(opening, "openings")).unionByName(by_period).unionByName(named(ordinal, "ordinals", "b")))
+
 
-    def push(closer, i):
-        stack.append((closer, i))
-        waiting[closer] += 1
+_SPAN_MARKS = re.compile("[\"'" + re.escape("".join(sorted(set(OPEN) | set(OPEN.values())))) + "]")
 
-    def close(closer, i):
-        """Pair with the nearest opener; those above it are left without partner."""
-        while True:
-            c, at = stack.pop()
-            waiting[c] -= 1
-            if c == closer:
-                pairs.append((at, i))
-                return
 
-    for i, ch in enumerate(text):
+def _spans(text: str) -> bytearray | None:
+    """For each position whether quotes or brackets stand around it, counting only pairs that close in this text. None if nowhere."""
+    stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}  # how often each closer is on the stack: no search for one that is not
+    pairs = []
+    for m in _SPAN_MARKS.finditer(text):
+        i = m.start()
+        ch = text[i]
+        closer = None
         if ch == '"' or ch == "'":
             before, after = text[i - 1 : i], text[i + 1 : i + 2]
-            opens = (not before or before.isspace() or before in "([{«“„—–-（「:" or bool(_CJK.match(before))) and after and not after.isspace()
-            if ch == "'" and not opens and not waiting[ch]:
-                continue
-            if waiting[ch] and not (opens and before and before.isspace() and ch == "'"):
+            opens = (not before or before.isspace() or before in "([{«“„—–-（「:" or _CJK.match(before) is not None) and after and not after.isspace()
+            if waiting.get(ch) and not (opens and before and before.isspace() and ch == "'"):
                 if ch == "'" and after and after.isalnum():
                     continue
-                close(ch, i)
+                closer = ch
             elif opens:
-                push(ch, i)
-        elif waiting[ch]:
-            close(ch, i)
+                stack.append((ch, i))
+                waiting[ch] = waiting.get(ch, 0) + 1
+                continue
+        elif waiting.get(ch):
+            closer = ch
         elif ch in OPEN and not (ch == "‘" and text[i - 1 : i].isalnum()):
-            push(OPEN[ch], i)
-    for a, b in pairs:
-        depth[a] += 1
-        depth[b] -= 1
-    d = 0
-    for i in range(len(text)):
-        d += depth[i]
-        depth[i] = d  # the opener counts as inside, the closer as outside
-    return depth
+            c = OPEN[ch]
+            stack.append((c, i))
+            waiting[c] = waiting.get(c, 0) + 1
+        if closer is not None:
+            # pair with the nearest opener; those above it are left without partner
+            while True:
+                c, at = stack.pop()
+                waiting[c] -= 1
+                if c == closer:
+                    pairs.append((at, i))
+                    break
+    if not pairs:
+        return None
+    inside = bytearray(len(text) + 1)
+    end = -1
+    for a, b in sorted(pairs):
+        if b > end:
+            a = max(a, end)
+            inside[a:b] = b"\1" * (b - a)  # the opener counts as inside, the closer as outside
+            end = b
+    return inside
 
 
 class Cutter:
@@ -311,12 +398,14 @@ class Cutter:
     def ends(self, text: str) -> list[int]:
         """Ends of the sentences of a paragraph, the last one left out."""
         thai = bool(_THAI.search(text))
-        depth = _spans(text) if any(c in text for c in "\"'([{«“„‘「『（《〈【‹") else None
+        depth = _spans(text)
         out = []
         n = len(text)
         for m in _END.finditer(text):
             a, b = m.span()
             marks = m[0]
+            if marks == "." and b < n and text[b].isalnum() and not _CJK.match(text[b]):
+                continue  # of a number, a version or a file name
             if depth and depth[a]:
                 # inside a pair: the end may come where the pair closes
                 e = b
@@ -369,13 +458,13 @@ class Cutter:
                 return tok[:2] in self.openings
             if _THAI.match(tok[:1]):
                 return nxt.isspace()
-            return word(tok, lower=False) in self.starters
+            return word(tok) in self.starters
         if not nxt.isspace():
             return bracket and alone
         s = shape(tok)
         if bracket and alone:
             return True
-        return s == "U" or (s == "i" and tok.lstrip(_STRIP)[:1].islower() and word(tok, lower=False) in self.starters) or s == "d" and alone or (s == "i" and ("_" in tok or "(" in tok))
+        return s == "U" or (s == "i" and tok.lstrip(_STRIP)[:1].islower() and word(tok) in self.starters) or s == "d" and alone or (s == "i" and ("_" in tok or "(" in tok))
 
     def _ends(self, text, a, b, e, marks) -> bool:
         nxt = text[e]
@@ -389,14 +478,18 @@ class Cutter:
             return nxt not in ",;:、，；：،؛"
         if not nxt.isspace():
             return False
-        s = a
-        while s > 0 and not text[s - 1].isspace():
-            s -= 1
-        tok = text[s:b]
+        near = text[max(0, b - 80) : b].split()
+        if len(near) > 1 or b <= 80:
+            tok = near[-1]
+        else:
+            s = a
+            while s > 0 and not text[s - 1].isspace():
+                s -= 1
+            tok = text[s:b]
         core = tok.lstrip(_STRIP)
-        w = word(core, lower=False)
+        w = word(core)
         after = self._next(text, e)
-        sh, nw = shape(after), word(after, lower=False)
+        sh, nw = shape(after), word(after)
         starts = nw in self.starters
         opened = after[:1] in OPEN or after[:1] in "\"'"
         if w == "#":
@@ -435,29 +528,56 @@ class Cutter:
         return out
 
 
+def _language_groups(lists: DataFrame) -> list[list[str]]:
+    """Languages with lists, in groups of at most LIST_ENTRIES entries, unless one language alone has more."""
+    out: list[list[str]] = [[]]
+    held = 0
+    for r in lists.where("lang <> '*'").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect():
+        if out[-1] and held + r[1] > LIST_ENTRIES:
+            out.append([])
+            held = 0
+        out[-1].append(r[0])
+        held += r[1]
+    return out
+
+
 def found_sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, sent_start, sent_end) of every unit, zero-based code points, end exclusive, without surrounding space.
 
-    Null, empty and blank texts have no unit; a text of any length is read whole; a null language counts as 'und' and
-    uses what was learned over all languages. Repeated doc_ids give their units as often as they occur.
+    Null, empty and blank texts have no unit; a text of any length is read whole; a null language counts as 'und', a
+    language like any other, and what was learned over all languages counts for each. Repeated doc_ids give their
+    units as often as they occur.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(learn(documents))
-
-    def cut(batches):
-        cutters: dict = {}
-        for b in batches:
-            ids, st, en = [], [], []
-            for d, text, lang in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if not text:
-                    continue
-                g = language(lang)
-                if g not in cutters:
-                    cutters[g] = Cutter(shared.value, g)
-                for x, y in cutters[g].units(text):
+    lists = learn(documents)
+    rows = documents.select(F.col("doc_id").cast("long"), "text", language_column(F.col("lang")).alias("lang"))
+    groups = _language_groups(lists)
+    later = [g for group in groups[1:] for g in group]
+    out = None
+    for i, group in enumerate(groups):
+        # the first run also takes the languages without lists of their own
+        own = rows if len(groups) == 1 else rows.where(F.col("lang").isin(group)) if i else rows.where(~F.col("lang").isin(later))
+        wanted = lists if len(groups) == 1 else lists.where(F.col("lang").isin(["*", *group]))
+        shared = spark.sparkContext.broadcast(Model(wanted.select("lang", "list", "a").toLocalIterator()))
+
+        def cut(batches, shared=shared):
+            cutters: dict = {}
+            for b in batches:
+                ids, counts, st, en = [], [], [], []
+                for d, text, g in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    if not text:
+                        continue
+                    if g not in cutters:
+                        cutters[g] = Cutter(shared.value, g)
+                    got = cutters[g].units(text)
                     ids.append(d)
-                    st.append(x)
-                    en.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(st, pa.int32()), pa.array(en, pa.int32())], ["doc_id", "sent_start", "sent_end"])
-
-    return spread(documents.select(F.col("doc_id").cast("long"), "text", "lang")).mapInArrow(cut, "doc_id long, sent_start int, sent_end int")
+                    counts.append(len(got))
+                    for x, y in got:
+                        st.append(x)
+                        en.append(y)
+                ids = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), counts)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(st, pa.int32()), pa.array(en, pa.int32())], ["doc_id", "sent_start", "sent_end"])
+
+        part = spread(own).mapInArrow(cut, "doc_id long, sent_start int, sent_end int")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -421,12 +421,36 @@ def test_units_cover_all_text_once(text):
     assert not text[at:].strip()
 
 
+@quick
+@given(st.text(alphabet=st.sampled_from("ab.1 \t\n\n\n#-=*`~)\r\u2028"), max_size=60))
+def test_blocks_line_by_line(text):
+    assert list(sentences.blocks(text)) == [x for x in sentences._blocks(text) if x[2] > x[1]]
+
+
+def test_rare_languages_and_long_words(spark, monkeypatch):
+    """Each language has lists, whatever its share of the corpus; long words with one prefix stay apart; groups of languages change nothing."""
+    many = [(i, "The dog ran. A cat sat! The dog ran. It fell? " * 40, "en") for i in range(30)]
+    rare = [(100 + i, f"Wo bist Dur. {n} heute? Da war Dur. {n}. Hier ist es! Da war Dur. {n}.", "xx") for i, n in enumerate(["Abel", "Bond", "Cole", "Dean"] * 6)]
+    long = [(200, " ".join(f"{'w' * 64}{k}. {'w' * 64}{k}." for k in range(3)), "en")]
+    df = spark.createDataFrame([*many, *rare, *long], "doc_id long, text string, lang string")
+    m = sentences.Model(tuple(r) for r in sentences.learn(df).collect())
+    assert "Da" in m.starters["xx"] and "Dur" in m.abbreviations["xx"]
+    assert len({sentences.word("w" * 64 + str(k)) for k in range(3)}) == 3
+    whole = sorted(map(tuple, sentences.found_sentences(df).collect()))
+    monkeypatch.setattr(sentences, "LIST_ENTRIES", 1)
+    assert len(sentences._language_groups(sentences.learn(df))) > 1
+    assert sorted(map(tuple, sentences.found_sentences(df).collect())) == whole
+    assert [sentences.language(x) for x in (None, "EN-us", "zh_CN", "english", "")] == ["und", "en", "zh", "und", "und"]
+    got = spark.createDataFrame([(x,) for x in (None, "EN-us", "zh_CN", "english", "", " de ")], "l string").select(sentences.language_column(F.col("l"))).collect()
+    assert [r[0] for r in got] == ["und", "en", "zh", "und", "und", "de"]
+
+
 def test_learned_from_texts(spark):
     names = ["Abel", "Bond", "Cole", "Dean", "East", "Ford", "Good", "Hill"] * 6
     parts = lambda i, n: [f"The {n.lower()} cache ran on {n.lower()}.", f"It met Dr. {n} at {n.lower()} today.", f"In {n} the end was near, i.e. at hand.", "They left!"]
     docs = [(i, " ".join((parts(i, n) * 2)[i % 4 : i % 4 + 4]), "en") for i, n in enumerate(names)]
     df = spark.createDataFrame([*docs, (99, None, "en"), (98, "", None), (97, "Solo", None), (96, "a. " * 30_000, "x")], "doc_id long, text string, lang string").withColumn("n", F.lit(1))
-    m = sentences.learn(df)
+    m = sentences.Model(tuple(r) for r in sentences.learn(df).collect())
     assert "Dr" in m.abbreviations["en"] and "The" in m.starters["en"]
     got = sentences.found_sentences(df).where("doc_id = 3").collect()
     assert len(got) == 4
