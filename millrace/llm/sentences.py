@@ -297,9 +297,14 @@ def learn(documents: DataFrame) -> DataFrame:
     sums = [F.sum(n).alias(n) for n in _NUMBERS]
     each = settle(raw.groupBy("lang", "kind", "a", "b").agg(*sums))
     every = each.groupBy("kind", "a", "b").agg(*sums).select(F.lit("*").alias("lang"), "kind", "a", "b", *_NUMBERS)
-    c = settle(each.unionByName(every))
     # one row a language, of which there are few by definition
-    of = settle(c.groupBy("lang").agg(F.sum("uses").alias("N"), F.sum("starts").alias("S"), F.sum("opens").alias("O"), F.sum(F.when((F.col("kind") == "w") & (F.col("a") == "#"), F.col("nexts"))).alias("P")))
+    is_word = F.col("kind") == "w"
+    totals = [F.sum("uses").alias("N"), F.sum("starts").alias("S"), F.sum("opens").alias("O"), *(F.sum(F.when(is_word, F.col(x))).alias(y) for x, y in (("nexts", "tp"), ("continued", "tk"))), F.sum(F.when(is_word & (F.col("a") == "#"), F.col("nexts"))).alias("P")]
+    own = each.groupBy("lang").agg(*totals)
+    of = settle(own.unionByName(own.agg(*(F.sum(x).alias(x) for x in ("N", "S", "O", "tp", "tk", "P"))).withColumn("lang", F.lit("*"))))
+    # no list has words of fewer uses; they count in the totals only
+    often = (~is_word) | (F.col("uses") >= MIN_COUNT)
+    c = settle(each.where(often).unionByName(every.where(often)))
     enough = lambda n, of: (F.col(n) >= MIN_COUNT) & (F.col(n) >= MIN_SHARE * F.col(of))
     words = c.where("kind = 'w'").select("lang", "a", *_NUMBERS[:-1])
     s = words.where(F.col("starts") >= MIN_COUNT).join(F.broadcast(of), "lang")
@@ -314,8 +319,8 @@ def learn(documents: DataFrame) -> DataFrame:
     per = words.where("nexts > 0").join(strange.groupBy("lang", "a").agg(F.sum("after").alias("strange"), (F.sum("after") * F.sum("after") / F.sum(F.col("after") * F.col("after"))).alias("kinds")), ["lang", "a"], "left")
     # titles stand before different names, of which there must be enough: one phrase said often is no evidence
     kept = F.when((F.col("dots") >= PERIOD_SHARE * F.col("uses")) & (F.col("kinds") >= MIN_COUNT), F.col("strange")).otherwise(0)
-    per = settle(per.select("lang", "a", "uses", "dots", F.col("nexts").alias("np"), (F.col("continued") + kept).alias("nk"), (F.col("continued") + F.coalesce("strange", F.lit(0))).alias("most")))
-    all_ = per.groupBy("lang").agg(F.sum("np").alias("tp"), F.sum("nk").alias("tk"))
+    per = settle(per.select("lang", "a", "uses", "dots", F.col("nexts").alias("np"), kept.alias("kept"), (F.col("continued") + kept).alias("nk"), (F.col("continued") + F.coalesce("strange", F.lit(0))).alias("most")))
+    all_ = of.select("lang", "tp", F.col("tk").alias("sure")).join(F.broadcast(per.groupBy("lang").agg(F.sum("kept").alias("kept"))), "lang", "left").select("lang", "tp", (F.col("sure") + F.coalesce("kept", F.lit(0))).alias("tk"))
     # an abbreviation has its period in most of its uses, and no dot inside but between one or two letters
     x = per.where(F.col("np") >= MIN_COUNT).where(r"a <> '#' and a rlike '^(\\p{L}{1,2}[.])*\\p{L}{1,2}$|^[^.]+$'").join(F.broadcast(all_), "lang").where(enough("np", "tp"))
     k, n = F.col("nk").cast("double"), F.col("np").cast("double")
