@@ -37,6 +37,8 @@ LLR, LLR_95 = 10.83, 3.84
 OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "‘": "’", "「": "」", "『": "』", "（": "）", "《": "》", "〈": "〉", "【": "】", "‹": "›", "»": "«"}
 CLOSERS = set(OPEN.values()) | {'"', "'", "”", "’"}
 _END = re.compile(r"[.!?…。！？।॥؟۔｡．]+")
+#: A terminator that is not the last thing of a paragraph, nor inside a number or name.
+_INNER = re.compile(r"[!?…。！？।॥؟۔｡．](?=.)|\.(?=[\W_])(?!\Z)", re.S)
 _FENCE = re.compile(r"[ \t]*(```+|~~~+)")
 _HEAD = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]|$)")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•‣◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][)])[ \t]+\S")
@@ -223,7 +225,7 @@ class Counts:
 
         for lang, held in self.tokens.items():
             for t, n in held.items():
-                if w := word(t):
+                if w := t if len(t) <= 64 and t.isalpha() else word(t):
                     add(lang, "w", w, "", 0, n)
         for lang, pairs in self.pairs.items():
             for (t, after), n in pairs.items():
@@ -403,6 +405,8 @@ class Cutter:
     def ends(self, text: str) -> list[int]:
         """Ends of the sentences of a paragraph, the last one left out."""
         thai = bool(_THAI.search(text))
+        if not thai and not _INNER.search(text):
+            return []
         depth = _spans(text)
         out = []
         n = len(text)
@@ -483,7 +487,7 @@ class Cutter:
             return nxt not in ",;:、，；：،؛"
         if not nxt.isspace():
             return False
-        near = text[max(0, b - 80) : b].split()
+        near = text[max(0, b - 80) : b].rsplit(None, 1)
         if len(near) > 1 or b <= 80:
             tok = near[-1]
         else:
@@ -520,8 +524,12 @@ class Cutter:
                 out.append((a, b))
                 continue
             para = text[a:b]
+            ends = self.ends(para)
+            if not ends:
+                out.append((a, b))
+                continue
             at = 0
-            for e in [*self.ends(para), len(para)]:
+            for e in [*ends, len(para)]:
                 x, y = at, e
                 while x < y and para[x].isspace():
                     x += 1

@@ -241,6 +241,26 @@ def test_filter_keeps_most_singles_out(spark):
     assert canonical.possible_repeats(df.select("sample_id", "digest", "h"), 20_000).count() < 200
 
 
+def test_collapse_moves_only_rows_with_copies(spark):
+    rows = [(i, f"code {i % 900}", 1, None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "sample_id long, code string, label int, attrs string").repartition(4)
+    c = canonical.collapse(df)
+    assert c.count() == 900 and c.agg(F.sum("n_copies")).first()[0] == 1000
+    lines = c._jdf.queryExecution().executedPlan().toString().splitlines()
+    union = next(i for i, x in enumerate(lines) if "Union" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :|+-"))
+    heads = [i for i in range(union + 1, len(lines)) if depth(lines[i]) == depth(lines[union + 1])]
+    alone = "\n".join(lines[heads[0] : heads[1]])
+    assert "may_have_copies" in alone and "Exchange hash" not in alone
+
+
+def test_collapse_of_repeated_ids_and_nulls(spark):
+    df = spark.createDataFrame([(1, "a", 1, None), (1, "A ", 1, None), (2, "b", None, None), (None, "a;", 1, None)], "sample_id long, code string, label int, attrs string").withColumn("n_copies", F.lit("x"))
+    got = sorted((r["sample_id"] or 0, r["code"], r["n_copies"]) for r in canonical.collapse(df).collect())
+    assert (2, "b", 1) in got and (1, "a", 3) in got
+    assert canonical.collapse(df.limit(0)).count() == 0
+
+
 # ---- 6: files that do not parse -------------------------------------------------------------------------------------
 def test_recogniser_handles_ambiguity_and_left_recursion():
     g = Grammar("s = s s | 'a' | e 'b'\ne = [ 'c' ]", ["s"])
