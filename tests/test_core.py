@@ -375,6 +375,7 @@ def test_unified_casts_and_loses_nothing(spark):
         (1, "a", 1, 1, j({"id": "r1", "label": 1, "w": "0.5", "n": 7, "t": "x", "flag": True, "tags": "one"})),
         (1, "a", 1, 2, j({"id": "r2", "label": "0", "w": 2, "n": 10**30, "t": 3, "flag": "false", "tags": ["p", 2, None]})),
         (1, "a", 1, 3, j({"id": "r3", "label": True, "w": 1.5, "n": "none", "t": "z", "flag": "maybe"})),
+        (1, "a", 1, 4, j({"id": "r4", "n": " 8 ", "flag": "TRUE"})),
         # code and src live side by side in feed b, but feed c renames one to the other
         (2, "b", 1, 1, j({"id": "q1", "code": "k", "src": "s"})), (3, "c", 1, 1, j({"id": "q1", "src": "s"})), (4, "c", 2, 1, j({"id": "q1", "code": "s"})), (5, "c", 3, 1, j({"id": "q2", "code": "u"})),
     ])
@@ -383,7 +384,7 @@ def test_unified_casts_and_loses_nothing(spark):
     rows = {(r["file_id"], r["line_no"]): r for r in t.collect()}
     assert [rows[1, k]["label"] for k in (1, 2, 3)] == [1, 0, 1] and [rows[1, k]["w"] for k in (1, 2, 3)] == [0.5, 2.0, 1.5]
     assert rows[1, 2]["unfit_values"] == {"n": str(10**30)} and rows[1, 3]["unfit_values"] == {"n": '"none"', "flag": '"maybe"'} and rows[1, 1]["unfit_values"] is None
-    assert rows[1, 1]["tags"] == ["one"] and rows[1, 2]["tags"] == ["p", "2", None] and rows[1, 2]["t"] == "3"
+    assert (rows[1, 4]["n"], rows[1, 4]["flag"]) == (8, True) and rows[1, 1]["tags"] == ["one"] and rows[1, 2]["tags"] == ["p", "2", None] and rows[1, 2]["t"] == "3"
     assert (rows[2, 1]["code"], rows[2, 1]["src"]) == ("k", "s") and rows[3, 1]["code"] == "s" and rows[4, 1]["code"] == "s"
     assert sorted(map(tuple, drift.unfit_report(t).collect())) == [("flag", 1, 1), ("n", 2, 2)]
 
