@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..runtime import settle, skew_safe_lookup
 
-BINS = 20
+BINS = 200
+#: Bins are dealt in so many lanes of equal numbers: whole lanes make splits even, their bins make sums exact.
+LANES = 20
+TOLERANCE = 0.001
+#: A kind of so many groups is a stratum of its own.
+STRATUM_GROUPS = 20
 GROUPS_A_CHUNK = 50_000
 #: Partial solutions (one a stratum and chunk) that one task combines.
 TUPLES_A_TASK = 2048
@@ -119,13 +124,82 @@ def combine_loads(loads: np.ndarray) -> np.ndarray:
     return to
 
 
+def _lanes(bins: int) -> int:
+    return LANES if bins % LANES == 0 else bins
+
+
+def difference_in_lanes(weights: np.ndarray, bins: int) -> np.ndarray:
+    """Bin of each weight: by `difference` into lanes, then each lane into its bins."""
+    lanes = _lanes(bins)
+    out = difference(weights, lanes)
+    if lanes < bins:
+        lane = out.copy()
+        for k in range(lanes):
+            own = np.flatnonzero(lane == k)
+            out[own] = k * (bins // lanes) + difference(weights[own], bins // lanes)
+    return out
+
+
+def combine_in_lanes(loads: np.ndarray) -> np.ndarray:
+    """As `combine_loads`, for whole lanes and then for the bins of each."""
+    n, bins = loads.shape
+    lanes = _lanes(bins)
+    if lanes == bins:
+        return combine_loads(loads)
+    per = bins // lanes
+    cube = loads.reshape(n, lanes, per)
+    to_lane = combine_loads(cube.sum(2))
+    out = np.empty((n, lanes, per), dtype=np.int64)
+    for lane in range(lanes):
+        source = np.argmax(to_lane == lane, axis=1)  # of each row, the lane that goes there
+        out[np.arange(n), source] = lane * per + combine_loads(cube[np.arange(n), source])
+    return out.reshape(n, bins)
+
+
 def allocate(loads: np.ndarray, shares: list[float]) -> np.ndarray:
-    """Split of each bin: the largest bin first, to the split that lacks most of its target."""
-    want = loads.sum() * np.asarray(shares, float)
-    out = np.zeros(len(loads), dtype=np.int64)
-    for b in np.argsort(-loads, kind="stable"):
-        out[b] = int(np.argmax(want))
-        want[out[b]] -= loads[b]
+    """Split of each whole bin. loads: rows of each bin, by stratum (bins x strata).
+
+    Whole lanes first, the largest to the split that lacks most of its target. If that leaves a split more than
+    TOLERANCE of all rows from its target, as a group larger than a lane does, the best move of one bin to another
+    split, or exchange of two, is made again and again as long as strata and total come nearer to their targets.
+    """
+    loads = loads.reshape(len(loads), -1).astype(float)
+    bins, of = len(loads), loads.sum(0)
+    lanes = _lanes(bins)
+    want = of.sum() * np.asarray(shares, float)
+    out = np.zeros(bins, dtype=np.int64)
+    sums = loads.sum(1).reshape(lanes, -1).sum(1)
+    for k in np.argsort(-sums, kind="stable"):
+        split = int(np.argmax(want))
+        want[split] -= sums[k]
+        out.reshape(lanes, -1)[k] = split
+    if np.abs(want).max() <= TOLERANCE * of.sum():
+        return out
+    # each stratum counts by its size, the total ten times
+    whole = np.hstack([loads / np.sqrt(np.maximum(of, 1)), 10 * loads.sum(1, keepdims=True) / np.sqrt(max(of.sum(), 1))])
+    over = np.stack([whole[out == k].sum(0) for k in range(len(shares))]) - np.outer(shares, whole.sum(0))
+    square = (whole * whole).sum(1)
+    apart = square[:, None] + square[None] - 2 * whole @ whole.T
+    for _ in range(10 * bins):
+        each = whole @ over.T
+        own, other = each[np.arange(bins), out], each[:, out]
+        move = 2 * (each - own[:, None]) + 2 * square[:, None]
+        move[np.arange(bins), out] = 0
+        swap = 2 * (other - own[:, None] + other.T - own[None, :]) + 2 * apart
+        swap[out[:, None] == out[None]] = 0
+        i, j = np.unravel_index(np.argmin(swap), swap.shape)
+        k, split = np.unravel_index(np.argmin(move), move.shape)
+        if min(swap[i, j], move[k, split]) >= -1e-9:
+            break
+        if move[k, split] < swap[i, j]:
+            over[out[k]] -= whole[k]
+            over[split] += whole[k]
+            out[k] = split
+        else:
+            d = whole[j] - whole[i]
+            over[out[i]] += d
+            over[out[j]] -= d
+            out[i], out[j] = out[j], out[i]
     return out
 
 
@@ -135,17 +209,16 @@ def kind_key(vulnerability_type, label):
     return F.concat(name, F.lit("\u0001"), F.coalesce(F.col(label).cast("string"), F.lit("")))
 
 
-def strata(groups: DataFrame, bins: int) -> DataFrame:
+def strata(groups: DataFrame, least: int = STRATUM_GROUPS) -> DataFrame:
     """(kind, n_groups, stratum, chunks): the stratum of each kind of groups, and into how many chunks it is cut.
 
-    A kind that can fill the bins is a stratum of its own, however many there are. Kinds of fewer groups than bins
-    are pooled by label, and labels whose pool is still smaller in one rest.
+    A kind of at least `least` groups is a stratum of its own, however many there are. Kinds of fewer groups are pooled by label, and labels whose pool is still smaller in one rest.
     """
     label = F.substring_index("kind", "\u0001", -1)
     kinds = settle(groups.groupBy("kind").agg(F.count("*").alias("n_groups")).withColumn("label", label))
-    pools = kinds.where(F.col("n_groups") < bins).groupBy("label").agg(F.sum("n_groups").alias("pooled"))
-    pools = pools.select("label", F.when(F.col("pooled") >= bins, F.concat(F.lit("\u0002"), "label")).otherwise(F.lit("\u0003")).alias("pool"))
-    named = kinds.join(pools, "label", "left").select("kind", "n_groups", F.when(F.col("n_groups") >= bins, F.col("kind")).otherwise(F.col("pool")).alias("stratum"))
+    pools = kinds.where(F.col("n_groups") < least).groupBy("label").agg(F.sum("n_groups").alias("pooled"))
+    pools = pools.select("label", F.when(F.col("pooled") >= least, F.concat(F.lit("\u0002"), "label")).otherwise(F.lit("\u0003")).alias("pool"))
+    named = kinds.join(pools, "label", "left").select("kind", "n_groups", F.when(F.col("n_groups") >= least, F.col("kind")).otherwise(F.col("pool")).alias("stratum"))
     sizes = named.groupBy("stratum").agg(F.ceil(F.sum("n_groups") / GROUPS_A_CHUNK).cast("int").alias("chunks"))
     return named.join(sizes, "stratum").select("kind", "n_groups", "stratum", "chunks")
 
@@ -159,7 +232,7 @@ def place(loads: DataFrame, shares: dict[str, float], bins: int) -> DataFrame:
 
     def combined(pdf):
         tuples = pdf.pivot_table(index=["stratum", "chunk"], columns="bin", values="n", aggfunc="sum", fill_value=0).reindex(columns=range(bins), fill_value=0).sort_index()
-        return tuples, combine_loads(tuples.to_numpy())
+        return tuples, combine_in_lanes(tuples.to_numpy())
 
     def rows(tuples, **columns):
         import pandas as pd
@@ -169,9 +242,11 @@ def place(loads: DataFrame, shares: dict[str, float], bins: int) -> DataFrame:
 
     def last(pdf):
         tuples, to = combined(pdf)
-        final = np.zeros(bins)
-        for row, t in zip(tuples.to_numpy(), to):
-            np.add.at(final, t, row)
+        kinds = tuples.index.get_level_values(0).to_numpy()
+        at = {k: i for i, k in enumerate(np.unique(kinds))}
+        final = np.zeros((bins, len(at)))
+        for kind, row, t in zip(kinds, tuples.to_numpy(), to):
+            np.add.at(final[:, at[kind]], t, row)
         split = allocate(final, parts)
         return rows(tuples, split=[names[s] for s in split[to.ravel()]])
 
@@ -193,9 +268,9 @@ def split_groups(samples: DataFrame, shares: dict[str, float] | None = None, bin
     """(sample_id, group_id, split): related rows share a split, splits have nearly their shares.
 
     Rows without a package are groups of one. Groups are spread by kind (vulnerability_type and label of most of
-    their rows) so that each bin gets its part of each: every kind of at least `bins` groups by itself, the others
-    pooled, see `strata`. Groups are dealt into bins per chunk of about GROUPS_A_CHUNK groups of a stratum; the bins of
-    all chunks and strata are combined by `place`. Empty input gives no rows.
+    their rows) so that each bin gets its part of each: every kind of at least STRATUM_GROUPS groups by itself, the
+    others pooled, see `strata`. Groups are dealt into bins per chunk of about GROUPS_A_CHUNK groups of a stratum; the
+    bins of all chunks and strata are combined by `place`. Empty input gives no rows.
     """
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     rel = related_groups(samples)
@@ -209,11 +284,26 @@ def split_groups(samples: DataFrame, shares: dict[str, float] | None = None, bin
         import pandas as pd
 
         pdf = pdf.sort_values(["n", "group_id"], ascending=[False, True])
-        return pd.DataFrame({"group_id": pdf["group_id"].to_numpy(), "n": pdf["n"].to_numpy(), "stratum": key[0], "chunk": key[1], "bin": difference(pdf["n"].to_numpy(dtype=float), bins)})
+        return pd.DataFrame({"group_id": pdf["group_id"].to_numpy(), "n": pdf["n"].to_numpy(), "stratum": key[0], "chunk": key[1], "bin": difference_in_lanes(pdf["n"].to_numpy(dtype=float), bins)})
 
-    in_stratum = skew_safe_lookup(groups, settle(strata(groups, bins)), "kind", "n_groups", groups.count())
+    in_stratum = skew_safe_lookup(groups, settle(strata(groups)), "kind", "n_groups", groups.count())
     chunk = F.pmod(F.xxhash64("group_id"), F.col("chunks")).cast("int")
     dealt = settle(in_stratum.select("group_id", "n", "stratum", chunk.alias("chunk")).groupBy("stratum", "chunk").applyInPandas(deal, "group_id long, n long, stratum string, chunk int, bin int"))
     plan = place(dealt.groupBy("stratum", "chunk", "bin").agg(F.sum("n").alias("n")), shares, bins)
     placed = settle(dealt.join(plan, ["stratum", "chunk", "bin"]).select("group_id", "split", "n"))
     return skew_safe_lookup(joined.select("sample_id", "group_id"), placed, "group_id", "n", joined.count()).select("sample_id", "group_id", "split")
+
+
+def split_report(samples: DataFrame, shares: dict[str, float] | None = None, bins: int = BINS) -> DataFrame:
+    """(split, vulnerability_type, label, rows, pct): rows of each kind and split, and their share of the kind; nulls in type and label are all rows of the rest.
+
+    vulnerability_type is the letters and digits of the type, '' where it is null; label as text, '' where null.
+    """
+    kind = kind_key("vulnerability_type", "label")
+    rows = samples.select(F.col("sample_id").alias("sid"), F.substring_index(kind, "\u0001", 1).alias("vulnerability_type"), F.substring_index(kind, "\u0001", -1).alias("label"))
+    placed = split_groups(samples, shares, bins).select("sample_id", "split")
+    counts = settle(rows.join(placed, F.col("sid") == F.col("sample_id")).groupBy("split", "vulnerability_type", "label").agg(F.count("*").alias("rows")))
+    null = F.lit(None).cast("string")
+    every = counts.unionByName(counts.groupBy("split", "label").agg(F.sum("rows").alias("rows")).withColumn("vulnerability_type", null)).unionByName(counts.groupBy("split").agg(F.sum("rows").alias("rows")).withColumns({"vulnerability_type": null, "label": null}))
+    of = every.groupBy("vulnerability_type", "label").agg(F.sum("rows").alias("of")).withColumnsRenamed({"vulnerability_type": "t", "label": "l"})
+    return every.join(of, every["vulnerability_type"].eqNullSafe(of["t"]) & every["label"].eqNullSafe(of["l"])).select("split", "vulnerability_type", "label", "rows", F.round(100 * F.col("rows") / F.col("of"), 3).alias("pct"))

@@ -21,6 +21,7 @@ MAX_SOURCES = 10_000
 
 
 def releases(weight: int, period: int, i: int) -> int:
+    """The slot before which block i of a source may not stand."""
     return (i - 1) * period // weight
 
 
@@ -44,9 +45,13 @@ def schedule(weights: dict[str, int]) -> list[str]:
 
 
 def read_targets(targets: DataFrame) -> list:
+    """Targets of the sources, whose names count without case and surrounding blanks; two for one source are refused."""
     rows = targets.where("source is not null and target_pct is not null").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    names = [r["source"].strip().lower() for r in rows]
+    if len(set(names)) < len(names):
+        raise ValueError("a source has two targets: " + ", ".join(sorted({n for n in names if names.count(n) > 1})))
     return rows
 
 

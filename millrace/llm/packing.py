@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity along a space-filling curve.
 
-Each text becomes a vector of hashed words, projected to DIMS numbers by fixed random signs; the Hilbert index of that
-point is its place on a curve on which like texts are neighbours. Texts are range-sorted by it, and each range packs
-its stretch of the curve: best fit into the containers that are still open, largest texts of a stretch first.
-A text longer than the capacity is cut into full containers and a rest, which is packed like any other.
+Each text becomes a vector of hashed words, projected to DIMS numbers by fixed weights, seven bits of each word's hash;
+the Hilbert index of that point is its place on a curve on which like texts are neighbours. Texts are range-sorted by
+it, into at most MOST_RANGES ranges, and each range packs its part of the curve in pieces of RANGE_TOKENS tokens: best
+fit into the piece's containers that are still open, largest texts of a stretch first. A text longer than the capacity
+is cut into full containers and a rest, which is packed like any other.
 """
 
 from __future__ import annotations
@@ -15,27 +16,27 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import settle, spread
 
 DIMS, BITS = 4, 8
-#: Tokens one range packs, about; each range leaves at most a few containers part empty.
+#: Tokens that are packed with each other; each piece of the curve leaves at most a few containers part empty.
 RANGE_TOKENS = 4_000_000
+#: Tasks of the range sort, at most; a task packs one piece after the other.
+MOST_RANGES = 8192
 #: Texts of the curve that are packed together, largest first.
 STRETCH = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def default_vocabulary() -> str:
-    return VOCABULARY
-
-
 _ENCODER: dict = {}
 
 
 def encoder(path: str):
+    """The tokenizer of a vocabulary file that `measured` has sent to the executors."""
     if path not in _ENCODER:
         import tiktoken
 
@@ -83,10 +84,12 @@ def curve_key(text: str) -> np.ndarray:
 
 
 def measured(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, tokens, curve) of every non-null text with at least one token."""
+    """(doc_id, tokens, curve) of every non-null text with at least one token. vocabulary: a file that the driver can read."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             keep = [(d, x) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x]
             if not keep:
@@ -122,11 +125,11 @@ def pack(documents: DataFrame, limits: DataFrame, vocabulary: str | None = None)
     no token and no place. A text within the capacity is one piece. Containers without a positive capacity are
     left out. Repeated doc_ids are packed as often as they occur.
     """
-    vocabulary = vocabulary or default_vocabulary()
+    vocabulary = vocabulary or VOCABULARY
     caps = [(r[0], int(r[1])) for r in limits.where("capacity_tokens > 0").select("container", "capacity_tokens").collect()]
     sized = settle(measured(documents, vocabulary))
     total = sized.agg(F.sum("tokens")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_TOKENS))
+    ranges = max(1, min(MOST_RANGES, -(-total // RANGE_TOKENS)))
     lined = sized.repartitionByRange(ranges, "curve", F.xxhash64("doc_id")).sortWithinPartitions("curve", "doc_id")
 
     def run(batches):
@@ -148,17 +151,21 @@ def pack(documents: DataFrame, limits: DataFrame, vocabulary: str | None = None)
                     for i, (box, start, size) in enumerate(pieces):
                         for c, v in zip(cols, (name, cap, box, d, i, start, size)):
                             c.append(v)
-                # full enough containers are closed, so that the list of open ones stays short
-                st[0][:] = st[0][-4096:]
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["container", "capacity_tokens", "box", "doc_id", "piece", "start_token", "tokens"])
 
         held: list = []
+        packed = 0
         for b in batches:
             held.extend(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             while len(held) >= STRETCH:
+                packed += sum(n for _, n in held[:STRETCH])
                 yield stretch(held[:STRETCH])
                 held = held[STRETCH:]
+                if packed >= RANGE_TOKENS:  # a new piece of the curve, with no container open
+                    packed = 0
+                    for st in state.values():
+                        st[0].clear()
         if held:
             yield stretch(held)
 
@@ -166,6 +173,6 @@ def pack(documents: DataFrame, limits: DataFrame, vocabulary: str | None = None)
 
 
 def pack_report(documents: DataFrame, limits: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(container, boxes, texts, tokens, fill_pct) for each kind of container."""
+    """(container, boxes, least_boxes, texts, tokens, fill_pct) for each kind of container; least_boxes if nothing were wasted."""
     p = pack(documents, limits, vocabulary)
-    return p.groupBy("container", "capacity_tokens").agg(F.countDistinct("box").alias("boxes"), F.count_if(F.col("piece") == 0).alias("texts"), F.sum("tokens").alias("tokens")).select("container", "boxes", "texts", "tokens", F.round(100 * F.col("tokens") / (F.col("boxes") * F.col("capacity_tokens")), 3).alias("fill_pct"))
+    return p.groupBy("container", "capacity_tokens").agg(F.countDistinct("box").alias("boxes"), F.count_if(F.col("piece") == 0).alias("texts"), F.sum("tokens").alias("tokens")).select("container", "boxes", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_boxes"), "texts", "tokens", F.round(100 * F.col("tokens") / (F.col("boxes") * F.col("capacity_tokens")), 3).alias("fill_pct"))

@@ -16,6 +16,7 @@ def queries() -> dict:
         "p1_report": lambda s, d: mixing.mix_report(t(s, d, "samples"), t(s, d, "mix_targets")),
         "p3_found": lambda s, d: grouping.found_groups(t(s, d, "samples")),
         "p3_splits": lambda s, d: grouping.split_groups(t(s, d, "samples")),
+        "p3_report": lambda s, d: grouping.split_report(t(s, d, "samples")),
         "p5_found": lambda s, d: canonical.found_copies(t(s, d, "samples")),
         "p5_collapsed": lambda s, d: canonical.collapse(t(s, d, "samples")).select("sample_id", "label", "source", "n_copies"),
         "p4_found": lambda s, d: overlap.found_overlaps(*(t(s, d, x) for x in _SPLITS)),

@@ -71,6 +71,8 @@ def test_mix(spark):
     assert len({r["sample_id"] for r in per["a"]}) == 50
     rep = {r["source"]: r for r in mixing.mix_report(df, t).collect()}
     assert (rep["b"]["blocks"], rep["b"]["records"], rep["c"]["blocks"]) == (40, 20, 0)
+    with pytest.raises(ValueError):
+        mixing.read_targets(t.union(t.selectExpr(*(f"upper({c}) as {c}" if c == "source" else c for c in t.columns))))
     assert mixing.mix(df.limit(0), t).count() == 0 and mixing.mix(df, t.limit(0)).count() == 0
 
 
@@ -138,6 +140,17 @@ def test_splits_by_kind(spark, monkeypatch):
             assert int(n / 20) * 16 <= train <= -(-n // 20) * 16, (v, y, n, train)
 
 
+def test_a_large_group_leaves_the_shares(spark):
+    """One group has 30 % of all rows; the splits still have their shares, and no group is cut."""
+    df = grouped(spark, [(i, "huge" if i % 10 < 3 else f"p{i}", "npm") for i in range(4000)])
+    s = grouping.split_groups(df)
+    assert s.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    share = {r[0]: r[1] / 4000 for r in s.groupBy("split").count().collect()}
+    assert abs(share["validation"] - 0.1) < 0.005 and abs(share["test"] - 0.1) < 0.005
+    report = {r["split"]: r["rows"] for r in grouping.split_report(df).where("vulnerability_type is null and label is null").collect()}
+    assert report == {k: round(4000 * v) for k, v in share.items()}
+
+
 def test_strata(spark):
     many = [(f"k{i}\x01{i % 2}", 25 if i < 100 else 3) for i in range(110)] + [("x\x01", 2), ("y\x017", 1)]
     groups = spark.createDataFrame([(k,) for k, n in many for _ in range(n)], "kind string")
@@ -337,7 +350,7 @@ def test_pack(spark):
     docs = spark.createDataFrame([(i, "wort " * rng.randrange(0, 60) if i else "x " * 3000) for i in range(300)] + [(900, None), (901, "")], "doc_id long, text string").withColumn("tokens", F.lit(1))
     limits = spark.createDataFrame([("a", 64), ("b", 512), ("none", 0)], "container string, capacity_tokens int")
     p = packing.pack(docs, limits)
-    sizes = {r["doc_id"]: r["tokens"] for r in packing.measured(docs, packing.default_vocabulary()).collect()}
+    sizes = {r["doc_id"]: r["tokens"] for r in packing.measured(docs, packing.VOCABULARY).collect()}
     for name, cap in (("a", 64), ("b", 512)):
         rows = p.where(F.col("container") == name).collect()
         load: dict = {}
