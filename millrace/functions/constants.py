@@ -66,6 +66,8 @@ RISKY_PATTERNS = [
 SQL_CONCAT = r"""["'].*\+.*["']|f["'].*\{.*\}.*["']"""
 EXECUTE_CALL = r"\.(execute|query|raw|exec)\s*\("
 USER_INPUT = r"(request\.|input\s*\(|GET\[|POST\[|params\[)"
+# fixed values: most loops, conditionals, calls, try blocks and string operations that count
+SYNTAX_CAPS = (50, 50, 100, 20, 50)
 METRIC_SCALES = [100, 100, 5, 5, 5, 10, 10, 20, 5, 10]
 
 # fixed values

@@ -134,14 +134,14 @@ def patch_sides_strict(patch) -> Column:
 
 
 def patch_snippets(patch, around: int = 5) -> Column:
-    """The first and last `around` context lines with the changed lines between; null where a side has no changed line."""
+    """The first and last `around` context lines with the changed lines between, without space at the ends; null where a side has no changed line or is blank."""
     lines = _lines(patch)
     ctx = F.transform(F.filter(lines, lambda l: l.startswith(" ")), lambda l: F.substr(l, F.lit(2)))
     head, tail = F.slice(ctx, 1, around), F.when(F.size(ctx) > around, F.slice(ctx, -around, around)).otherwise(ctx)
 
     def side(mark):
         changed = F.transform(F.filter(lines, lambda l: l.startswith(mark)), lambda l: F.substr(l, F.lit(2)))
-        return F.when(F.size(changed) > 0, F.array_join(F.concat(head, changed, tail), "\n"))
+        return F.when(F.size(changed) > 0, F.nullif(strip(F.array_join(F.concat(head, changed, tail), "\n")), F.lit("")))
 
     return F.struct(side("-").alias("before"), side("+").alias("after"))
 
@@ -228,8 +228,8 @@ def line_metrics(x) -> Column:
 
 @F.pandas_udf(_COUNTS)
 def syntax_counts(code: pd.Series) -> pd.DataFrame:
-    """Loops, conditionals, calls, try blocks and additions or multiplications of Python code; zeros where it does not parse."""
-    kinds = ((ast.For, ast.While, ast.AsyncFor), (ast.If, ast.IfExp), (ast.Call,), (ast.Try,))
+    """for and while loops, if statements, calls, try blocks and additions or multiplications of Python code, capped; zeros where it does not parse."""
+    kinds = ((ast.For, ast.While), (ast.If,), (ast.Call,), (ast.Try,))
     rows = []
     for text in code:
         counts = [0] * 5
@@ -240,7 +240,7 @@ def syntax_counts(code: pd.Series) -> pd.DataFrame:
                 counts[4] += isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Add, ast.Mult))
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             counts = [0] * 5
-        rows.append(counts)
+        rows.append([min(n, most) for n, most in zip(counts, K.SYNTAX_CAPS)])
     return pd.DataFrame(rows, columns=["loops", "conditionals", "function_calls", "try_blocks", "string_ops"])
 
 

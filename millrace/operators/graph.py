@@ -17,7 +17,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, keep_start: bool = Fa
     away, so cycles end and no path is listed. Each step is written to the shared folder. Start nodes themselves are
     left out unless keep_start, or reached again.
     """
-    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    e = settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     front = settle(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).where("start is not null").distinct())
     seen = front
     found = front if keep_start else front.limit(0)

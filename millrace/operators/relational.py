@@ -95,15 +95,28 @@ def weighted_resample(df: DataFrame, label: str, id_col: str, draws: int, seed:
 
 
 def overlapping(a: DataFrame, b: DataFrame, a_start: str, a_end: str, b_start: str, b_end: str, width: int, key: str | None = None) -> DataFrame:
-    """Pairs of rows whose half-open ranges overlap: equi-join on the buckets of `width` each range touches.
+    """Pairs of rows whose half-open ranges overlap: equi-join on buckets, the longer range of a pair giving their width.
 
-    A pair that shares several buckets is kept at the first of them, so nothing is made distinct.
+    A range of at most `width` belongs to level 0, up to four times that to level 1, and so on; at its own level and
+    above it touches at most two buckets. Each range stands at every level that occurs from its own on, and two ranges
+    meet at the higher of their levels; so a range of any length is in a few rows. A pair that shares two buckets is
+    kept at the first, so nothing is made distinct. Empty ranges and nulls overlap nothing.
     """
-    span = lambda s, e: F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width))
-    x = a.where(F.col(a_end) > F.col(a_start)).withColumn("_k", F.explode(span(a_start, a_end)))
-    y = b.where(F.col(b_end) > F.col(b_start)).withColumn("_k", F.explode(span(b_start, b_end)))
-    on = ["_k"] + ([key] if key else [])
-    return x.join(y, on).where((F.col(a_start) < F.col(b_end)) & (F.col(b_start) < F.col(a_end)) & (F.col("_k") == F.floor(F.greatest(a_start, b_start) / width))).drop("_k")
+    level = lambda s, e: F.greatest(F.lit(0), F.ceil(F.log(4.0, (F.col(e) - F.col(s)) / float(width)) - 1e-9)).cast("int")
+    x = a.where(F.col(a_end) > F.col(a_start)).withColumn("_la", level(a_start, a_end))
+    y = b.where(F.col(b_end) > F.col(b_start)).withColumn("_lb", level(b_start, b_end))
+    # levels grow with the logarithm of the length: at most 32 for 64-bit numbers
+    levels = sorted({r[0] for side in (x.select("_la"), y.select("_lb")) for r in side.distinct().collect()})
+    wide = lambda: F.lit(float(width)) * F.pow(F.lit(4.0), F.col("_l"))
+
+    def at_levels(df, own, s, e):
+        df = df.withColumn("_l", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k >= F.col(own))))
+        return df.withColumn("_k", F.explode(F.sequence(F.floor(F.col(s) / wide()), F.floor((F.col(e) - 1) / wide()))))
+
+    x, y = at_levels(x, "_la", a_start, a_end), at_levels(y, "_lb", b_start, b_end)
+    on = ["_l", "_k"] + ([key] if key else [])
+    met = x.join(y, on).where((F.col("_l") == F.greatest("_la", "_lb")) & (F.col(a_start) < F.col(b_end)) & (F.col(b_start) < F.col(a_end)))
+    return met.where(F.col("_k") == F.floor(F.greatest(a_start, b_start) / wide())).drop("_l", "_k", "_la", "_lb")
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:

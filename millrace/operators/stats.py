@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import settle
+
 
 def shares(df: DataFrame, key: Column, name: str, digits: int = 4) -> DataFrame:
     """(name, n, pct): rows per value and their share of all rows."""
@@ -69,12 +73,16 @@ def best_threshold(sweep: DataFrame, by: str = "f1") -> DataFrame:
 def roc_auc(df: DataFrame, truth: str, prob: str) -> DataFrame:
     """(auc): area under the curve with half counts for ties, 0 where one label is missing.
 
-    Distinct scores are aggregated first; only their running counts need an order.
+    Distinct scores are aggregated and range-sorted; the sums of whole ranges, as many as there are shuffle
+    partitions, are added up first, then the scores inside each range.
     """
     x = df.where(F.col(truth).isin(0, 1) & F.col(prob).isNotNull()).select(F.col(prob).alias("score"), F.col(truth).alias("truth"))
     g = x.groupBy("score").agg(F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = g.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    g = settle(g.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = g.groupBy("part").agg(F.sum("neg").alias("neg")).select("part", before(W.orderBy("part")).alias("lower"))
+    s = g.join(F.broadcast(ranges), "part").withColumn("below", F.col("lower") + before(W.partitionBy("part").orderBy("score")))
+    s = s.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     return s.select(F.round(ratio(F.col("u"), F.coalesce(F.col("all_pos") * F.col("all_neg"), F.lit(0))), 6).alias("auc"))
 
 
@@ -90,31 +98,45 @@ def misaligned(preds: DataFrame, row: str, label: str, seeds: int) -> DataFrame:
 
 
 def vote(preds: DataFrame, row: str, prob: str, seed: str, weights: dict | None = None) -> DataFrame:
-    """(row, soft, hard, weighted, agreement) over the seeds of a row; a hard tie goes to label 0."""
+    """(row, soft, hard, weighted, confident, agreement) over the seeds of a row; a hard tie goes to label 0.
+
+    weighted: by the weight of each seed; confident: each seed's label weighs as much as its probability is away from even.
+    """
     w = F.coalesce(F.element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col(seed)), F.lit(0.0)) if weights else F.lit(1.0)
     pos = (F.col(prob) >= 0.5).cast("int")
-    g = preds.groupBy(row).agg(F.avg(prob).alias("soft"), F.sum(pos).alias("_p"), F.count("*").alias("_n"), F.sum(w * F.col(prob)).alias("_wp"), F.sum(w).alias("_w"))
-    return g.select(row, F.round("soft", 6).alias("soft"), (2 * F.col("_p") > F.col("_n")).cast("int").alias("hard"), F.round(ratio("_wp", "_w"), 6).alias("weighted"), F.round(F.greatest("_p", F.col("_n") - F.col("_p")) / F.col("_n"), 6).alias("agreement"))
+    sure = F.abs(F.col(prob) - 0.5)
+    g = preds.groupBy(row).agg(F.avg(prob).alias("soft"), F.sum(pos).alias("_p"), F.count("*").alias("_n"), F.sum(w * F.col(prob)).alias("_wp"), F.sum(w).alias("_w"), F.round(F.sum(F.when(pos == 1, sure).otherwise(-sure)), 9).alias("_sure"))
+    return g.select(row, F.round("soft", 6).alias("soft"), (2 * F.col("_p") > F.col("_n")).cast("int").alias("hard"), F.round(ratio("_wp", "_w"), 6).alias("weighted"), (F.col("_sure") > 0).cast("int").alias("confident"), F.round(F.greatest("_p", F.col("_n") - F.col("_p")) / F.col("_n"), 6).alias("agreement"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, id_col: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """(mean, low, high): 95 % interval of the mean from `resamples` Poisson resamples.
 
-    A row is in each resample as often as an independent Poisson(1) draw says; the draws come from a hash, so
-    that the result does not change with partitioning. Sums are combined before the shuffle: resamples x partitions rows.
+    A row is in each resample as often as an independent Poisson(1) draw says; the draws come from a hash of its id, so
+    that the result does not change with partitioning (ids are unique). A batch becomes one row, the sums of all
+    resamples, before anything is shuffled. Null values take no part; without rows all is null.
     """
-    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i"))
-    u = lambda r: F.pmod(F.xxhash64(F.lit(seed), "i", "v", r), F.lit(1 << 40)) / float(1 << 40)
-    cdf, p, term = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        p += term
-        cdf.append(p)
-        term /= k + 1
-    times = lambda z: sum(((z >= c).cast("int") for c in cdf), F.lit(0))
-    e = x.select("v", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    g = e.withColumn("k", times(u(F.col("r")))).groupBy("r").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
+    cdf = np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 20)]))
+    most = np.uint64(1 << 53)
+
+    def sums(batches):
+        r = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            v, h = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            total, n = np.zeros(resamples), np.zeros(resamples)
+            for at in range(0, len(v), 512):
+                z = h[at : at + 512].view(np.uint64)[:, None] + r[None]
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+                k = np.searchsorted(cdf, (z >> np.uint64(11)).astype(np.float64) / float(most), "right")
+                total += v[at : at + 512] @ k
+                n += k.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(range(resamples), pa.int32()), pa.array(total), pa.array(n)], ["r", "total", "n"])
+
+    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), id_col).alias("h"))
+    g = x.mapInArrow(sums, "r int, total double, n double").groupBy("r").agg((F.sum("total") / F.sum("n")).alias("m"))
     q = g.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return q.select(x.agg(F.avg("v")).scalar().alias("mean"), "low", "high")
+    return q.select(F.round(x.agg(F.avg("v")).scalar(), 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def class_weights(df: DataFrame, label: str, multiplier: float = 1.0, cap: float = 5.0) -> DataFrame:
@@ -125,7 +147,11 @@ def class_weights(df: DataFrame, label: str, multiplier: float = 1.0, cap: float
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, mean_diff, t, p): paired t-test of two columns; p from the t distribution by numerical integration."""
+    """(n, mean_diff, sd, low, high, improvement_pct, t, p, significant): paired t-test of b against a.
+
+    low and high are 1.96 standard errors from the mean difference; improvement is in percent of the mean of a;
+    significant if p is below 0.05, from the t distribution by numerical integration. Pairs with a null are left out.
+    """
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
@@ -144,10 +170,14 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
 
         return pd.Series([tail(x, k - 1) for x, k in zip(t, n)])
 
-    x = df.select((F.col(b) - F.col(a)).cast("double").alias("d")).where("d is not null")
-    g = x.agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
-    g = g.withColumn("t", F.when(F.col("sd") > 0, F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))))
-    return g.select("n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 6).alias("t"), F.round(p_value("t", "n"), 6).alias("p"))
+    x = df.select(F.col(a).cast("double").alias("a"), (F.col(b) - F.col(a)).cast("double").alias("d")).where("d is not null")
+    g = x.agg(F.count("*").alias("n"), F.avg("a").alias("base"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
+    g = g.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("t", F.when(F.col("sd") > 0, F.col("mean_diff") / F.col("se")))
+    g = g.withColumn("p", p_value("t", "n"))
+    low, high = (F.col("mean_diff") + k * 1.96 * F.col("se") for k in (-1, 1))
+    improvement = F.try_divide(100 * F.col("mean_diff"), F.abs("base"))
+    named = {"mean_diff": F.col("mean_diff"), "sd": F.col("sd"), "low": low, "high": high, "improvement_pct": improvement, "t": F.col("t"), "p": F.col("p")}
+    return g.select("n", *(F.round(c, 6).alias(k) for k, c in named.items()), F.coalesce(F.col("p") < 0.05, F.lit(False)).alias("significant"))
 
 
 def size_summary(df: DataFrame, size: str) -> DataFrame:

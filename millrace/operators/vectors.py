@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,11 +29,10 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: in
     """(query, neighbour, similarity): the k most similar rows for each query, itself left out, then those below `least`.
 
     Queries are taken QUERY_BLOCK at a time; each batch of rows is multiplied with the block and keeps its own k
-    best, so at most k rows per query and batch are shuffled. Equal similarities are ranked by id. Null and zero vectors,
-    and those of another length, are like nothing.
+    best, so at most k rows per query and batch are shuffled. Equal similarities are ranked by id. Vectors of different
+    lengths are not alike; nor are null and zero vectors, and those with a null, like anything. Rows without an id are left out.
     """
     spark = rows.sparkSession
-    held, out = [], None
 
     def search(block):
         ids = np.asarray([i for i, _ in block], np.int64)
@@ -41,11 +43,15 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: in
         def scan(batches):
             qs, q = shared.value
             for b in batches:
-                keep = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None and len(v) == q.shape[1] and None not in v and any(v)]
-                if not keep:
+                d = q.shape[1]
+                b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), d), False))
+                flat = b.column(1).flatten()
+                x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                gaps = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, d).any(axis=1)
+                keep = ~gaps & (np.where(gaps[:, None], 0.0, x) != 0).any(axis=1)
+                if not keep.any():
                     continue
-                rid = np.asarray([i for i, _ in keep], np.int64)
-                x = np.asarray([v for _, v in keep], np.float64)
+                rid, x = b.column(0).to_numpy(zero_copy_only=False)[keep], x[keep]
                 sim = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
                 sim[qs[:, None] == rid[None, :]] = -np.inf
                 n = min(k, len(rid))
@@ -55,23 +61,20 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: in
                 ok = np.isfinite(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, n)[ok.ravel()]), pa.array(rid[order][top][ok]), pa.array(s[ok])], ["query", "neighbour", "similarity"])
 
-        return rows.select(F.col(id_col).cast("long"), vector).mapInArrow(scan, "query long, neighbour long, similarity double")
+        return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), vector).mapInArrow(scan, "query long, neighbour long, similarity double")
 
-    usable = [None]
+    held: dict[int, list] = {}
+    parts = []
     for r in queries.select(F.col(id_col).cast("long"), vector).toLocalIterator():
         v = r[1]
         if v is None or None in v or not any(v):
             continue
-        usable[0] = usable[0] or len(v)
-        if len(v) != usable[0]:
-            continue
-        held.append((r[0], v))
-        if len(held) == QUERY_BLOCK:
-            part, held = search(held), []
-            out = part if out is None else out.unionByName(part)
-    if held:
-        part = search(held)
-        out = part if out is None else out.unionByName(part)
+        block = held.setdefault(len(v), [])
+        block.append((r[0], v))
+        if len(block) == QUERY_BLOCK:
+            parts.append(search(held.pop(len(v))))
+    parts += [search(block) for block in held.values()]
+    out = functools.reduce(DataFrame.unionByName, parts) if parts else None
     if out is None:
         return rows.select(F.lit(0).cast("long").alias("query"), F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
     w = W.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")

@@ -15,6 +15,7 @@ from ..runtime import scratch_dir
 from ..runtime import table as t
 from ..sinks import writers
 from ..sources import files
+from ..streaming import streams
 from .text_plans import q
 
 QUERIES: dict = {}
@@ -242,15 +243,14 @@ def _(s, d):
 @query("ud4_sql_functions")
 def _(s, d):
     register(s)
-    t(s, d, "repo_commits").createOrReplaceTempView("mr_commits")
-    return s.sql("SELECT row_id, size(risky_spans(vulnerable_code)) AS spans, syntax_counts(vulnerable_code).loops AS loops FROM mr_commits WHERE vulnerable_code IS NOT NULL")
+    return s.sql("SELECT row_id, size(risky_spans(vulnerable_code)) AS spans, syntax_counts(vulnerable_code).loops AS loops FROM {x} WHERE vulnerable_code IS NOT NULL", x=t(s, d, "repo_commits"))
 
 
 @query("ud5_table_function")
 def _(s, d):
     register(s)
-    t(s, d, "repo_commits").where(X.source_language("language", "file_path") == "python").createOrReplaceTempView("mr_python")
-    return s.sql("SELECT kind, count(*) AS n FROM mr_python, LATERAL python_nodes(vulnerable_code) GROUP BY kind")
+    x = t(s, d, "repo_commits").where(X.source_language("language", "file_path") == "python")
+    return s.sql("SELECT kind, count(*) AS n FROM {x}, LATERAL python_nodes(vulnerable_code) GROUP BY kind", x=x)
 
 
 @query("ud2_any_key", "SELECT min(row_id) AS row_id FROM repo_commits WHERE commit_sha IS NOT NULL GROUP BY md5(commit_sha) UNION ALL SELECT row_id FROM repo_commits WHERE commit_sha IS NULL")
@@ -291,9 +291,11 @@ def _(s, d):
     return x.groupBy("user_id").agg(F.round(F.percentile("value", 0.9) - F.percentile("value", 0.1), 6).alias("spread"))
 
 
-@query("ss10_batch_gate", "SELECT event_type, count(*) AS waiting, count(*) >= 100 AS ready FROM events GROUP BY 1")
+@query("ss10_batch_gate", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def _(s, d):
-    return t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("waiting"), (F.count("*") >= 100).alias("ready"))
+    base = _new(s, "gate")
+    streams.gated(streams.event_stream(s, d), base, 100, f"{base}/state").awaitTermination()
+    return s.read.parquet(f"{base}/synced").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 def queries() -> dict:

@@ -200,8 +200,9 @@ def _(s, d):
 
 @query("ag3_grouping_sets", f"SELECT {SRC} AS source, upper(severity) AS severity, count(*) AS n, grouping({SRC}) AS g1, grouping(upper(severity)) AS g2 FROM samples GROUP BY GROUPING SETS (({SRC}), (upper(severity)), ())")
 def _(s, d):
-    t(s, d, "samples").select(src().alias("source"), F.upper("severity").alias("severity")).createOrReplaceTempView("mr_ag3")
-    return s.sql("SELECT source, severity, count(*) AS n, cast(grouping(source) AS bigint) AS g1, cast(grouping(severity) AS bigint) AS g2 FROM mr_ag3 GROUP BY GROUPING SETS ((source), (severity), ())")
+    x = t(s, d, "samples").select(src().alias("source"), F.upper("severity").alias("severity"))
+    g = x.groupingSets([["source"], ["severity"], []], "source", "severity")
+    return g.agg(F.count("*").alias("n"), F.grouping("source").cast("long").alias("g1"), F.grouping("severity").cast("long").alias("g2"))
 
 
 @query("ag4_type_by_label", "SELECT lower(trim(vulnerability_type)) AS type, count(*) FILTER (label = 1) AS vulnerable, count(*) FILTER (label = 0) AS safe, round(avg(length(code)), 4) AS mean_length FROM samples GROUP BY 1")
@@ -311,7 +312,10 @@ def _(s, d):
 
 @query("ag24_bootstrap")
 def _(s, d):
-    return A.bootstrap_mean(t(s, d, "train_split").select(F.col("metadata.num_tokens").alias("v")), "v", 200)
+    return A.bootstrap_mean(t(s, d, "train_split").select("row_id", F.col("metadata.num_tokens").alias("v")), "v", "row_id")
+
+
+_PAIRED = f"SELECT a, b - a AS d FROM (SELECT row_id, avg(prob) FILTER (seed = 1) AS a, avg(prob) FILTER (seed = 2) AS b FROM {_PRED} GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL"
 
 
 @query("ag25_paired_t")
@@ -320,6 +324,13 @@ def _(s, d):
     return A.paired_t(x, "1", "2")
 
 
+# all but the tail of the t distribution, which SQL does not have
+@query("ag25_paired_differences", f"SELECT n, round(m, 6) AS mean_diff, round(sd, 6) AS sd, round(m - 1.96 * sd / sqrt(n), 6) AS low, round(m + 1.96 * sd / sqrt(n), 6) AS high, round(100 * m / abs(base), 6) AS improvement_pct, round(m / (sd / sqrt(n)), 6) AS t FROM (SELECT count(*) AS n, avg(a) AS base, avg(d) AS m, stddev_samp(d) AS sd FROM ({_PAIRED}))")
+def _(s, d):
+    x = preds(s, d).groupBy("row_id").pivot("seed", [1, 2]).agg(F.avg("prob"))
+    return A.paired_t(x, "1", "2").drop("p", "significant")
+
+
 @query("ag26_class_weights", "SELECT label, n, round(least(5.0, sum(n) OVER () / (2.0 * n) * CASE WHEN label = 1 THEN 1.5 ELSE 1.0 END), 6)::DOUBLE AS weight FROM (SELECT label, count(*) AS n FROM train_split WHERE label IN (0, 1) GROUP BY 1)")
 def _(s, d):
     return A.class_weights(t(s, d, "train_split"), "label", 1.5)
@@ -363,9 +374,10 @@ def _(s, d):
     return c.select(F.explode(F.create_map(*[x for n in ("supplier", "part", "supplies") for x in (F.lit(n), F.col(n))])).alias("kind", "n")).rollup("kind").agg(F.sum("n").alias("n"))
 
 
-@query("ag34_action_counts", "SELECT event_type, count(*) AS n, count(*) FILTER (value IS NULL OR value < 10) AS pending FROM events GROUP BY 1")
+@query("ag34_action_counts", "SELECT event_type, count(*) AS n, count(*) FILTER (value IS NULL OR value < 10) AS pending, count(*) FILTER (value IS NULL OR value < 10) >= 100 AS ready FROM events GROUP BY 1")
 def _(s, d):
-    return t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull() | (F.col("value") < 10)).alias("pending"))
+    pending = F.count_if(F.col("value").isNull() | (F.col("value") < 10))
+    return t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), pending.alias("pending"), (pending >= 100).alias("ready"))
 
 
 @query("ag35_dt4_daily", "SELECT date_trunc('day', ts)::DATE AS day, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
@@ -414,7 +426,7 @@ def _(s, d):
     return x.groupBy("repository").agg(F.round(F.avg((F.trim("vulnerable_code") == F.trim("fixed_code")).cast("double")), 6).alias("kept"))
 
 
-@query("ml7_votes", f"SELECT row_id, round(avg(prob), 6) AS soft, CAST(2 * count(*) FILTER (prob >= 0.5) > count(*) AS INTEGER) AS hard, round(CASE WHEN sum(w) > 0 THEN sum(w * prob) / sum(w) ELSE 0 END, 6) AS weighted, round(greatest(count(*) FILTER (prob >= 0.5), count(*) - count(*) FILTER (prob >= 0.5)) / count(*)::DOUBLE, 6) AS agreement FROM (SELECT *, CASE seed WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END::DOUBLE AS w FROM {_PRED}) GROUP BY 1")
+@query("ml7_votes", f"SELECT row_id, round(avg(prob), 6) AS soft, CAST(2 * count(*) FILTER (prob >= 0.5) > count(*) AS INTEGER) AS hard, round(CASE WHEN sum(w) > 0 THEN sum(w * prob) / sum(w) ELSE 0 END, 6) AS weighted, CAST(round(sum(CASE WHEN prob >= 0.5 THEN abs(prob - 0.5) ELSE -abs(prob - 0.5) END), 9) > 0 AS INTEGER) AS confident, round(greatest(count(*) FILTER (prob >= 0.5), count(*) - count(*) FILTER (prob >= 0.5)) / count(*)::DOUBLE, 6) AS agreement FROM (SELECT *, CASE seed WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END::DOUBLE AS w FROM {_PRED}) GROUP BY 1")
 def _(s, d):
     return A.vote(preds(s, d), "row_id", "prob", "seed", {1: 0.5, 2: 0.3, 3: 0.2})
 

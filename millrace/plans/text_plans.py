@@ -172,13 +172,26 @@ def _(s, d):
     return x.select("row_id", F.md5(F.coalesce(X.patch_sides("p")["before"], F.lit(""))).alias("before_md5"), F.size(F.filter(F.split("p", "\n"), lambda l: l.startswith("+") & ~l.startswith("+++"))).cast("long").alias("n_added"))
 
 
-@query("st7_patch_strict")
+_SIDES_SQL = "WITH x AS (SELECT row_id, string_split(vulnerable_code, chr(10)) AS v, string_split(fixed_code, chr(10)) AS f FROM repo_commits), p AS (SELECT row_id, CASE WHEN v IS NOT NULL AND f IS NOT NULL THEN list_filter(string_split(array_to_string(list_concat(list_transform(v, lambda a: CASE WHEN list_contains(f, a) THEN ' ' || a ELSE '-' || a END), list_transform(list_filter(f, lambda a, i: NOT list_contains(v, a) AND list_position(f, a) = i), lambda a: '+' || a)), chr(10)), chr(10)), lambda a: NOT starts_with(a, '---') AND NOT starts_with(a, '@@') AND NOT starts_with(a, '+++')) END AS l FROM x), c AS (SELECT row_id, l, list_transform(list_filter(l, lambda a: starts_with(a, ' ')), lambda a: a[2:]) AS ctx FROM p)"
+
+
+def _strict_sql(mark):
+    return strip(f"array_to_string(list_transform(list_filter(l, lambda a: starts_with(a, '{mark}') OR starts_with(a, ' ')), lambda a: a[2:]), chr(10))")
+
+
+def _snippet_sql(mark):
+    changed = f"list_transform(list_filter(l, lambda a: starts_with(a, '{mark}')), lambda a: a[2:])"
+    text = f"array_to_string(list_concat(ctx[1:5], {changed}, ctx[greatest(1, len(ctx) - 4):]), chr(10))"
+    return f"CASE WHEN len({changed}) > 0 THEN nullif({strip(text)}, '') END"
+
+
+@query("st7_patch_strict", f"{_SIDES_SQL}, b AS (SELECT row_id, nullif({_strict_sql('-')}, '') AS b, nullif({_strict_sql('+')}, '') AS a FROM c) SELECT row_id, CASE WHEN a <> b THEN b END AS before, CASE WHEN a <> b THEN a END AS after FROM b")
 def _(s, d):
     x = t(s, d, "repo_commits").select("row_id", _patch().alias("p"))
     return x.select("row_id", X.patch_sides_strict("p").alias("s")).select("row_id", "s.before", "s.after")
 
 
-@query("st8_patch_snippets")
+@query("st8_patch_snippets", f"{_SIDES_SQL} SELECT row_id, {_snippet_sql('-')} AS before, {_snippet_sql('+')} AS after FROM c")
 def _(s, d):
     x = t(s, d, "repo_commits").select("row_id", _patch().alias("p"))
     return x.select("row_id", X.patch_snippets("p").alias("s")).select("row_id", "s.before", "s.after")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,16 +48,18 @@ def scratch_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="millrace-scratch-")
-        atexit.register(shutil.rmtree, path[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="millrace-scratch-")
+            atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], ignore_errors=True)
+        path = "file://" + _LOCAL_SCRATCH[app]
     return path.rstrip("/")
 
 
 def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Cut lineage: write to the shared scratch folder and read back. Survives the loss of any executor.
 
-    The files are removed when the driver ends.
+    The files are removed, on whatever file system, when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/millrace-{uuid.uuid4().hex}"
@@ -64,8 +67,8 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.split("file:", 1)[1].replace("///", "/").replace("//", "/"), ignore_errors=True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

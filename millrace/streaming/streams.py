@@ -96,17 +96,26 @@ def run_to_table(df: DataFrame, mode: str) -> DataFrame:
 
 
 def gated(stream: DataFrame, path: str, least: int, checkpoint: str):
-    """Batches are held in path/pending and move to path/synced together once `least` rows wait."""
+    """Batches wait in path/pending and are appended to path/synced together once `least` rows wait.
+
+    Each batch is written once to pending and at most once to synced, as a folder of its own; path/ledger has the last
+    batch of each sync and how many rows it moved. A batch that is run again after a failure replaces its own folders.
+    """
     spark = stream.sparkSession
 
+    def there(name):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
     def each(batch, i):
-        batch.write.mode("append").parquet(f"{path}/pending")
-        wait = spark.read.schema(batch.schema).parquet(f"{path}/pending")
-        try:
-            done = spark.read.parquet(f"{path}/synced").count()
-        except Exception:  # noqa: BLE001 - nothing has been synced yet
-            done = 0
-        if wait.count() - done >= least:
-            wait.write.mode("overwrite").parquet(f"{path}/synced")
+        batch.write.mode("overwrite").parquet(f"{path}/pending/batch={i}")
+        last = spark.read.parquet(f"{path}/ledger").where(F.col("batch") < i).agg(F.max("batch")).first()[0] if there("ledger") else None
+        schema = batch.schema.add("batch", "long")
+        wait = spark.read.schema(schema).parquet(f"{path}/pending").where(F.col("batch") <= i)
+        wait = wait if last is None else wait.where(F.col("batch") > last)
+        n = wait.count()
+        if n >= least:
+            wait.drop("batch").write.mode("overwrite").parquet(f"{path}/synced/sync={i}")
+            spark.createDataFrame([(n,)], "rows long").write.mode("overwrite").parquet(f"{path}/ledger/batch={i}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()

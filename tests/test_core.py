@@ -419,3 +419,71 @@ def test_entry(spark):
         assert e.entry(spark).count() > 0
 
 
+
+
+# ---- plans that hold at scale -------------------------------------------------------------------------------------
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 50 != 0, (F.col("id") * 7919) % 1000 / 10.0).alias("v"))
+    got = {tuple(stats.bootstrap_mean(x, "v", "id", 200).first()) for x in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("id")))}
+    (mean, low, high), = got
+    v = np.array([(i * 7919) % 1000 / 10 for i in range(3000) if i % 50])
+    assert abs(mean - v.mean()) < 1e-6 and low < mean < high and abs((high - low) / (2 * 1.96 * v.std() / len(v) ** 0.5) - 1) < 0.2
+    assert tuple(stats.bootstrap_mean(df.limit(0), "v", "id", 10).first()) == (None, None, None)
+
+
+def test_auc_over_many_distinct_scores(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(y), float(round(p, 2))) for y, p in zip(rng.integers(0, 2, 500), rng.random(500))]
+    df = spark.createDataFrame([*rows, (None, 0.5), (1, None)], "y int, p double").repartition(5)
+    pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(stats.roc_auc(df, "y", "p").first()[0] - want) < 1e-5
+
+
+def test_syntax_counts_leave_out_expressions_and_are_capped(spark):
+    code = "x = 1 if y else 2\n" + "if a:\n    b()\n" * 60 + "async def f():\n    async for i in j: pass\n" + "for k in l: pass\n" * 55
+    df = spark.createDataFrame([(1, code), (2, "def ("), (3, None)], "i long, code string").select("i", X.syntax_counts("code").alias("n"))
+    assert [tuple(r["n"]) for r in df.orderBy("i").collect()] == [(50, 50, 60, 0, 0), (0,) * 5, (0,) * 5]
+
+
+def test_snippets_are_stripped(spark):
+    p = "@@ -1 +1 @@\n   head\n-    old\n+  \n"
+    r = spark.createDataFrame([(p,)], "p string").select(X.patch_snippets("p").alias("s")).first()["s"]
+    assert r["before"].startswith("head") and r["after"].startswith("head")
+    r = spark.createDataFrame([("-  \n+ x\n",)], "p string").select(X.patch_snippets("p").alias("s")).first()["s"]
+    assert (r["before"], r["after"]) == (None, "x")
+
+
+def test_overlaps_of_short_and_very_long_ranges(spark):
+    rng = np.random.default_rng(1)
+    make = lambda n: [(i, int(a), int(a + b)) for i, (a, b) in enumerate(zip(rng.integers(0, 2000, n), rng.choice([0, 1, 3, 9, 10, 11, 39, 41, 700, 10**9], n)))]
+    a, b = make(60), make(60)
+    x, y = spark.createDataFrame(a, "i long, s long, e long"), spark.createDataFrame(b, "j long, t long, f long")
+    got = sorted((r["i"], r["j"]) for r in relational.overlapping(x, y, "s", "e", "t", "f", 10).collect())
+    assert got == sorted((i, j) for i, s, e in a for j, t, f in b if s < e and t < f and s < f and t < e)
+
+
+def test_neighbours_of_mixed_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.0, 0.1]), (5, [0.0, 0.0]), (6, None), (7, [None, 1.0]), (8, [])]
+    df = spark.createDataFrame(rows, "i long, v array<double>").repartition(3)
+    got = sorted((r["query"], r["neighbour"]) for r in vectors.nearest(df, df, "i", "v", 3).collect())
+    assert got == [(1, 2), (2, 1), (3, 4), (4, 3)]
+
+
+def test_components_of_a_hub(spark):
+    hub = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    more = spark.range(5000, 5004).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components(hub.union(more)).groupBy("comp").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 3000), (5000, 5)]
+
+
+def test_gate_moves_each_row_once(spark, tmp_path):
+    from millrace.streaming import streams
+
+    for k in range(5):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.gated(stream, str(tmp_path / "g"), 20, str(tmp_path / "c")).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "g/synced"))
+    assert done.count() == done.select("id").distinct().count() == 40 and done.select("sync").distinct().count() == 2
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "g/ledger")).select("rows").collect()) == [20, 20]
