@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 _VECTOR = T.ArrayType(T.FloatType())
 
 
-def embedder(dims: int = 64, limit: int = 512) -> Callable[[Column], Column]:
-    """A vector of hashed words of length one for each non-empty text, null for others; the first `limit` words count.
+def embedder(dims: int = 64, limit: int | None = 512) -> Callable[[Column], Column]:
+    """A vector of hashed words of length one for each non-empty text, null for others; the first `limit` words count (512 as encoders take, None for all).
 
     Stands where a trained encoder would: any function from a list of texts to a matrix fits in its place.
     """

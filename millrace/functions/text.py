@@ -277,3 +277,75 @@ def first_rewrite(x, rules: list[tuple[str, str]]) -> Column:
     """The result of the first rule that changes the text, else null."""
     tries = [F.regexp_replace(_c(x), p, r) for p, r in rules]
     return F.coalesce(*(F.when(t != _c(x), t) for t in tries))
+
+
+# ---- filters and shapes of rows -------------------------------------------------------------------------------------
+def not_a_test(path) -> Column:
+    """Whether a path has neither test nor spec in it."""
+    return ~F.lower(_c(path)).rlike("test|spec")
+
+
+def since(ts, start: str) -> Column:
+    """Whether a time is not before the start; rows without a time pass."""
+    return _c(ts).isNull() | (_c(ts) >= F.lit(start).cast("timestamp_ntz"))
+
+
+def vulnerable_side(severity) -> Column:
+    """Whether a severity tells of a vulnerability: all but SAFE and UNKNOWN, and a missing one, do."""
+    return F.coalesce(~_c(severity).isin("SAFE", "UNKNOWN"), F.lit(True))
+
+
+def mentions_or_is(text, word: str, kind, value: str) -> Column:
+    """Whether a text has a word, in any case, or the kind is the value."""
+    return F.contains(F.lower(_c(text)), F.lit(word)) | (_c(kind) == value)
+
+
+def is_there(x) -> Column:
+    return _c(x).isNotNull() & (_c(x) != "")
+
+
+def same_text(a, b) -> Column:
+    """Whether two texts are the same but for blanks at their ends."""
+    return F.trim(_c(a)) == F.trim(_c(b))
+
+
+def filled(template: str, slot: str, value: Column) -> Column:
+    return F.replace(F.lit(template), F.lit(slot), value)
+
+
+def digests(x) -> Column:
+    """struct(m, s1, s2): md5, sha1 and sha256."""
+    return F.struct(F.md5(_c(x)).alias("m"), F.sha1(_c(x)).alias("s1"), F.sha2(_c(x), 256).alias("s2"))
+
+
+def part_of(x, mark: str, n: int) -> Column:
+    """The n-th part of a text cut at a mark; empty beyond the last."""
+    return F.split_part(_c(x), F.lit(mark), F.lit(n))
+
+
+def headed(title, body, size: int = 100) -> Column:
+    """A comment line with the first characters of a title, then the body."""
+    return F.concat(F.lit("# "), F.substring(_c(title), 1, size), F.lit("\n"), _c(body))
+
+
+def line_changes(before, after) -> Column:
+    """struct(added, removed): how many distinct lines only one of two texts has."""
+    a, b = F.split(_c(before), "\n"), F.split(_c(after), "\n")
+    return F.struct(F.size(F.array_except(b, a)).cast("long").alias("added"), F.size(F.array_except(a, b)).cast("long").alias("removed"))
+
+
+def json_first(x, paths: list[str], rest: str | None = None) -> Column:
+    """The first of several JSON paths that has a value, else `rest`."""
+    found = [F.get_json_object(_c(x), p) for p in paths]
+    return F.coalesce(*found, *([F.lit(rest)] if rest is not None else []))
+
+
+def json_kind(x, path: str) -> Column:
+    """OBJECT or VARCHAR by what stands at a JSON path, null if nothing does."""
+    r = F.try_variant_get(F.try_parse_json(_c(x)), path, "variant")
+    return F.when(r.isNotNull(), F.when(F.schema_of_variant(r).startswith("OBJECT"), "OBJECT").otherwise("VARCHAR"))
+
+
+def starting(items, prefix: str) -> Column:
+    """The items of an array that start with a prefix."""
+    return F.filter(_c(items), lambda c: c.startswith(prefix))

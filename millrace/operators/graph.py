@@ -41,6 +41,12 @@ def mark(nodes: DataFrame, marks: DataFrame, key: str, flag: str) -> DataFrame:
     return nodes.drop(flag).join(m, key, "full").withColumn(flag, F.coalesce("_m", F.lit(False))).drop("_m")
 
 
+def seeded(rows: DataFrame, kinds: list[tuple[str, str, str]]) -> DataFrame:
+    """(kind, src, dst): the distinct edges that pairs of columns of one table make, ends as text; edges with a null end are left out."""
+    e = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(a).cast("string").alias("src"), F.col(b).cast("string").alias("dst")) for k, a, b in kinds))
+    return rows.select(F.explode(e).alias("e")).select("e.*").where("src is not null and dst is not null").distinct()
+
+
 def duplicate_keys(nodes: DataFrame, key: list[str]) -> DataFrame:
     return nodes.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -104,3 +110,37 @@ def trees(df: DataFrame, id_col: str, code: str) -> DataFrame:
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, code).mapInPandas(build, f"{id_col} {kind}, ok boolean, how string, nodes array<string>, edges array<array<int>>")
+
+
+def definitions(df: DataFrame, id_col: str, code: str) -> DataFrame:
+    """(id, kind, name, line, owner, route): functions, classes and routes of Python code.
+
+    A method has its class as owner; a function whose decorator calls something with a path as first argument is a
+    route of that path. Code that does not parse, and null, give no rows.
+    """
+
+    def found(text):
+        try:
+            tree = ast.parse(text or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        stack = [(tree, None)]
+        while stack:
+            node, owner = stack.pop()
+            for c in ast.iter_child_nodes(node):
+                inside = owner
+                if isinstance(c, ast.ClassDef):
+                    yield "class", c.name, c.lineno, owner, None
+                    inside = c.name
+                elif isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    paths = [x.args[0].value for x in c.decorator_list if isinstance(x, ast.Call) and x.args and isinstance(x.args[0], ast.Constant) and isinstance(x.args[0].value, str) and x.args[0].value.startswith("/")]
+                    yield "route" if paths else "function", c.name, c.lineno, owner, paths[0] if paths else None
+                stack.append((c, inside))
+
+    def build(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([(i, *row) for i, text in zip(pdf[id_col], pdf[code]) for row in found(text)], columns=[id_col, "kind", "name", "line", "owner", "route"])
+
+    return df.select(id_col, code).mapInPandas(build, f"{id_col} {dict(df.dtypes)[id_col]}, kind string, name string, line int, owner string, route string")

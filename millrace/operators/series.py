@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -139,3 +139,66 @@ def merge_ranges(df: DataFrame, key: str, start: str, end: str, slack: float) ->
     new = F.coalesce(F.col(start) > far + slack, F.lit(True)).cast("int")
     x = df.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w))
     return x.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_g")
+
+
+def last_values(df: DataFrame, keys: list[str], order: list[str], value: str, size: int) -> DataFrame:
+    """Rows with `last`, the values of the key's last `size` rows up to this one."""
+    return df.withColumn("last", F.collect_list(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)))
+
+
+def steepest(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, at): where the value falls most per logarithm of the order up to the next row; orders are positive."""
+    w = W.partitionBy(key).orderBy(order)
+    x = df.where(F.col(value).isNotNull() & (F.col(order) > 0)).select(key, order, ((F.lead(value).over(w) - F.col(value)) / (F.log(F.lead(order).over(w)) - F.log(order))).alias("slope"))
+    return x.where("slope is not null").groupBy(key).agg(F.min_by(order, F.struct("slope", order)).alias("at"))
+
+
+def divergence(df: DataFrame, key: str, order: str, value: str, times: float) -> DataFrame:
+    """(key, stopped): the first row whose positive value exceeds `times` the least so far."""
+    w = W.partitionBy(key).orderBy(order)
+    x = df.where(F.col(value) > 0).select(key, order, (F.col(value) > times * F.min(value).over(w)).alias("off"))
+    return x.where("off").groupBy(key).agg(F.min(order).alias("stopped"))
+
+
+def range_test(df: DataFrame, key: str, rate: str, loss: str, times: float = 4.0) -> DataFrame:
+    """(key, suggested, stopped): of a given curve of losses by learning rate, the rate of steepest fall before the loss diverges.
+
+    stopped is the rate at which the loss first exceeds `times` the least so far, null if it never does; the curve
+    counts up to there. Rates are positive; nulls are left out.
+    """
+    stop = divergence(df, key, rate, loss, times)
+    kept = df.join(stop, key, "left").where(F.col("stopped").isNull() | (F.col(rate) < F.col("stopped")))
+    return steepest(kept.select(key, rate, loss), key, rate, loss).withColumnRenamed("at", "suggested").join(stop, key, "left")
+
+
+def running_mean(df: DataFrame, keys: list[str], order: list[str], value: str, digits: int = 2) -> DataFrame:
+    """Rows with `mean` of the key's values so far; sums are rounded to `digits`, so that the order of adding does not show."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("mean", F.try_divide(F.round(F.sum(value).over(w), digits), F.count(value).over(w)))
+
+
+def last_rows(df: DataFrame, order: str, size: int) -> DataFrame:
+    """The last rows of a log, latest first, with `total`, how many it has."""
+    return df.orderBy(F.desc(order)).limit(size).withColumn("total", df.agg(F.count("*")).scalar())
+
+
+def numbered(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Rows with `ordinal`, counted from 0 within the key."""
+    return df.withColumn("ordinal", (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+
+
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def seconds_between(start: str, end: str) -> Column:
+    return F.round((micros(end) - micros(start)) / 1e6, 6)
+
+
+def year(ts: str) -> Column:
+    return F.substring(F.col(ts).cast("string"), 1, 4)
+
+
+def later_than(ts: str, since: str, days: int) -> Column:
+    """Whether a time is more than so many days after another."""
+    return micros(ts) - micros(since) > days * 86_400_000_000

@@ -8,9 +8,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import models as M
+from ..functions import scores as C
 from ..functions import text as X
 from ..functions.register import register
+from ..operators import counting as N
+from ..operators import graph as G
 from ..operators import relational as R
+from ..operators import series as Z
 from ..runtime import scratch_dir
 from ..runtime import table as t
 from ..sinks import writers
@@ -37,11 +41,11 @@ def _new(s, name: str) -> str:
 
 
 # ---- files ----------------------------------------------------------------------------------------------------------
-@query("sc4_fail_fast", "SELECT count(*) AS n FROM train_split")
+@query("sc4_fail_fast", "SELECT count(*) = 0 AS intact FROM raw_lines WHERE payload IS NOT NULL AND trim(payload) <> '' AND NOT json_valid(payload)")
 def _(s, d):
     path = _new(s, "strict")
-    writers.write_jsonl(t(s, d, "train_split").select("row_id", "label"), path)
-    return files.read_jsonl(s, path, "row_id long, label int", bad="fail").agg(F.count("*").alias("n"))
+    t(s, d, "raw_lines").where("payload is not null").select(F.col("payload").alias("value")).write.text(path)
+    return s.createDataFrame([(files.intact(s, path, "id string"),)], "intact boolean")
 
 
 @query("sc6_sc7_csv", "SELECT row_id::VARCHAR AS id, coalesce(file_path, '') AS path, coalesce(language, '') AS language FROM repo_commits")
@@ -51,11 +55,11 @@ def _(s, d):
     return files.read_csv_text(s, path, {"file": "path"}, ["id", "file", "language"])
 
 
-@query("sc14_first_valid", "SELECT row_id, CASE WHEN length(fixed_code) >= 400 THEN 'fixed' WHEN length(vulnerable_code) >= 400 THEN 'vulnerable' END AS which FROM repo_commits")
+@query("sc14_first_valid", "SELECT row_id, md5(CASE WHEN length(fixed_code) >= 400 THEN fixed_code WHEN length(vulnerable_code) >= 400 THEN vulnerable_code END) AS h FROM repo_commits")
 def _(s, d):
     ok = lambda c: F.length(c) >= 400
     x = t(s, d, "repo_commits")
-    return x.select("row_id", F.when(ok(F.col("fixed_code")), "fixed").when(ok(F.col("vulnerable_code")), "vulnerable").alias("which"))
+    return x.select("row_id", F.md5(files.first_valid(F.col("fixed_code"), F.col("vulnerable_code"), valid=ok)).alias("h"))
 
 
 @query("sc15_registry_by_ecosystem", "SELECT sample_id, CASE lower(metadata.ecosystem) WHEN 'npm' THEN '$.repository.url' WHEN 'pip' THEN '$.info.home_page' WHEN 'rubygems' THEN '$.source_code_uri' ELSE '$.url' END AS path FROM samples")
@@ -64,12 +68,11 @@ def _(s, d):
     return t(s, d, "samples").select("sample_id", F.when(e == "npm", "$.repository.url").when(e == "pip", "$.info.home_page").when(e == "rubygems", "$.source_code_uri").otherwise("$.url").alias("path"))
 
 
-@query("sc16_sc23_glob_with_key", "SELECT lower(trim(source)) AS source, count(*) AS n FROM samples WHERE source IS NOT NULL GROUP BY 1")
+@query("sc16_sc23_glob_with_key", "SELECT sample_id, lower(trim(source)) AS source FROM samples WHERE source IS NOT NULL")
 def _(s, d):
     path = _new(s, "glob")
     t(s, d, "samples").where("source is not null").select(F.lower(F.trim("source")).alias("part"), "sample_id").write.partitionBy("part").json(path)
-    x = s.read.schema("sample_id long").json(f"{path}/part=*").withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), r"part=([^/]+)/", 1))
-    return x.groupBy("source").agg(F.count("*").alias("n"))
+    return files.read_glob(s, f"{path}/part=*", "sample_id long", "source", r"part=([^/]+)/", lines=True)
 
 
 @query("sc18_read_through", "SELECT v.row_id, EXISTS (SELECT 1 FROM train_split t WHERE md5(t.code) = md5(v.code) AND t.label IS NOT NULL) AS hit FROM valid_split v WHERE v.code IS NOT NULL")
@@ -109,12 +112,12 @@ def _(s, d):
     return s.read.schema(x.schema).json(path)
 
 
-@query("sk10_sk12_parquet_append", "SELECT 2 * count(*) AS n FROM valid_split")
+@query("sk10_sk12_parquet_append", "SELECT row_id, label::BIGINT AS label, 0.5::DOUBLE AS prob FROM valid_split CROSS JOIN range(2)")
 def _(s, d):
-    path, x = _new(s, "history"), t(s, d, "valid_split").select("row_id", F.col("label").cast("long").alias("label"), F.lit(0.5).cast("float").alias("prob"))
+    path, x = _new(s, "history"), t(s, d, "valid_split").select("row_id", F.col("label").cast("long").alias("label"), F.lit(0.5).alias("prob"))
     for _ in range(2):
-        x.write.mode("append").parquet(path)
-    return s.read.schema(x.schema).parquet(path).agg(F.count("*").alias("n"))
+        writers.append_history(x, path)
+    return s.read.schema(x.schema).parquet(path)
 
 
 @query("sk16_graph_tables", "SELECT (SELECT count(DISTINCT s_suppkey) FROM supplier) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey % 50 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE EXISTS (SELECT 1 FROM supplier z WHERE z.s_suppkey = l_partkey % 50))) AS edges")
@@ -131,14 +134,12 @@ def _(s, d):
 # ---- rows and scores ------------------------------------------------------------------------------------------------
 @query("fl19_not_done", "SELECT DISTINCT lower(metadata.ecosystem) AS eco FROM samples WHERE metadata.ecosystem IS NOT NULL AND lower(metadata.ecosystem) NOT IN ('npm', 'go')")
 def _(s, d):
-    done = s.createDataFrame([("npm",), ("go",)], "eco string")
-    x = t(s, d, "samples").where("metadata.ecosystem is not null").select(F.lower("metadata.ecosystem").alias("eco")).distinct()
-    return x.join(F.broadcast(done), "eco", "left_anti")
+    return N.not_in(t(s, d, "samples").select(F.lower("metadata.ecosystem").alias("eco")).distinct(), "eco", ["npm", "go"])
 
 
 @query("fl20_gate", "SELECT event_id FROM events WHERE value / 100 >= 0.7")
 def _(s, d):
-    return t(s, d, "events").where(F.col("value") / 100 >= 0.7).select("event_id")
+    return t(s, d, "events").where(C.banded(F.col("value") / 100, [(0.7, "in")], "out") == "in").select("event_id")
 
 
 @query("ag48_weighted_parts", "SELECT user_id, round(0.2::DOUBLE * coalesce(avg(value) FILTER (event_type = 'view'), 0) + 0.4::DOUBLE * coalesce(avg(value) FILTER (event_type = 'click'), 0) + 0.3::DOUBLE * coalesce(avg(value) FILTER (event_type = 'purchase'), 0) + 0.1::DOUBLE * coalesce(avg(value) FILTER (event_type = 'error'), 0), 4) AS score FROM events GROUP BY 1")
@@ -150,64 +151,57 @@ def _(s, d):
 
 @query("ma5_path_confidence", "SELECT event_id, round(least(1 / (1 + 0.1::DOUBLE * (event_id % 20)), 1), 6) AS c FROM events")
 def _(s, d):
-    return t(s, d, "events").select("event_id", F.round(F.least(1 / (1 + 0.1 * (F.col("event_id") % 20)), F.lit(1.0)), 6).alias("c"))
+    return t(s, d, "events").select("event_id", F.round(C.path_confidence(F.col("event_id") % 20), 6).alias("c"))
 
 
-@query("ma7_so11_plausible", r"SELECT row_id, round(0.4::DOUBLE * (1 - levenshtein(a, b) / greatest(1, length(a), length(b))::DOUBLE) + 0.3::DOUBLE * (len(list_intersect(x, y)) / greatest(1, len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE), 6) AS score FROM (SELECT row_id, a, b, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM (SELECT row_id, commit_message AS a, repository || ' ' || commit_message AS b FROM repo_commits WHERE commit_message IS NOT NULL AND repository IS NOT NULL)) ORDER BY score DESC, row_id")
+@query("ma7_so11_plausible", r"SELECT row_id, round(0.4::DOUBLE * (1 - levenshtein(a, b) / greatest(1, length(a), length(b))::DOUBLE) + 0.3::DOUBLE * (len(list_intersect(x, y)) / greatest(1, len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE) + CASE WHEN same THEN 0.3 ELSE 0 END::DOUBLE, 6) AS score FROM (SELECT row_id, a, b, same, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM (SELECT row_id, commit_message AS a, repository || ' ' || commit_message AS b, coalesce(language IS NOT NULL AND length(vulnerable_code) = length(fixed_code), false) AS same FROM repo_commits WHERE commit_message IS NOT NULL AND repository IS NOT NULL)) ORDER BY score DESC, row_id")
 def _(s, d):
     a, b = F.col("commit_message"), F.concat_ws(" ", "repository", "commit_message")
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    near = 1 - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))
-    jac = F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(F.array_union(x, y)))
     r = t(s, d, "repo_commits").where("commit_message is not null and repository is not null")
-    return r.select("row_id", F.round(0.4 * near + 0.3 * jac, 6).alias("score")).orderBy(F.desc("score"), "row_id")
+    same = F.col("language").isNotNull() & (F.length("vulnerable_code") == F.length("fixed_code"))
+    return r.select("row_id", F.round(C.plausibility(a, b, same), 6).alias("score")).orderBy(F.desc("score"), "row_id")
 
 
-@query("ma6_ma13_bands", "SELECT event_id, CASE WHEN v >= 0.8 THEN 'critical' WHEN v >= 0.6 THEN 'high' WHEN v >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM (SELECT event_id, value / 100 AS v FROM events WHERE value IS NOT NULL)")
+@query("ma6_ma13_bands", "SELECT event_id, round(v, 6) AS score, CASE WHEN round(v, 6) >= 0.8 THEN 'critical' WHEN round(v, 6) >= 0.6 THEN 'high' WHEN round(v, 6) >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM (SELECT event_id, greatest(0, least(1, value / 100 * 0.6::DOUBLE + (event_id % 10) / 10.0::DOUBLE * 0.4::DOUBLE)) AS v FROM events WHERE value IS NOT NULL)")
 def _(s, d):
-    v = F.col("value") / 100
-    return t(s, d, "events").where("value is not null").select("event_id", F.when(v >= 0.8, "critical").when(v >= 0.6, "high").when(v >= 0.4, "medium").otherwise("low").alias("band"))
+    v = C.exposure([(F.col("value") / 100, 0.6), ((F.col("event_id") % 10) / 10, 0.4)])
+    return t(s, d, "events").where("value is not null").select("event_id", F.round(v, 6).alias("score"), C.banded(F.round(v, 6), [(0.8, "critical"), (0.6, "high"), (0.4, "medium")], "low").alias("band"))
 
 
 @query("wn14_centred_slice", "SELECT row_id, a, least(n, a + 64) AS z FROM (SELECT row_id, n, greatest(0, least(n, greatest(0, n // 2 - 32) + 64) - 64) AS a FROM (SELECT row_id, len(string_split(code, ' '))::BIGINT AS n FROM train_split WHERE code IS NOT NULL))")
 def _(s, d):
-    n = F.size(F.split("code", " ")).cast("long")
-    x = t(s, d, "train_split").where("code is not null").select("row_id", n.alias("n"))
-    end = F.least("n", F.greatest(F.lit(0), F.expr("n div 2") - 32) + 64)
-    x = x.withColumn("a", F.greatest(F.lit(0), end - 64))
-    return x.select("row_id", "a", F.least("n", F.col("a") + 64).alias("z"))
+    a, z = C.centred_slice(F.size(F.split("code", " ")).cast("long"), 64)
+    return t(s, d, "train_split").where("code is not null").select("row_id", a.alias("a"), z.alias("z"))
 
 
 @query("wn19_line_numbers", "SELECT file_id, line_no, row_number() OVER (PARTITION BY file_id ORDER BY line_no, md5(payload)) - 1 AS ordinal FROM raw_lines")
 def _(s, d):
-    w = W.partitionBy("file_id").orderBy("line_no", F.md5("payload"))
-    return t(s, d, "raw_lines").select("file_id", "line_no", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+    return Z.numbered(t(s, d, "raw_lines"), ["file_id"], ["line_no", F.md5("payload")]).select("file_id", "line_no", "ordinal")
 
 
 @query("ss4_resume_by_offset", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup')")
 def _(s, d):
     e = t(s, d, "events")
-    return e.where(F.col("event_id") > e.where("event_type = 'signup'").agg(F.max("event_id")).scalar()).select("event_id")
+    return N.after(e, "event_id", e.where("event_type = 'signup'")).select("event_id")
 
 
 @query("ss9_line_diff", "SELECT row_id, len(list_distinct(list_filter(b, lambda l: NOT list_contains(a, l)))) AS added, len(list_distinct(list_filter(a, lambda l: NOT list_contains(b, l)))) AS removed FROM (SELECT row_id, string_split(vulnerable_code, chr(10)) AS a, string_split(fixed_code, chr(10)) AS b FROM repo_commits WHERE vulnerable_code IS NOT NULL AND fixed_code IS NOT NULL)")
 def _(s, d):
-    a, b = F.split("vulnerable_code", "\n"), F.split("fixed_code", "\n")
     x = t(s, d, "repo_commits").where("vulnerable_code is not null and fixed_code is not null")
-    return x.select("row_id", F.size(F.array_except(b, a)).cast("long").alias("added"), F.size(F.array_except(a, b)).cast("long").alias("removed"))
+    return x.select("row_id", X.line_changes("vulnerable_code", "fixed_code").alias("c")).select("row_id", "c.*")
 
 
-@query("gr9_small_graph", "SELECT kind, count(*) AS n FROM (VALUES ('CONTAINS', 1, 3), ('CONTAINS', 2, 4), ('CALLS', 3, 4), ('HAS_VULNERABILITY', 4, 5), ('FLOWS_TO', 6, 3), ('FLOWS_TO', 3, 7), ('FLOWS_TO', 4, 7)) e(kind, src, dst) GROUP BY 1")
+@query("gr9_small_graph", "SELECT kind, count(*) AS n, count(DISTINCT src) AS sources FROM (SELECT DISTINCT 'SUPPLIES' AS kind, l_suppkey::VARCHAR AS src, l_partkey::VARCHAR AS dst FROM lineitem UNION SELECT 'HAS_BRAND', p_partkey::VARCHAR, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)) GROUP BY 1")
 def _(s, d):
-    e = s.createDataFrame([("CONTAINS", 1, 3), ("CONTAINS", 2, 4), ("CALLS", 3, 4), ("HAS_VULNERABILITY", 4, 5), ("FLOWS_TO", 6, 3), ("FLOWS_TO", 3, 7), ("FLOWS_TO", 4, 7)], "kind string, src long, dst long")
-    return e.groupBy("kind").agg(F.count("*").alias("n"))
+    l = t(s, d, "lineitem").join(t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return G.seeded(l, [("SUPPLIES", "l_suppkey", "l_partkey"), ("HAS_BRAND", "l_partkey", "p_brand")]).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))
 
 
 # ---- inference ------------------------------------------------------------------------------------------------------
-@query("pj15_ml10_embeddings", "SELECT row_id FROM train_split WHERE trim(code) <> ''")
+@query("pj15_ml10_embeddings", r"SELECT row_id, 64 AS dims, 1.0::DOUBLE AS square FROM train_split WHERE regexp_matches(code, '\S')")
 def _(s, d):
-    x = t(s, d, "train_split").select("row_id", M.embedder()("code").alias("graph_cls"))
-    return x.where("graph_cls is not null").select("row_id")
+    x = t(s, d, "train_split").where("code is not null").select("row_id", M.embedder(limit=None)("code").alias("v")).where("v is not null")
+    return x.select("row_id", F.size("v").cast("long").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda a, z: a + z * z), 4).alias("square"))
 
 
 @query("ml3_fusion_head", "SELECT vec_id, round(greatest(0, 0.5::DOUBLE * a + b) * 2 - greatest(0, a - b) + 1, 3) AS z FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)")
@@ -235,8 +229,8 @@ def _(s, d):
 @query("ml13_uncertain_fusion", "SELECT event_id, round((1 - u) * (a + b + c) / 3 + u * (a + b) / 2, 6) AS p FROM (SELECT event_id, value / 100 AS a, (event_id % 10) / 10.0::DOUBLE AS b, (event_id % 7) / 7.0::DOUBLE AS c, (event_id % 5) / 5.0::DOUBLE AS u FROM events WHERE value IS NOT NULL)")
 def _(s, d):
     e = F.col("event_id")
-    a, b, c, u = F.col("value") / 100, (e % 10) / 10.0, (e % 7) / 7.0, (e % 5) / 5.0
-    return t(s, d, "events").where("value is not null").select("event_id", F.round((1 - u) * (a + b + c) / 3 + u * (a + b) / 2, 6).alias("p"))
+    p = C.fused(F.col("value") / 100, (e % 10) / 10.0, (e % 7) / 7.0, (e % 5) / 5.0)
+    return t(s, d, "events").where("value is not null").select("event_id", F.round(p, 6).alias("p"))
 
 
 # ---- functions for SQL ----------------------------------------------------------------------------------------------
@@ -298,6 +292,30 @@ def _(s, d):
     return s.read.parquet(f"{base}/synced").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("ag39_risk_groups", "SELECT upper(trim(severity)) AS level, count(*) AS n, round(avg(weight), 6) AS mean_score, list_sort(list({'a': -weight, 'b': sample_id}))[1:10].list_transform(lambda e: e.b) AS top FROM samples WHERE severity IS NOT NULL AND weight IS NOT NULL GROUP BY 1")
+def _(s, d):
+    return N.risk_groups(t(s, d, "samples"), F.upper(F.trim("severity")), F.col("weight"), "sample_id")
+
+
+@query("ml11_multi_seed_summary", "SELECT metric, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most, arg_max(user_id, (v, -user_id)) AS best_seed FROM (SELECT user_id, unnest(['events', 'mean_value']) AS metric, unnest([count(*)::DOUBLE, round(avg(value), 6)]) AS v FROM events WHERE user_id IS NOT NULL GROUP BY 1) WHERE v IS NOT NULL GROUP BY 1")
+def _(s, d):
+    x = t(s, d, "events").where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("events"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return N.multi_seed_summary(x, "user_id", ["events", "mean_value"])
+
+
+@query("ml5_range_test", "WITH x AS (SELECT user_id, event_id, value FROM events WHERE value > 0 AND event_id > 0), o AS (SELECT user_id, event_id, value > 4 * min(value) OVER (PARTITION BY user_id ORDER BY event_id) AS off FROM x), s AS (SELECT user_id, min(event_id) AS stopped FROM o WHERE off GROUP BY 1), k AS (SELECT x.*, stopped FROM x LEFT JOIN s USING (user_id) WHERE stopped IS NULL OR event_id < stopped), f AS (SELECT user_id, event_id, stopped, (lead(value) OVER w - value) / (ln(lead(event_id) OVER w) - ln(event_id)) AS slope FROM k WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, arg_min(event_id, (slope, event_id)) AS suggested, any_value(stopped) AS stopped FROM f WHERE slope IS NOT NULL GROUP BY 1")
+def _(s, d):
+    return Z.range_test(t(s, d, "events").where("value > 0 and event_id > 0").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+
+
+@query("sk15_snapshots", "SELECT part, count(*) AS n FROM (SELECT 'snapshot=2' AS part FROM samples WHERE sample_id % 2 = 0 UNION ALL SELECT 'snapshot=3' FROM samples) GROUP BY 1")
+def _(s, d):
+    path, x = _new(s, "snapshots"), t(s, d, "samples").select("sample_id")
+    for at, rows in (("1", x.where("sample_id % 5 = 0")), ("2", x.where("sample_id % 2 = 0")), ("3", x)):
+        writers.write_snapshot(rows, path, at, keep=2)
+    return s.read.schema("sample_id long").parquet(f"{path}/snapshot=*").groupBy(F.regexp_extract(F.col("_metadata.file_path"), "(snapshot=[0-9]+)/", 1).alias("part")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     return QUERIES
 

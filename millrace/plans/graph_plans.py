@@ -7,10 +7,14 @@ import os
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import scores as C
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators import series as Z
 from ..operators import vectors as V
+from ..runtime import scratch_dir
 from ..runtime import table as t
+from ..sources import files
 from ..sources import records as P
 from ..streaming import streams as S
 from .text_plans import case_keywords, case_suffix, q, strip
@@ -110,7 +114,7 @@ def _(s, d):
 
 @query("pj14_prefixed_text", "SELECT row_id, '# ' || substr(commit_message, 1, 100) || chr(10) || vulnerable_code AS text FROM repo_commits WHERE vulnerable_code IS NOT NULL AND commit_message IS NOT NULL")
 def _(s, d):
-    return t(s, d, "repo_commits").where("vulnerable_code is not null and commit_message is not null").select("row_id", F.concat(F.lit("# "), F.substring("commit_message", 1, 100), F.lit("\n"), "vulnerable_code").alias("text"))
+    return t(s, d, "repo_commits").where("vulnerable_code is not null and commit_message is not null").select("row_id", X.headed("commit_message", "vulnerable_code").alias("text"))
 
 
 @query("pj18_overlay", "SELECT sample_id, coalesce(language, 'c') AS language, '7' AS loc, 'x' AS tool FROM samples")
@@ -122,19 +126,19 @@ def _(s, d):
 
 @query("pj19_pj21_fallbacks", "SELECT event_id, coalesce(nullif(value, 0), 0.5) AS truthy, coalesce(value, 0.5) AS present FROM events")
 def _(s, d):
-    return t(s, d, "events").select("event_id", F.coalesce(F.nullif("value", F.lit(0.0)), F.lit(0.5)).alias("truthy"), F.coalesce("value", F.lit(0.5)).alias("present"))
+    v = (F.col("value"), F.lit(0.5))
+    return t(s, d, "events").select("event_id", C.fallback(*v, truthy=True).alias("truthy"), C.fallback(*v, truthy=False).alias("present"))
 
 
 @query("pj20_ratio_columns", "SELECT run_id, epoch_us(written_at) AS at, round(100.0 * summary.successful_collectors / summary.total_collectors, 4) AS ok_pct, round(100.0 * summary.failed_collectors / summary.total_collectors, 4) AS failed_pct FROM collection_results WHERE summary.total_collectors > 0")
 def _(s, d):
-    pct = lambda c: F.round(100.0 * F.col(c) / F.col("summary.total_collectors"), 4)
-    return t(s, d, "collection_results").where("summary.total_collectors > 0").select("run_id", F.unix_micros(F.col("written_at").cast("timestamp")).alias("at"), pct("summary.successful_collectors").alias("ok_pct"), pct("summary.failed_collectors").alias("failed_pct"))
+    pct = lambda c: C.percent_of(f"summary.{c}", "summary.total_collectors")
+    return t(s, d, "collection_results").where("summary.total_collectors > 0").select("run_id", Z.micros("written_at").alias("at"), pct("successful_collectors").alias("ok_pct"), pct("failed_collectors").alias("failed_pct"))
 
 
 @query("pj22_score_bands", "SELECT sample_id, CASE WHEN weight * 4 >= 9 THEN 'CRITICAL' WHEN weight * 4 >= 7 THEN 'HIGH' WHEN weight * 4 >= 4 THEN 'MEDIUM' WHEN weight * 4 >= 0 THEN 'LOW' ELSE 'UNKNOWN' END AS band FROM samples")
 def _(s, d):
-    w = F.col("weight") * 4
-    return t(s, d, "samples").select("sample_id", F.when(w >= 9, "CRITICAL").when(w >= 7, "HIGH").when(w >= 4, "MEDIUM").when(w >= 0, "LOW").otherwise("UNKNOWN").alias("band"))
+    return t(s, d, "samples").select("sample_id", C.banded(F.col("weight") * 4, [(9, "CRITICAL"), (7, "HIGH"), (4, "MEDIUM"), (0, "LOW")], "UNKNOWN").alias("band"))
 
 
 @query("jf3_serialise", "SELECT sample_id, md5('{\"label\":' || label || ',\"sample_id\":' || sample_id || '}') AS h FROM samples WHERE label IS NOT NULL")
@@ -144,32 +148,28 @@ def _(s, d):
 
 @query("jf4_polymorphic", "SELECT sample_id, json_type(attrs, '$.range') AS kind, json_extract_string(attrs, '$.range.to') AS upto FROM samples WHERE attrs IS NOT NULL AND json_type(attrs, '$.range') IS NOT NULL")
 def _(s, d):
-    v = F.try_parse_json("attrs")
-    x = t(s, d, "samples").where("attrs is not null").select("sample_id", F.try_variant_get(v, "$.range", "variant").alias("r"), F.try_variant_get(v, "$.range.to", "string").alias("upto"))
-    return x.where("r is not null").select("sample_id", F.when(F.schema_of_variant("r").startswith("OBJECT"), "OBJECT").otherwise("VARCHAR").alias("kind"), "upto")
+    x = t(s, d, "samples").where("attrs is not null").select("sample_id", X.json_kind("attrs", "$.range").alias("kind"), X.json_first("attrs", ["$.range.to"]).alias("upto"))
+    return x.where("kind is not null")
 
 
 @query("ma1_ma2_clamps", "SELECT event_id, cast(greatest(1, least(64, floor((value * 1024 * 0.7::DOUBLE - 500) / 5))) AS BIGINT) AS batch FROM events WHERE value IS NOT NULL")
 def _(s, d):
-    return t(s, d, "events").where("value is not null").select("event_id", F.greatest(F.least(F.floor((F.col("value") * 1024 * 0.7 - 500) / 5), F.lit(64)), F.lit(1)).cast("long").alias("batch"))
+    return t(s, d, "events").where("value is not null").select("event_id", C.batch_size(F.col("value") * 1024, 0.7, 500, 5).alias("batch"))
 
 
 @query("ma9_ma10_vector_checks", "SELECT label, round(sqrt(sum(x * x)), 4) AS norm, round(var_pop(x), 6) AS var, count(*) FILTER (isnan(x)) AS nans FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")
 def _(s, d):
-    x = t(s, d, "embeddings").select("label", F.explode("embedding").alias("f")).select("label", F.col("f").cast("double").alias("x"))
-    return x.groupBy("label").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("norm"), F.round(F.var_pop("x"), 6).alias("var"), F.count_if(F.isnan("x")).alias("nans"))
+    return C.vector_checks(t(s, d, "embeddings"), "label", "embedding")
 
 
 @query("ma11_clip_factor", "SELECT event_id, CASE WHEN value > 50 THEN 50 / value ELSE 1 END::DOUBLE AS factor FROM events WHERE value IS NOT NULL")
 def _(s, d):
-    return t(s, d, "events").where("value is not null").select("event_id", F.when(F.col("value") > 50, 50 / F.col("value")).otherwise(F.lit(1.0)).alias("factor"))
+    return t(s, d, "events").where("value is not null").select("event_id", C.clip_factor(F.col("value"), 50).alias("factor"))
 
 
 @query("ma12_scaled_by_largest", "SELECT event_id, round(value / max(abs(value)) OVER (PARTITION BY user_id), 6) AS scaled FROM events WHERE value IS NOT NULL")
 def _(s, d):
-    from pyspark.sql import Window as W
-
-    return t(s, d, "events").where("value is not null").select("event_id", F.round(F.col("value") / F.max(F.abs("value")).over(W.partitionBy("user_id")), 6).alias("scaled"))
+    return t(s, d, "events").where("value is not null").select("event_id", F.round(C.of_largest(F.col("value"), "user_id"), 6).alias("scaled"))
 
 
 # ---- graphs -------------------------------------------------------------------------------------------------------
@@ -297,9 +297,7 @@ def _(s, d):
 # ---- sources and sinks ----------------------------------------------------------------------------------------------
 @query("sc1_sk1_jsonl_round_trip", "SELECT sample_id, label, md5(code) AS h FROM samples WHERE code IS NOT NULL")
 def _(s, d):
-    from ..runtime import scratch_dir
     from ..sinks import writers
-    from ..sources import files
 
     path = f"{scratch_dir(s)}/jsonl-{os.urandom(6).hex()}"
     writers.write_jsonl(t(s, d, "samples").where("code is not null").select("sample_id", "label", "code"), path)
@@ -308,8 +306,12 @@ def _(s, d):
 
 @query("sc2_bad_lines", "SELECT feed, count(*) FILTER (json_valid(payload)) AS good, count(*) FILTER (NOT json_valid(payload)) AS bad FROM raw_lines GROUP BY 1")
 def _(s, d):
-    ok = F.try_parse_json("payload").isNotNull()
-    return t(s, d, "raw_lines").groupBy("feed").agg(F.count_if(ok).alias("good"), F.count_if(~ok & F.col("payload").isNotNull()).alias("bad"))
+    path = f"{scratch_dir(s)}/lines-{os.urandom(6).hex()}"
+    x = t(s, d, "raw_lines").where("payload is not null")
+    x.select("feed", F.col("payload").alias("value")).write.partitionBy("feed").text(path)
+    bad = files.rejected(s, path, "id string").select(F.regexp_extract("file", "/feed=([^/]+)/", 1).alias("feed"))
+    whole = x.groupBy("feed").agg(F.count("*").alias("n"))
+    return whole.join(bad.groupBy("feed").agg(F.count("*").alias("bad")), "feed", "left").select("feed", (F.col("n") - F.coalesce("bad", F.lit(0))).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"))
 
 
 @query("sc3_required_fields", "SELECT file_id, count(*) AS n FROM raw_lines WHERE json_valid(payload) AND json_extract(payload, '$.code') IS NOT NULL AND json_type(payload, '$.code') <> 'NULL' AND json_extract(payload, '$.label') IS NOT NULL AND json_type(payload, '$.label') <> 'NULL' GROUP BY 1")
@@ -319,9 +321,10 @@ def _(s, d):
     return x.where("c is not null and l is not null").groupBy("file_id").agg(F.count("*").alias("n"))
 
 
-@query("sc21_catalogue", "SELECT kind, n FROM (VALUES ('advisory', 3), ('functions', 2), ('exploits', 1)) v(kind, n)")
+@query("sc21_catalogue", "SELECT 'samples' AS name, count(*) AS n, 13 AS columns FROM samples UNION ALL SELECT 'repo_commits', count(*), 12 FROM repo_commits UNION ALL SELECT 'documents', count(*), 8 FROM documents")
 def _(s, d):
-    return s.sql("SELECT kind, n FROM VALUES ('advisory', 3), ('functions', 2), ('exploits', 1) AS v(kind, n)")
+    names = ["samples", "repo_commits", "documents"]
+    return files.registry(s, {n: f"{d}/{n}.parquet" for n in names})
 
 
 @query("sk8_sarif")
@@ -342,6 +345,23 @@ def _(s, d):
     return writers.metrics_document(A.scores(A.confusion(p.withColumn("hat", (F.col("prob") >= 0.5).cast("int")), "label", "hat")), A.threshold_sweep(p, "label", "prob"))
 
 
+@query("gr10_definitions")
+def _(s, d):
+    py = t(s, d, "repo_commits").where(X.source_language("language", "file_path") == "python")
+    return G.definitions(py, "row_id", "vulnerable_code")
+
+
+@query("sk13_graph_tensors", "SELECT s_nationkey AS graph, count(*) AS nodes, sum(CASE WHEN e.src IS NULL THEN 0 ELSE 1 END)::BIGINT AS edges FROM supplier s LEFT JOIN (SELECT s_suppkey AS src FROM supplier a WHERE EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_suppkey = a.s_suppkey + 25)) e ON e.src = s.s_suppkey GROUP BY 1")
+def _(s, d):
+    from ..sinks import writers
+
+    x = t(s, d, "supplier")
+    nodes = x.select(F.col("s_nationkey").alias("graph"), F.col("s_suppkey").alias("node"), F.array("s_acctbal").alias("h"), F.lit(1).alias("y"))
+    edges = x.select(F.col("s_nationkey").alias("graph"), F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 25).alias("dst"))
+    g = writers.graph_tensors(nodes, edges, "graph", "node", "h", "y")
+    return g.select("graph", F.size("x").cast("long").alias("nodes"), F.size("edge_index").cast("long").alias("edges"))
+
+
 def queries() -> dict:
     return QUERIES
 

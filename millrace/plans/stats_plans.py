@@ -6,6 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import scores as S
+from ..functions import text as X
+from ..operators import counting as N
 from ..operators import relational as R
 from ..operators import series as Z
 from ..operators import stats as A
@@ -45,7 +48,7 @@ def _(s, d):
 
 @query("ds4_types", "SELECT DISTINCT lower(trim(vulnerability_type)) AS type FROM samples WHERE vulnerability_type IS NOT NULL")
 def _(s, d):
-    return t(s, d, "samples").where("vulnerability_type is not null").select(F.lower(F.trim("vulnerability_type")).alias("type")).distinct()
+    return t(s, d, "samples").where("vulnerability_type is not null").select(N.plain("vulnerability_type").alias("type")).distinct()
 
 
 _HASH = "md5('42:' || cast({} AS VARCHAR))"
@@ -80,16 +83,13 @@ def _(s, d):
 
 @query("ds11_token_jaccard", r"WITH x AS (SELECT row_id, list_distinct(list_filter(regexp_split_to_array(vulnerable_code, '\s+'), lambda a: a <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(fixed_code, '\s+'), lambda a: a <> '')) AS b FROM repo_commits WHERE vulnerable_code IS NOT NULL AND fixed_code IS NOT NULL) SELECT row_id, round(len(list_intersect(a, b)) / greatest(1, len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 6) AS jaccard FROM x")
 def _(s, d):
-    toks = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
-    x = t(s, d, "repo_commits").where("vulnerable_code is not null and fixed_code is not null").select("row_id", toks("vulnerable_code").alias("a"), toks("fixed_code").alias("b"))
-    return x.select("row_id", F.round(F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b"))), 6).alias("jaccard"))
+    x = t(s, d, "repo_commits").where("vulnerable_code is not null and fixed_code is not null")
+    return x.select("row_id", F.round(N.word_jaccard("vulnerable_code", "fixed_code"), 6).alias("jaccard"))
 
 
 @query("ds12_pj10_counterpart_rows", "SELECT row_id, 1 AS label, md5(vulnerable_code) AS code_md5, md5(fixed_code) AS other_md5 FROM repo_commits WHERE vulnerable_code IS NOT NULL AND fixed_code IS NOT NULL UNION ALL SELECT row_id, 0, md5(fixed_code), md5(vulnerable_code) FROM repo_commits WHERE vulnerable_code IS NOT NULL AND fixed_code IS NOT NULL")
 def _(s, d):
-    x = t(s, d, "repo_commits").where("vulnerable_code is not null and fixed_code is not null")
-    pair = lambda n, a, b: F.struct(F.lit(n).alias("label"), F.md5(a).alias("code_md5"), F.md5(b).alias("other_md5"))
-    return x.select("row_id", F.explode(F.array(pair(1, "vulnerable_code", "fixed_code"), pair(0, "fixed_code", "vulnerable_code"))).alias("p")).select("row_id", "p.*")
+    return N.counterpart_rows(t(s, d, "repo_commits"), "row_id", "vulnerable_code", "fixed_code")
 
 
 _CELL = "lower(metadata.ecosystem) AS eco, upper(severity) AS sev"
@@ -103,8 +103,7 @@ def _(s, d):
 
 @query("ds14_round_robin", "SELECT sample_id, ['concat','format','param'][1 + sample_id % 3] AS pattern FROM samples")
 def _(s, d):
-    pats = F.array(*map(F.lit, ["concat", "format", "param"]))
-    return t(s, d, "samples").select("sample_id", F.element_at(pats, (F.pmod("sample_id", F.lit(3)) + 1).cast("int")).alias("pattern"))
+    return t(s, d, "samples").select("sample_id", N.round_robin(F.col("sample_id"), ["concat", "format", "param"]).alias("pattern"))
 
 
 # ---- joins --------------------------------------------------------------------------------------------------------
@@ -134,9 +133,8 @@ def _(s, d):
 
 @query("jn5_cwe_types", "SELECT sample_id, json_extract_string(attrs, '$.cwe') AS cwe, CASE json_extract_string(attrs, '$.cwe') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.CWE_TYPES.items()) + " END AS type FROM samples WHERE attrs IS NOT NULL AND json_extract_string(attrs, '$.cwe') IS NOT NULL")
 def _(s, d):
-    dim = s.createDataFrame(list(K.CWE_TYPES.items()), "cwe string, type string")
     x = t(s, d, "samples").select("sample_id", F.get_json_object("attrs", "$.cwe").alias("cwe")).where("cwe is not null")
-    return x.join(F.broadcast(dim), "cwe", "left").select("sample_id", "cwe", "type")
+    return N.looked_up(x, "cwe", K.CWE_TYPES, "type").select("sample_id", "cwe", "type")
 
 
 @query("jn6_overlaps", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events) a JOIN (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s FROM events) b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.s + 3600 AND b.s < a.s + 3600")
@@ -149,17 +147,16 @@ def _(s, d):
 
 @query("jn9_concat_features", "SELECT t.row_id, len(string_split(t.code, ' ')) + len(string_split(t.id, '-')) AS n FROM train_split t JOIN train_split u USING (row_id) WHERE t.code IS NOT NULL")
 def _(s, d):
-    a = t(s, d, "train_split").where("code is not null").select("row_id", F.split("code", " ").alias("a"))
-    b = t(s, d, "train_split").select("row_id", F.split("id", "-").alias("b"))
-    return a.join(b, "row_id").select("row_id", F.size(F.concat("a", "b")).cast("long").alias("n"))
+    x = t(s, d, "train_split")
+    j = N.joined_features(x.where("code is not null").select("row_id", F.split("code", " ").alias("a")), x.select("row_id", F.split("id", "-").alias("b")), "row_id")
+    return j.select("row_id", F.size("features").cast("long").alias("n"))
 
 
 @query("jn10_optional_match", "SELECT s_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT o_custkey) AS customers FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 45 LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F' GROUP BY 1")
 def _(s, d):
     l = t(s, d, "lineitem").where("l_quantity > 45").select("l_suppkey", "l_partkey", "l_orderkey")
     o = t(s, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    x = t(s, d, "supplier").select("s_suppkey").join(l, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(o, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return x.groupBy("s_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("o_custkey").alias("customers"))
+    return N.optional_counts(t(s, d, "supplier"), "s_suppkey", l, "l_suppkey", o, "l_orderkey", "o_orderkey", "l_partkey", "o_custkey")
 
 
 @query("jn11_upsert", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'view' DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -172,17 +169,12 @@ def _(s, d):
 
 @query("jn12_counterpart", "SELECT a.row_id, md5(b.code) AS other FROM train_split a JOIN train_split b ON a.row_id // 4 = b.row_id // 4 AND a.label = 1 - b.label WHERE b.code IS NOT NULL")
 def _(s, d):
-    x = t(s, d, "train_split").select("row_id", "label", "code", F.expr("row_id div 4").alias("pair"))
-    b = x.where("code is not null").select("pair", (1 - F.col("label")).alias("label"), F.md5("code").alias("other"))
-    return x.select("row_id", "pair", "label").join(b, ["pair", "label"]).select("row_id", "other")
+    return N.counterparts(t(s, d, "train_split").withColumn("pair", F.expr("row_id div 4")), "row_id", "pair", "label", "code")
 
 
 @query("jn13_missing_cells", "SELECT r.run_id, m.collector FROM (SELECT DISTINCT run_id FROM collection_results) r, mix_targets m WHERE NOT EXISTS (SELECT 1 FROM collection_results c WHERE c.run_id = r.run_id AND list_contains(list_transform(map_keys(c.collectors), lambda k: lower(trim(k))), m.collector))")
 def _(s, d):
-    c = t(s, d, "collection_results")
-    names = t(s, d, "mix_targets").agg(F.collect_set("collector").alias("want"))  # one row of seven names
-    have = c.select("run_id", F.transform(F.map_keys("collectors"), lambda k: F.lower(F.trim(k))).alias("k")).groupBy("run_id").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("k"))
-    return have.select("run_id", F.explode(F.array_except(names.scalar(), "k")).alias("collector"))
+    return N.missing_collectors(t(s, d, "collection_results"), t(s, d, "mix_targets"), "collector")
 
 
 # ---- counts -------------------------------------------------------------------------------------------------------
@@ -193,34 +185,27 @@ def _(s, d):
 
 @query("ag2_success_rate", "SELECT count(*) FILTER (success) AS ok, count(*) AS n, CASE WHEN count(*) > 0 THEN round(100.0 * count(*) FILTER (success) / count(*), 4) ELSE 0 END AS pct FROM (SELECT unnest(map_values(collectors), recursive := true) FROM collection_results)")
 def _(s, d):
-    x = t(s, d, "collection_results").select(F.explode(F.map_values("collectors")).alias("c"))
-    ok = F.count_if(F.col("c.success"))
-    return x.agg(ok.alias("ok"), F.count("*").alias("n"), F.when(F.count("*") > 0, F.round(100.0 * ok / F.count("*"), 4)).otherwise(0.0).alias("pct"))
+    return N.success_rate(N.collectors(t(s, d, "collection_results")), F.col("c.success"))
 
 
 @query("ag3_grouping_sets", f"SELECT {SRC} AS source, upper(severity) AS severity, count(*) AS n, grouping({SRC}) AS g1, grouping(upper(severity)) AS g2 FROM samples GROUP BY GROUPING SETS (({SRC}), (upper(severity)), ())")
 def _(s, d):
-    x = t(s, d, "samples").select(src().alias("source"), F.upper("severity").alias("severity"))
-    g = x.groupingSets([["source"], ["severity"], []], "source", "severity")
-    return g.agg(F.count("*").alias("n"), F.grouping("source").cast("long").alias("g1"), F.grouping("severity").cast("long").alias("g2"))
+    return N.one_way_totals(t(s, d, "samples").select(src().alias("source"), F.upper("severity").alias("severity")), "source", "severity")
 
 
 @query("ag4_type_by_label", "SELECT lower(trim(vulnerability_type)) AS type, count(*) FILTER (label = 1) AS vulnerable, count(*) FILTER (label = 0) AS safe, round(avg(length(code)), 4) AS mean_length FROM samples GROUP BY 1")
 def _(s, d):
-    return t(s, d, "samples").groupBy(F.lower(F.trim("vulnerability_type")).alias("type")).agg(F.count_if(F.col("label") == 1).alias("vulnerable"), F.count_if(F.col("label") == 0).alias("safe"), F.round(F.avg(F.length("code")), 4).alias("mean_length"))
+    return N.counts(t(s, d, "samples"), {"type": N.plain("vulnerability_type")}, {"vulnerable": F.col("label") == 1, "safe": F.col("label") == 0}, {"mean_length": F.length("code")}, None, 4)
 
 
 @query("ag5_split_rollup", "SELECT split, count(*) AS total, count(*) FILTER (label = 1) AS vulnerable, count(*) FILTER (label = 0) AS safe FROM (SELECT metadata.split AS split, label FROM train_split UNION ALL SELECT metadata.split, label FROM valid_split UNION ALL SELECT metadata.split, label FROM test_split) GROUP BY ROLLUP (split)")
 def _(s, d):
-    x = R.union_all([t(s, d, f"{n}_split").select("metadata.split", "label") for n in ("train", "valid", "test")])
-    return x.rollup("split").agg(F.count("*").alias("total"), F.count_if(F.col("label") == 1).alias("vulnerable"), F.count_if(F.col("label") == 0).alias("safe"))
+    return N.label_rollup(R.union_all([t(s, d, f"{n}_split").select("metadata.split", "label") for n in ("train", "valid", "test")]), "split", "label")
 
 
 @query("ag6_run_summary", "SELECT run_id, epoch_us(written_at) AS at, count(*) FILTER (coalesce(c.success, false)) AS ok, count(*) FILTER (NOT coalesce(c.success, false)) AS failed, cast(coalesce(sum(c.samples_collected) FILTER (c.success), 0) AS BIGINT) AS collected, cast(coalesce(sum(c.target_samples), 0) AS BIGINT) AS target FROM (SELECT run_id, written_at, unnest(map_values(collectors)) AS c FROM (SELECT DISTINCT ON (run_id, written_at) * FROM collection_results ORDER BY run_id, written_at, cast(collectors AS VARCHAR))) GROUP BY ALL HAVING max(1) = 0")
 def _(s, d):
-    x = t(s, d, "collection_results").select("run_id", F.unix_micros(F.col("written_at").cast("timestamp")).alias("at"), F.explode(F.map_values("collectors")).alias("c"))
-    ok = F.coalesce("c.success", F.lit(False))
-    return x.groupBy("run_id", "at").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.when(F.col("c.success"), F.col("c.samples_collected"))), F.lit(0)).alias("collected"), F.coalesce(F.sum("c.target_samples"), F.lit(0)).alias("target"))
+    return N.run_summary(t(s, d, "collection_results"))
 
 
 SQL["ag6_run_summary"] = "SELECT run_id, epoch_us(written_at) AS at, count(*) FILTER (coalesce(c.success, false)) AS ok, count(*) FILTER (NOT coalesce(c.success, false)) AS failed, cast(coalesce(sum(c.samples_collected) FILTER (c.success), 0) AS BIGINT) AS collected, cast(coalesce(sum(c.target_samples), 0) AS BIGINT) AS target FROM (SELECT run_id, written_at, unnest(map_values(collectors)) AS c FROM collection_results) GROUP BY 1, 2"
@@ -228,21 +213,18 @@ SQL["ag6_run_summary"] = "SELECT run_id, epoch_us(written_at) AS at, count(*) FI
 
 @query("ag7_ag40_collector_rates", "SELECT lower(trim(k)) AS collector, cast(sum(coalesce(c.samples_collected, 0)) AS BIGINT) AS collected, cast(sum(coalesce(c.target_samples, 0)) AS BIGINT) AS target, count(*) FILTER (c.status = 'error') AS errors, CASE WHEN sum(c.duration) > 0 THEN round(sum(coalesce(c.samples_collected, 0)) / sum(c.duration), 4) ELSE 0 END AS per_second FROM (SELECT unnest(map_keys(collectors)) AS k, unnest(map_values(collectors)) AS c FROM collection_results) GROUP BY 1")
 def _(s, d):
-    x = t(s, d, "collection_results").select(F.explode("collectors").alias("k", "c"))
-    n, sec = F.sum(F.coalesce("c.samples_collected", F.lit(0))), F.sum("c.duration")
-    return x.groupBy(F.lower(F.trim("k")).alias("collector")).agg(n.alias("collected"), F.sum(F.coalesce("c.target_samples", F.lit(0))).alias("target"), F.count_if(F.col("c.status") == "error").alias("errors"), F.when(sec > 0, F.round(n / sec, 4)).otherwise(0.0).alias("per_second"))
+    return N.collector_rates(t(s, d, "collection_results"))
 
 
 @query("ag8_weighted_sum", "SELECT run_id, cast(floor(round(sum(coalesce(c.samples_collected, 0) * CASE lower(trim(k)) WHEN 'cve' THEN 0.25 WHEN 'github' THEN 0.35 WHEN 'repo' THEN 0.82 WHEN 'synthetic' THEN 1.0 ELSE 0 END), 6)) AS BIGINT) AS pairs FROM (SELECT run_id, unnest(map_keys(collectors)) AS k, unnest(map_values(collectors)) AS c FROM collection_results) GROUP BY 1")
 def _(s, d):
-    x = t(s, d, "collection_results").select("run_id", F.explode("collectors").alias("k", "c"))
-    rate = F.coalesce(F.element_at(F.create_map(*[y for k, v in K.PAIR_RATES.items() for y in (F.lit(k), F.lit(v))]), F.lower(F.trim("k"))), F.lit(0.0))
-    return x.groupBy("run_id").agg(F.floor(F.round(F.sum(F.coalesce("c.samples_collected", F.lit(0)) * rate), 6)).alias("pairs"))
+    return N.weighted_total(t(s, d, "collection_results"), K.PAIR_RATES, "pairs")
 
 
 @query("ag9_per_repository", "SELECT coalesce(repository, 'unknown') AS repository, coalesce(vulnerability_type, 'unknown') AS type, count(*) AS n FROM repo_commits GROUP BY 1, 2")
 def _(s, d):
-    return t(s, d, "repo_commits").groupBy(F.coalesce("repository", F.lit("unknown")).alias("repository"), F.coalesce("vulnerability_type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
+    named = lambda c: F.coalesce(c, F.lit("unknown"))
+    return N.counts(t(s, d, "repo_commits"), {"repository": named("repository"), "type": named("vulnerability_type")})
 
 
 @query("ag10_ag11_graph_sizes", "SELECT count(*) AS n, round(avg(x), 6) AS mean, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.95) AS p95, cast(max(x) AS BIGINT) AS most, cast(greatest(1, least(64, floor(8e9 / (quantile_cont(x, 0.95) * 1024)))) AS BIGINT) AS batch FROM (SELECT cast(metadata.num_ast_nodes AS DOUBLE) AS x FROM train_split) WHERE x IS NOT NULL")
@@ -252,12 +234,13 @@ def _(s, d):
 
 @query("ag12_ag44_parse_success", "SELECT count(*) AS processed, count(*) FILTER (metadata.ast_success) AS success, count(*) FILTER (NOT metadata.ast_success) AS fallback, count(*) FILTER (code <> '') AS with_code FROM train_split")
 def _(s, d):
-    return t(s, d, "train_split").agg(F.count("*").alias("processed"), F.count_if("metadata.ast_success").alias("success"), F.count_if(~F.col("metadata.ast_success")).alias("fallback"), F.count_if(F.col("code") != "").alias("with_code"))
+    ok = F.col("metadata.ast_success")
+    return N.counts(t(s, d, "train_split"), {}, {"success": ok, "fallback": ~ok, "with_code": F.col("code") != ""}, total="processed")
 
 
 @query("ag13_mean_nodes", "SELECT label, round(avg(metadata.num_ast_nodes), 6) AS mean_nodes, round(avg(metadata.num_tokens), 6) AS mean_tokens FROM train_split GROUP BY 1")
 def _(s, d):
-    return t(s, d, "train_split").groupBy("label").agg(F.round(F.avg("metadata.num_ast_nodes"), 6).alias("mean_nodes"), F.round(F.avg("metadata.num_tokens"), 6).alias("mean_tokens"))
+    return N.counts(t(s, d, "train_split"), {"label": "label"}, means={"mean_nodes": "metadata.num_ast_nodes", "mean_tokens": "metadata.num_tokens"}, total=None)
 
 
 _CONF = f"SELECT count(*) FILTER (label=0 AND prob<0.5) AS tn, count(*) FILTER (label=0 AND prob>=0.5) AS fp, count(*) FILTER (label=1 AND prob<0.5) AS fn, count(*) FILTER (label=1 AND prob>=0.5) AS tp FROM {_PRED}"
@@ -271,7 +254,7 @@ def _(s, d):
 
 @query("ag31_prediction_counts", f"SELECT seed, count(*) FILTER (prob >= 0.5) AS said_1, count(*) FILTER (prob < 0.5) AS said_0, count(*) FILTER (label = 1) AS is_1 FROM {_PRED} GROUP BY 1")
 def _(s, d):
-    return preds(s, d).groupBy("seed").agg(F.count_if(F.col("prob") >= 0.5).alias("said_1"), F.count_if(F.col("prob") < 0.5).alias("said_0"), F.count_if(F.col("label") == 1).alias("is_1"))
+    return N.counts(preds(s, d), {"seed": "seed"}, {"said_1": F.col("prob") >= 0.5, "said_0": F.col("prob") < 0.5, "is_1": F.col("label") == 1}, total=None)
 
 
 @query("ag17_auc", f"WITH g AS (SELECT prob, count(*) FILTER (label=1) AS p, count(*) FILTER (label=0) AS n FROM {_PRED} GROUP BY 1), h AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g) SELECT round(sum(p * (b + n / 2.0::DOUBLE)) / (sum(p) * sum(n)), 6) AS auc FROM h")
@@ -300,14 +283,12 @@ def _(s, d):
 
 @query("ag22_ag43_seed_spread", f"SELECT round(avg(m), 6) AS mean, CASE WHEN count(m) > 1 THEN round(stddev_pop(m), 6) ELSE 0 END AS std FROM (SELECT seed, avg(prob) AS m FROM {_PRED} GROUP BY 1)")
 def _(s, d):
-    x = preds(s, d).groupBy("seed").agg(F.avg("prob").alias("m"))
-    return x.agg(F.round(F.avg("m"), 6).alias("mean"), F.when(F.count("m") > 1, F.round(F.stddev_pop("m"), 6)).otherwise(F.lit(0.0)).alias("std"))
+    return N.seed_spread(preds(s, d), "seed", "prob")
 
 
 @query("ag23_best_seed", f"SELECT seed, round(m, 6) AS score FROM (SELECT seed, avg(prob) AS m FROM {_PRED} GROUP BY 1) ORDER BY m DESC, seed LIMIT 1")
 def _(s, d):
-    x = preds(s, d).groupBy("seed").agg(F.avg("prob").alias("m"))
-    return x.agg(F.max_by("seed", F.struct("m", -F.col("seed"))).alias("seed"), F.round(F.max("m"), 6).alias("score"))
+    return N.best_seed(preds(s, d), "seed", "prob")
 
 
 @query("ag24_bootstrap")
@@ -338,58 +319,48 @@ def _(s, d):
 
 @query("ag27_lengths", "SELECT min(length(code)) AS least, max(length(code)) AS most, cast(floor(sum(length(code)) / count(code)) AS BIGINT) AS mean FROM samples")
 def _(s, d):
-    n = F.length("code").cast("long")
-    return t(s, d, "samples").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.floor(F.sum(n) / F.count("code")).alias("mean"))
+    return N.length_summary(t(s, d, "samples"), "code")
 
 
 @query("ag28_years_and_platforms", "SELECT strftime(collected_at, '%Y') AS year, split_part(lower(trim(source)), ':', 1) AS platform, count(*) AS n FROM samples WHERE code IS NOT NULL GROUP BY 1, 2")
 def _(s, d):
-    x = t(s, d, "samples").where("code is not null")
-    return x.groupBy(F.substring(F.col("collected_at").cast("string"), 1, 4).alias("year"), F.substring_index(F.lower(F.trim("source")), ":", 1).alias("platform")).agg(F.count("*").alias("n"))
+    return N.counts(t(s, d, "samples").where("code is not null"), {"year": Z.year("collected_at"), "platform": F.substring_index(N.plain("source"), ":", 1)})
 
 
 @query("ag29_wn21_best_epoch", "SELECT user_id, arg_max(event_id, (value, -event_id)) AS best_event, max(value) AS best, min(value) AS worst, arg_max(value, event_id) AS last_value FROM events WHERE value IS NOT NULL GROUP BY 1")
 def _(s, d):
-    x = t(s, d, "events").where("value is not null")
-    return x.groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best_event"), F.max("value").alias("best"), F.min("value").alias("worst"), F.max_by("value", "event_id").alias("last_value"))
+    return N.extremes(t(s, d, "events"), "user_id", "event_id", "value")
 
 
 @query("ag30_ablation", "SELECT event_type, round(avg(value), 6) AS score, round(100 * (avg(value) - (SELECT avg(value) FROM events WHERE event_type = 'view')) / (SELECT avg(value) FROM events WHERE event_type = 'view'), 4) AS gain_pct FROM events GROUP BY 1")
 def _(s, d):
-    g = t(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"))
-    base = F.max(F.when(F.col("event_type") == "view", F.col("m"))).over(W.partitionBy())
-    return g.select("event_type", F.round("m", 6).alias("score"), F.round(100 * (F.col("m") - base) / base, 4).alias("gain_pct"))
+    return N.ablation(t(s, d, "events"), "event_type", "value", "view")
 
 
 @query("ag32_mean_loss", "SELECT round(avg(m), 6) AS of_batches, round(sum(s) / sum(n), 6) AS of_rows FROM (SELECT event_id // 64 AS b, avg(value) AS m, sum(value) AS s, count(value) AS n FROM events GROUP BY 1)")
 def _(s, d):
-    g = t(s, d, "events").groupBy(F.expr("event_id div 64").alias("b")).agg(F.avg("value").alias("m"), F.sum("value").alias("s"), F.count("value").alias("n"))
-    return g.agg(F.round(F.avg("m"), 6).alias("of_batches"), F.round(F.sum("s") / F.sum("n"), 6).alias("of_rows"))
+    return N.mean_loss(t(s, d, "events"), F.expr("event_id div 64"), "value")
 
 
 @query("ag33_ag42_graph_counts", "SELECT kind, sum(n)::BIGINT AS n FROM (SELECT 'supplier' AS kind, count(DISTINCT l_suppkey) AS n FROM lineitem UNION ALL SELECT 'part', count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'supplies', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) GROUP BY ROLLUP (kind)")
 def _(s, d):
-    l = t(s, d, "lineitem").select("l_suppkey", "l_partkey")
-    c = l.agg(F.count_distinct("l_suppkey").alias("supplier"), F.count_distinct("l_partkey").alias("part"), F.count_distinct("l_suppkey", "l_partkey").alias("supplies"))
-    return c.select(F.explode(F.create_map(*[x for n in ("supplier", "part", "supplies") for x in (F.lit(n), F.col(n))])).alias("kind", "n")).rollup("kind").agg(F.sum("n").alias("n"))
+    return N.graph_counts(t(s, d, "lineitem"), "l_suppkey", "l_partkey", ("supplier", "part", "supplies"))
 
 
 @query("ag34_action_counts", "SELECT event_type, count(*) AS n, count(*) FILTER (value IS NULL OR value < 10) AS pending, count(*) FILTER (value IS NULL OR value < 10) >= 100 AS ready FROM events GROUP BY 1")
 def _(s, d):
-    pending = F.count_if(F.col("value").isNull() | (F.col("value") < 10))
-    return t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), pending.alias("pending"), (pending >= 100).alias("ready"))
+    pending = F.col("value").isNull() | (F.col("value") < 10)
+    return N.counts(t(s, d, "events"), {"event_type": "event_type"}, {"pending": pending}).withColumn("ready", F.col("pending") >= 100)
 
 
 @query("ag35_dt4_daily", "SELECT date_trunc('day', ts)::DATE AS day, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
 def _(s, d):
-    return t(s, d, "events").groupBy(F.to_date(F.date_trunc("day", "ts")).alias("day")).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return N.counts(t(s, d, "events"), {"day": F.to_date(F.date_trunc("day", "ts"))}, {"purchases": F.col("event_type") == "purchase", "errors": F.col("event_type") == "error"}, total="total")
 
 
 @query("ag36_so7_every_severity", "SELECT o.s AS severity, o.i AS place, count(x.sample_id) AS n, round(avg(x.weight), 6) AS mean_weight FROM (SELECT unnest(['CRITICAL','HIGH','MEDIUM','LOW','UNKNOWN']) AS s, generate_subscripts(['CRITICAL','HIGH','MEDIUM','LOW','UNKNOWN'], 1) AS i) o LEFT JOIN samples x ON upper(trim(x.severity)) = o.s GROUP BY 1, 2")
 def _(s, d):
-    dim = s.createDataFrame([(n, i + 1) for i, n in enumerate(K.SEVERITY_ORDER)], "severity string, place long")
-    g = t(s, d, "samples").groupBy(F.upper(F.trim("severity")).alias("severity")).agg(F.count("sample_id").alias("n"), F.round(F.avg("weight"), 6).alias("mean_weight"))
-    return dim.join(F.broadcast(g), "severity", "left").select("severity", "place", F.coalesce("n", F.lit(0)).alias("n"), "mean_weight").orderBy("place")
+    return N.every_value(t(s, d, "samples"), F.upper(F.trim("severity")), "severity", K.SEVERITY_ORDER, "sample_id", "weight")
 
 
 @query("ag37_ag38_impact", "SELECT p_brand, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders, list_sort(list_distinct(list(l_suppkey)))[1:5] AS first_suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
@@ -401,29 +372,29 @@ def _(s, d):
 
 @query("ag41_label_type_counts", "SELECT label, lower(trim(vulnerability_type)) AS type, count(*) AS n FROM samples GROUP BY 1, 2")
 def _(s, d):
-    return t(s, d, "samples").groupBy("label", F.lower(F.trim("vulnerability_type")).alias("type")).agg(F.count("*").alias("n"))
+    return N.counts(t(s, d, "samples"), {"label": "label", "type": N.plain("vulnerability_type")})
 
 
 @query("ag45_ag46_sorted_counts", "SELECT coalesce(vulnerability_type, 'unknown') AS type, count(*) AS n, round(100.0 * count(fixed_code) / count(*), 4) AS pct_fixed FROM repo_commits GROUP BY 1 ORDER BY 1")
 def _(s, d):
-    return t(s, d, "repo_commits").groupBy(F.coalesce("vulnerability_type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"), F.round(100.0 * F.count("fixed_code") / F.count("*"), 4).alias("pct_fixed")).orderBy("type")
+    x = N.counts(t(s, d, "repo_commits"), {"type": F.coalesce("vulnerability_type", F.lit("unknown"))}, {"fixed": F.col("fixed_code").isNotNull()})
+    return x.select("type", "n", S.percent_of("fixed", "n").alias("pct_fixed")).orderBy("type")
 
 
 @query("ag47_per_file", "SELECT repository, file_path, count(*) AS total, count(*) FILTER (vulnerability_type = 'sql_injection') AS injections FROM repo_commits GROUP BY 1, 2")
 def _(s, d):
-    return t(s, d, "repo_commits").groupBy("repository", "file_path").agg(F.count("*").alias("total"), F.count_if(F.col("vulnerability_type") == "sql_injection").alias("injections"))
+    return N.counts(t(s, d, "repo_commits"), {"repository": "repository", "file_path": "file_path"}, {"injections": F.col("vulnerability_type") == "sql_injection"}, total="total")
 
 
 @query("ag49_outcome_rates", "SELECT user_id, count(*) AS n, round(count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 6) AS error_rate, round(count(*) FILTER (event_type = 'purchase') / count(*)::DOUBLE, 6) AS purchase_rate FROM events GROUP BY 1")
 def _(s, d):
-    share = lambda k: F.round(F.count_if(F.col("event_type") == k) / F.count("*"), 6)
-    return t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), share("error").alias("error_rate"), share("purchase").alias("purchase_rate"))
+    return N.rates(t(s, d, "events"), ["user_id"], {"error_rate": F.col("event_type") == "error", "purchase_rate": F.col("event_type") == "purchase"})
 
 
 @query("ag50_same_behaviour", "SELECT repository, round(avg(CASE WHEN trim(vulnerable_code) = trim(fixed_code) THEN 1.0 ELSE 0.0 END), 6) AS kept FROM repo_commits WHERE fixed_code IS NOT NULL AND vulnerable_code IS NOT NULL GROUP BY 1")
 def _(s, d):
     x = t(s, d, "repo_commits").where("fixed_code is not null and vulnerable_code is not null")
-    return x.groupBy("repository").agg(F.round(F.avg((F.trim("vulnerable_code") == F.trim("fixed_code")).cast("double")), 6).alias("kept"))
+    return N.rates(x, ["repository"], {"kept": X.same_text("vulnerable_code", "fixed_code")}).drop("n")
 
 
 @query("ml7_votes", f"SELECT row_id, round(avg(prob), 6) AS soft, CAST(2 * count(*) FILTER (prob >= 0.5) > count(*) AS INTEGER) AS hard, round(CASE WHEN sum(w) > 0 THEN sum(w * prob) / sum(w) ELSE 0 END, 6) AS weighted, CAST(round(sum(CASE WHEN prob >= 0.5 THEN abs(prob - 0.5) ELSE -abs(prob - 0.5) END), 9) > 0 AS INTEGER) AS confident, round(greatest(count(*) FILTER (prob >= 0.5), count(*) - count(*) FILTER (prob >= 0.5)) / count(*)::DOUBLE, 6) AS agreement FROM (SELECT *, CASE seed WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END::DOUBLE AS w FROM {_PRED}) GROUP BY 1")
@@ -433,35 +404,33 @@ def _(s, d):
 
 @query("ma3_ma4_focal_loss", f"SELECT seed, round(avg(CASE WHEN label = 1 THEN -0.25 * pow(1 - p, 2) * ln(p) ELSE -0.75 * pow(p, 2) * ln(1 - p) END), 6) AS loss FROM (SELECT seed, label, greatest(1e-6, least(1 - 1e-6, prob)) AS p FROM {_PRED}) GROUP BY 1")
 def _(s, d):
-    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("prob")))
-    loss = F.when(F.col("label") == 1, -0.25 * F.pow(1 - p, 2) * F.log(p)).otherwise(-0.75 * F.pow(p, 2) * F.log(1 - p))
-    return preds(s, d).groupBy("seed").agg(F.round(F.avg(loss), 6).alias("loss"))
+    return N.counts(preds(s, d), {"seed": "seed"}, means={"loss": S.focal_loss(F.col("prob"), F.col("label"))}, total=None)
 
 
 # ---- order and series ---------------------------------------------------------------------------------------------
 @query("so1_counts_descending", f"SELECT {SRC} AS source, count(*) AS n FROM samples GROUP BY 1 ORDER BY n DESC, 1")
 def _(s, d):
-    return t(s, d, "samples").groupBy(src().alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
+    return N.top_values(t(s, d, "samples"), src(), "source")
 
 
 @query("so2_so3_top_ten", "SELECT metadata.package_name AS package, count(*) AS n FROM samples GROUP BY 1 ORDER BY n DESC, 1 NULLS FIRST LIMIT 10")
 def _(s, d):
-    return t(s, d, "samples").groupBy(F.col("metadata.package_name").alias("package")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("package")).limit(10)
+    return N.top_values(t(s, d, "samples"), F.col("metadata.package_name"), "package", 10)
 
 
 @query("so4_so5_so6_slice", "SELECT sample_id FROM samples ORDER BY sample_id LIMIT 50 OFFSET 100")
 def _(s, d):
-    return t(s, d, "samples").select("sample_id").orderBy("sample_id").offset(100).limit(50)
+    return N.page(t(s, d, "samples").select("sample_id"), ["sample_id"], 50, 100)
 
 
 @query("so12_pending", "SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 25")
 def _(s, d):
-    return t(s, d, "events").where("event_type = 'signup'").orderBy("ts", "event_id").limit(25).select("event_id")
+    return N.page(t(s, d, "events").where("event_type = 'signup'"), ["ts", "event_id"], 25).select("event_id")
 
 
 @query("so13_pattern_search", "SELECT row_id FROM repo_commits WHERE regexp_matches(commit_message, '(?i)prevent.*sql') ORDER BY row_id LIMIT 50")
 def _(s, d):
-    return t(s, d, "repo_commits").where(F.col("commit_message").rlike("(?i)prevent.*sql")).select("row_id").orderBy("row_id").limit(50)
+    return N.search(t(s, d, "repo_commits"), "commit_message", "(?i)prevent.*sql", "row_id").select("row_id")
 
 
 @query("so14_top_by_magnitude", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 50) DESC, event_id) AS r FROM events WHERE value IS NOT NULL) WHERE r <= 3")
@@ -488,8 +457,7 @@ def _(s, d):
 
 @query("wn7_last_five", "SELECT event_id, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last_types FROM events")
 def _(s, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
-    return t(s, d, "events").select("event_id", F.collect_list("event_type").over(w).alias("last_types"))
+    return Z.last_values(t(s, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 5).select("event_id", F.col("last").alias("last_types"))
 
 
 @query("wn8_running_best", "SELECT event_id, best, (row_number() OVER (PARTITION BY user_id, isle ORDER BY ts, event_id) - 1)::BIGINT AS patience FROM (SELECT *, sum(better) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isle FROM (SELECT event_id, user_id, ts, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best, CASE WHEN coalesce(value > max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END AS better FROM events))")
@@ -504,9 +472,7 @@ def _(s, d):
 
 @query("wn10_steepest", "SELECT user_id, arg_min(event_id, (slope, event_id)) AS at FROM (SELECT user_id, event_id, (lead(value) OVER w - value) / (ln(lead(event_id) OVER w) - ln(event_id)) AS slope FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE slope IS NOT NULL GROUP BY 1")
 def _(s, d):
-    w = W.partitionBy("user_id").orderBy("event_id")
-    x = t(s, d, "events").where("value is not null and event_id > 0").select("user_id", "event_id", ((F.lead("value").over(w) - F.col("value")) / (F.log(F.lead("event_id").over(w)) - F.log("event_id"))).alias("slope"))
-    return x.where("slope is not null").groupBy("user_id").agg(F.min_by("event_id", F.struct("slope", "event_id")).alias("at"))
+    return Z.steepest(t(s, d, "events"), "user_id", "event_id", "value")
 
 
 @query("wn11_smooth", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM events WHERE value IS NOT NULL")
@@ -522,14 +488,12 @@ def _(s, d):
 
 @query("wn12_cap_and_fallback", "SELECT event_id, CASE WHEN value < 5 THEN 1e-5 ELSE least(value / 1000, 5e-2) END AS lr FROM events WHERE value IS NOT NULL")
 def _(s, d):
-    return t(s, d, "events").where("value is not null").select("event_id", F.when(F.col("value") < 5, F.lit(1e-5)).otherwise(F.least(F.col("value") / 1000, F.lit(5e-2))).alias("lr"))
+    return t(s, d, "events").where("value is not null").select("event_id", S.capped_rate(F.col("value"), 1000, 5, 1e-5, 5e-2).alias("lr"))
 
 
 @query("wn13_divergence", "SELECT user_id, min(event_id) AS stopped FROM (SELECT user_id, event_id, value > 5 * min(value) OVER (PARTITION BY user_id ORDER BY event_id) AS off FROM events WHERE value > 0) WHERE off GROUP BY 1")
 def _(s, d):
-    w = W.partitionBy("user_id").orderBy("event_id")
-    x = t(s, d, "events").where("value > 0").select("user_id", "event_id", (F.col("value") > 5 * F.min("value").over(w)).alias("off"))
-    return x.where("off").groupBy("user_id").agg(F.min("event_id").alias("stopped"))
+    return Z.divergence(t(s, d, "events"), "user_id", "event_id", "value", 5)
 
 
 @query("wn15_rate_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS recent FROM events")
@@ -544,9 +508,7 @@ def _(s, d):
 
 @query("wn17_running_mean", "SELECT event_id, round(sum(value) OVER w, 2) / count(value) OVER w AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def _(s, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    # values have two decimals; the rounded sum is the same whatever the order of adding
-    return t(s, d, "events").select("event_id", F.try_divide(F.round(F.sum("value").over(w), 2), F.count("value").over(w)).alias("mean"))
+    return Z.running_mean(t(s, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "mean")
 
 
 @query("wn18_merged_ranges", "SELECT user_id, min(a) AS a, max(b) AS b, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a, b) AS g FROM (SELECT *, CASE WHEN coalesce(a > max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 60, true) THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT user_id, event_id AS a, event_id + 40 AS b FROM events))) GROUP BY user_id, g")
@@ -557,8 +519,7 @@ def _(s, d):
 
 @query("wn20_last_ten", "SELECT event_id, total FROM (SELECT event_id, count(*) OVER () AS total, row_number() OVER (ORDER BY event_id DESC) AS r FROM events WHERE event_type = 'error') WHERE r <= 10")
 def _(s, d):
-    x = t(s, d, "events").where("event_type = 'error'")
-    return x.orderBy(F.desc("event_id")).limit(10).select("event_id", x.agg(F.count("*")).scalar().alias("total"))
+    return Z.last_rows(t(s, d, "events").where("event_type = 'error'"), "event_id", 10).select("event_id", "total")
 
 
 @query("ss7_sessions", "SELECT user_id, session::BIGINT AS session, count(*) AS n, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS end_ FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT user_id, ts, CASE WHEN coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 43200000000, true) THEN 1 ELSE 0 END AS new FROM events)) GROUP BY 1, 2")
@@ -579,29 +540,27 @@ def _(s, d):
 
 @query("dt1_dt3_durations", "SELECT run_id, round((epoch_us(end_time) - epoch_us(start_time)) / 1e6, 6) AS seconds, strftime(start_time, '%Y') AS year FROM collection_results")
 def _(s, d):
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return t(s, d, "collection_results").select("run_id", F.round((us("end_time") - us("start_time")) / 1e6, 6).alias("seconds"), F.substring(F.col("start_time").cast("string"), 1, 4).alias("year"))
+    return t(s, d, "collection_results").select("run_id", Z.seconds_between("start_time", "end_time").alias("seconds"), Z.year("start_time").alias("year"))
 
 
 @query("dt5_late_rows", "SELECT sample_id FROM samples WHERE ingested_at - collected_at > INTERVAL 30 DAY")
 def _(s, d):
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return t(s, d, "samples").where(us("ingested_at") - us("collected_at") > 30 * 86_400_000_000).select("sample_id")
+    return t(s, d, "samples").where(Z.later_than("ingested_at", "collected_at", 30)).select("sample_id")
 
 
 @query("jf1_json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def _(s, d):
-    return t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return t(s, d, "events").select("event_id", X.json_first("props", ["$.k"]).alias("k"))
 
 
 @query("jf2_mp2_first_present", "SELECT sample_id, coalesce(json_extract_string(attrs, '$.range.from'), json_extract_string(attrs, '$.cwe'), 'none') AS v FROM samples")
 def _(s, d):
-    return t(s, d, "samples").select("sample_id", F.coalesce(F.get_json_object("attrs", "$.range.from"), F.get_json_object("attrs", "$.cwe"), F.lit("none")).alias("v"))
+    return t(s, d, "samples").select("sample_id", X.json_first("attrs", ["$.range.from", "$.cwe"], "none").alias("v"))
 
 
 @query("ar5_ar6_cve_lists", "SELECT sample_id, len(list_filter(metadata.cve_codes, lambda c: starts_with(c, 'CVE-20'))) AS n FROM samples WHERE metadata.cve_codes IS NOT NULL")
 def _(s, d):
-    return t(s, d, "samples").where("metadata.cve_codes is not null").select("sample_id", F.size(F.filter("metadata.cve_codes", lambda c: c.startswith("CVE-20"))).cast("long").alias("n"))
+    return t(s, d, "samples").where("metadata.cve_codes is not null").select("sample_id", F.size(X.starting("metadata.cve_codes", "CVE-20")).cast("long").alias("n"))
 
 
 def queries() -> dict:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import scores as S
 from ..functions import text as X
+from ..operators import counting as N
 from ..runtime import table as t
 
 QUERIES: dict = {}
@@ -67,18 +69,17 @@ def _(s, d):
 
 @query("fl7_not_tests", "SELECT row_id FROM repo_commits WHERE NOT regexp_matches(lower(file_path), 'test|spec')")
 def _(s, d):
-    return t(s, d, "repo_commits").where(~F.lower("file_path").rlike("test|spec")).select("row_id")
+    return t(s, d, "repo_commits").where(X.not_a_test("file_path")).select("row_id")
 
 
 @query("fl8_since", "SELECT sample_id FROM samples WHERE collected_at IS NULL OR collected_at >= TIMESTAMP '2032-01-01'")
 def _(s, d):
-    return t(s, d, "samples").where("collected_at is null or collected_at >= timestamp_ntz '2032-01-01 00:00:00'").select("sample_id")
+    return t(s, d, "samples").where(X.since("collected_at", "2032-01-01 00:00:00")).select("sample_id")
 
 
 @query("fl9_vulnerable_side", "SELECT coalesce(severity NOT IN ('SAFE','UNKNOWN'), true) AS vulnerable, count(*) AS n FROM samples GROUP BY 1")
 def _(s, d):
-    side = F.coalesce(~F.col("severity").isin("SAFE", "UNKNOWN"), F.lit(True))
-    return t(s, d, "samples").groupBy(side.alias("vulnerable")).agg(F.count("*").alias("n"))
+    return N.counts(t(s, d, "samples"), {"vulnerable": X.vulnerable_side("severity")})
 
 
 @query("fl12_version_in_range", r"SELECT sample_id, coalesce(regexp_extract(attrs, '\"from\":\s*\"(\d+(?:\.\d+)+)', 1) <> '' AND contains(metadata.vulnerable_range, regexp_extract(attrs, '\"from\":\s*\"(\d+(?:\.\d+)+)', 1)), false) AS hit FROM samples")
@@ -89,7 +90,7 @@ def _(s, d):
 
 @query("fl13_sql_or_type", "SELECT row_id FROM repo_commits WHERE contains(lower(commit_message), 'sql') OR vulnerability_type = 'sql_injection'")
 def _(s, d):
-    return t(s, d, "repo_commits").where(F.contains(F.lower("commit_message"), F.lit("sql")) | (F.col("vulnerability_type") == "sql_injection")).select("row_id")
+    return t(s, d, "repo_commits").where(X.mentions_or_is("commit_message", "sql", "vulnerability_type", "sql_injection")).select("row_id")
 
 
 @query("fl14_by_language_and_type", "SELECT row_id FROM repo_commits WHERE vulnerability_type = 'xss' AND lower(trim(language)) IN ('javascript','js')")
@@ -99,7 +100,7 @@ def _(s, d):
 
 @query("fl15_with_code", "SELECT row_id FROM repo_commits WHERE fixed_code IS NOT NULL AND fixed_code <> ''")
 def _(s, d):
-    return t(s, d, "repo_commits").where("fixed_code is not null and fixed_code <> ''").select("row_id")
+    return t(s, d, "repo_commits").where(X.is_there("fixed_code")).select("row_id")
 
 
 @query("fl16_non_blank_lines", f"SELECT sample_id, len(list_filter(string_split(code, chr(10)), lambda l: {strip('l')} <> '')) AS n FROM samples WHERE code IS NOT NULL")
@@ -249,8 +250,7 @@ def _(s, d):
 
 @query("st15_template", "SELECT row_id, replace('SELECT * FROM {t}', '{t}', ['users','orders','items','logs'][1 + row_id % 4]) AS text FROM repo_commits")
 def _(s, d):
-    words = F.array(*map(F.lit, ["users", "orders", "items", "logs"]))
-    return t(s, d, "repo_commits").select("row_id", F.replace(F.lit("SELECT * FROM {t}"), F.lit("{t}"), F.element_at(words, (F.col("row_id") % 4 + 1).cast("int"))).alias("text"))
+    return t(s, d, "repo_commits").select("row_id", X.filled("SELECT * FROM {t}", "{t}", N.round_robin(F.col("row_id"), ["users", "orders", "items", "logs"])).alias("text"))
 
 
 _DETECT = "CASE " + " ".join(f"WHEN contains(vulnerable_code, {q(h)}) THEN {q(v)}" for h, v in K.LANGUAGE_HINTS.items()) + " WHEN contains(vulnerable_code,'def ') OR contains(vulnerable_code,'import ') THEN 'python' WHEN contains(vulnerable_code,'function') OR contains(vulnerable_code,'const ') OR contains(vulnerable_code,'let ') THEN 'javascript' WHEN contains(vulnerable_code,'public class') OR contains(vulnerable_code,'new ') THEN 'java' WHEN contains(vulnerable_code,'$') OR contains(lower(vulnerable_code),'php') THEN 'php' ELSE 'python' END"
@@ -268,7 +268,7 @@ def _(s, d):
 
 @query("st18_digests", "SELECT sample_id, md5(code) AS m, sha1(code) AS s1, sha256(code) AS s2 FROM samples WHERE code IS NOT NULL")
 def _(s, d):
-    return t(s, d, "samples").where("code is not null").select("sample_id", F.md5("code").alias("m"), F.sha1("code").alias("s1"), F.sha2("code", 256).alias("s2"))
+    return t(s, d, "samples").where("code is not null").select("sample_id", X.digests("code").alias("h")).select("sample_id", "h.*")
 
 
 @query("st19_token_buckets")
@@ -284,7 +284,7 @@ def _(s, d):
 
 @query("st21_part_of_id", "SELECT row_id, split_part(id, '-', 2) AS part FROM train_split")
 def _(s, d):
-    return t(s, d, "train_split").select("row_id", F.split_part("id", F.lit("-"), F.lit(2)).alias("part"))
+    return t(s, d, "train_split").select("row_id", X.part_of("id", "-", 2).alias("part"))
 
 
 @query("st22_edit_distance", "SELECT row_id, levenshtein(commit_message, repository) AS dist FROM repo_commits WHERE commit_message IS NOT NULL AND repository IS NOT NULL")
@@ -307,8 +307,7 @@ def _(s, d):
 
 @query("st26_score_bucket", "SELECT event_id, CASE WHEN abs(value / 100.0) > 0.7 THEN 'high' WHEN abs(value / 100.0) > 0.4 THEN 'medium' ELSE 'low' END AS bucket FROM events")
 def _(s, d):
-    v = F.abs(F.col("value") / 100.0)
-    return t(s, d, "events").select("event_id", F.when(v > 0.7, "high").when(v > 0.4, "medium").otherwise("low").alias("bucket"))
+    return t(s, d, "events").select("event_id", S.bucketed(F.col("value") / 100.0).alias("bucket"))
 
 
 @query("st28_last_match", r"SELECT doc_id, list_filter(regexp_extract_all(text, '(\d+\.\d+)', 1), lambda m: m <> '')[-1] AS last_number FROM documents WHERE text IS NOT NULL")

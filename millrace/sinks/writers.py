@@ -1,4 +1,4 @@
-"""Writers of JSON lines, tables and reports, chosen by name."""
+"""Writers of JSON lines, tables, snapshots, graphs and reports, chosen by name."""
 
 from __future__ import annotations
 
@@ -33,6 +33,42 @@ def append_jsonl(new: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def append_history(rows: DataFrame, path: str) -> None:
+    """Rows added to a table of a run's metrics or predictions; each write is committed as a whole."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_snapshot(df: DataFrame, path: str, at: str, keep: int | None = None) -> str:
+    """The table as path/snapshot=<at>, replaced if it is there; with `keep` only the latest so many snapshots stay. Returns its path.
+
+    `at` is a time in text that sorts, such as 20320101T120000.
+    """
+    spark = df.sparkSession
+    out = f"{path}/snapshot={at}"
+    df.write.mode("overwrite").parquet(out)
+    if keep:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = sorted(x.getPath().getName() for x in fs.listStatus(root) if x.getPath().getName().startswith("snapshot="))
+        for name in names[:-keep]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, name), True)
+    return out
+
+
+def graph_tensors(nodes: DataFrame, edges: DataFrame, graph: str, node: str, features: str, label: str) -> DataFrame:
+    """(graph, x array<array>, edge_index array<array<int>>, y): each graph as arrays, nodes in order, edges as places in that order.
+
+    nodes: graph, node, features, label of the graph; edges: graph, src, dst. Edges whose ends are no nodes are left
+    out. One task holds one graph.
+    """
+    n = nodes.groupBy(graph).agg(F.array_sort(F.collect_list(F.struct(node, features))).alias("ns"), F.max(label).alias("y"))
+    e = edges.groupBy(graph).agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("es"))
+    j = n.join(e, graph, "left").withColumn("ids", F.transform("ns", lambda z: z[node]))
+    place = lambda z, end: (F.array_position("ids", z[end]) - 1).cast("int")
+    pairs = F.filter(F.transform(F.coalesce("es", F.array().cast(dict(e.dtypes)["es"])), lambda z: F.array(place(z, "src"), place(z, "dst"))), lambda p: (p[0] >= 0) & (p[1] >= 0))
+    return j.select(graph, F.transform("ns", lambda z: z[features]).alias("x"), pairs.alias("edge_index"), "y")
+
+
 def write_atomic(obj, path: str) -> None:
     """A small JSON document: written beside its place, then moved there; on failure nothing is left."""
     folder = os.path.dirname(os.path.abspath(path))

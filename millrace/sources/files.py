@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import zipfile
@@ -36,6 +37,33 @@ def rejected(spark: SparkSession, path, schema) -> DataFrame:
     return lines.where(F.try_parse_json("line").isNull() | F.from_json("line", s).isNull())
 
 
+def intact(spark: SparkSession, path, schema) -> bool:
+    """Whether reading with bad = 'fail' gets through; other errors than a damaged line are raised."""
+    try:
+        read_jsonl(spark, path, schema, bad="fail").write.format("noop").mode("overwrite").save()
+    except Exception as e:  # noqa: BLE001 - Spark wraps a damaged line in several kinds of errors
+        if "MALFORMED_RECORD" not in str(e):
+            raise
+        return False
+    return True
+
+
+def read_json_document(path: str):
+    """One JSON document of a driver's file; FileNotFoundError if it is not there, ValueError with the path if it is no JSON."""
+    with open(path, encoding="utf-8") as f:
+        try:
+            return json.load(f)
+        except ValueError as e:
+            raise ValueError(f"{path} is no valid JSON: {e}") from e
+
+
+def registry(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """(name, n, columns): rows and columns of each registered table; a table that is not there is an error. One job for all."""
+    each = [spark.read.parquet(path) for path in tables.values()]
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(len(df.columns)).alias("columns")) for name, df in zip(tables, each)]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Rows in which all the columns are there; an absent key and a null are the same."""
     for c in columns:
@@ -106,9 +134,9 @@ def predictions(spark: SparkSession, directory: str) -> DataFrame:
     return p.join(l, ["seed", "row_id"])
 
 
-def read_glob(spark: SparkSession, pattern: str, schema, key: str, key_pattern: str) -> DataFrame:
-    """JSON documents of many folders, with a key cut out of each path; sorted reading is not needed, the key orders them."""
-    df = spark.read.schema(_schema(schema)).option("multiLine", True).json(pattern)
+def read_glob(spark: SparkSession, pattern: str, schema, key: str, key_pattern: str, lines: bool = False) -> DataFrame:
+    """JSON documents (or, with `lines`, JSON lines) of many folders, with a key cut out of each path; the key orders them."""
+    df = spark.read.schema(_schema(schema)).option("multiLine", not lines).json(pattern)
     return df.withColumn(key, F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1))
 
 
