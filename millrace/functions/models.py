@@ -94,3 +94,50 @@ def graph_layer(nodes: DataFrame, edges: DataFrame, weights: list[list[float]] |
         cols = [F.array(*[F.lit(float(v)) for v in c]) for c in zip(*weights)]
         out = out.withColumn("h", F.array(*[F.aggregate(F.zip_with("h", c, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for c in cols]))
     return out.withColumn("h", F.transform("h", lambda x: F.greatest(x, F.lit(0.0)))) if relu else out
+
+
+def graph_classifier(nodes: DataFrame, edges: DataFrame, layers: list[list[list[float]] | None], head: list[tuple[list[list[float]], list[float]]]) -> DataFrame:
+    """(graph, logits): convolutions with ReLU, mean and maximum of the node vectors of each graph, and a dense head over both.
+
+    layers: the weights of each convolution, None to leave the vectors as they are; head: as in `dense`, its input is the
+    mean and then the maximum. Graphs without a node have no row.
+    """
+    from ..operators.graph import pool
+
+    h = nodes
+    for w in layers:
+        h = graph_layer(h, edges, w)
+    return pool(h, "graph", "h").select("graph", dense(head)(F.concat("mean", "most")).alias("logits"))
+
+
+class Registry:
+    """Named models: what builds them and their fixed facts. Names count without case; an unknown one lists those there are."""
+
+    def __init__(self):
+        self._held: dict[str, tuple[Callable, dict]] = {}
+
+    def add(self, name: str, build: Callable, **facts) -> None:
+        if name.lower() in self._held:
+            raise ValueError(f"{name} is there already")
+        self._held[name.lower()] = (build, facts)
+
+    def names(self) -> list[str]:
+        return sorted(self._held)
+
+    def facts(self, name: str) -> dict:
+        return dict(self._get(name)[1])
+
+    def build(self, name: str, **options):
+        return self._get(name)[0](**options)
+
+    def _get(self, name: str):
+        try:
+            return self._held[name.lower()]
+        except KeyError:
+            raise KeyError(f"no model {name}; there are {', '.join(self.names())}") from None
+
+
+#: Embedders by name; a trained encoder is added the same way.
+BACKBONES = Registry()
+BACKBONES.add("hashed-64", lambda limit=512: embedder(64, limit), dims=64, words=512)
+BACKBONES.add("hashed-256", lambda limit=512: embedder(256, limit), dims=256, words=512)

@@ -220,6 +220,16 @@ def _(s, d):
     return M.graph_layer(nodes, edges).select("node", F.round(F.get("h", F.lit(0)), 5).alias("h"))
 
 
+@query("ml2_graph_classifier", "WITH e AS (SELECT DISTINCT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND (a.s_suppkey = b.s_suppkey OR a.s_suppkey % 7 = b.s_suppkey % 7)), g AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), l AS (SELECT e.dst AS node, greatest(0, sum(s.s_acctbal / sqrt(g.deg)) / sqrt(any_value(h.deg))) AS h FROM e JOIN g ON g.src = e.src JOIN g h ON h.src = e.dst JOIN supplier s ON s.s_suppkey = e.src GROUP BY 1) SELECT s_nationkey AS graph, round(avg(h) - max(h) + 1, 4) AS z FROM l JOIN supplier ON s_suppkey = node GROUP BY 1")
+def _(s, d):
+    x = t(s, d, "supplier")
+    nodes = x.select(F.col("s_nationkey").alias("graph"), F.col("s_suppkey").alias("node"), F.array("s_acctbal").alias("h"))
+    k = x.select(F.col("s_suppkey").alias("src"), "s_nationkey", (F.col("s_suppkey") % 7).alias("m"))
+    edges = k.join(k.withColumnRenamed("src", "dst"), ["s_nationkey", "m"]).select(F.col("s_nationkey").alias("graph"), "src", "dst")
+    g = M.graph_classifier(nodes, edges, [None], [([[1.0], [-1.0]], [1.0])])
+    return g.select("graph", F.round(F.get("logits", F.lit(0)), 4).alias("z"))
+
+
 @query("ml12_mean_logits", "SELECT user_id, CASE WHEN avg(value) > avg(100 - value) THEN 1 ELSE 0 END AS label FROM events WHERE value IS NOT NULL GROUP BY 1")
 def _(s, d):
     x = t(s, d, "events").where("value is not null").select("user_id", F.array(100 - F.col("value"), F.col("value")).alias("z"))

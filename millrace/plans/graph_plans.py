@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scores as C
 from ..functions import text as X
+from ..operators import counting as N
 from ..operators import graph as G
+from ..operators import relational as R
 from ..operators import series as Z
 from ..operators import vectors as V
 from ..runtime import scratch_dir
 from ..runtime import table as t
 from ..sources import files
 from ..sources import records as P
+from ..streaming import progress
 from ..streaming import streams as S
 from .text_plans import case_keywords, case_suffix, q, strip
 
@@ -290,8 +293,10 @@ def _(s, d):
 
 @query("ss3_jn1_resume", "SELECT run_id, k AS collector FROM (SELECT DISTINCT run_id, lower(trim(unnest(map_keys(collectors)))) AS k FROM collection_results) WHERE run_id % 2 = 1")
 def _(s, d):
-    x = t(s, d, "collection_results").select("run_id", F.explode(F.map_keys("collectors")).alias("k")).select("run_id", F.lower(F.trim("k")).alias("collector")).distinct()
-    return x.join(x.where("run_id % 2 = 0"), ["run_id", "collector"], "left_anti")
+    x = N.collectors(t(s, d, "collection_results"), "run_id").select("run_id", N.plain("k").alias("collector")).distinct()
+    path = f"{scratch_dir(s)}/done-{os.urandom(6).hex()}"
+    progress.mark_done(progress.remaining(x, path, ["run_id", "collector"]).where("run_id % 2 = 0"), path)
+    return progress.remaining(x, path, ["run_id", "collector"])
 
 
 # ---- sources and sinks ----------------------------------------------------------------------------------------------
@@ -345,6 +350,24 @@ def _(s, d):
     return writers.metrics_document(A.scores(A.confusion(p.withColumn("hat", (F.col("prob") >= 0.5).cast("int")), "label", "hat")), A.threshold_sweep(p, "label", "prob"))
 
 
+@query("ss5_checkpoint_store", "SELECT ecosystem, count(*) AS n FROM (SELECT lower(metadata.ecosystem) AS ecosystem FROM samples) WHERE ecosystem IS NOT NULL GROUP BY 1")
+def _(s, d):
+    import tempfile
+
+    # two runs over the same partitions: the second goes on after the first two
+    with tempfile.TemporaryDirectory() as folder:
+        store, x = progress.CheckpointStore(folder), N.counts(t(s, d, "samples").where("metadata.ecosystem is not null"), {"ecosystem": F.lower("metadata.ecosystem")})
+        parts = sorted(r[0] for r in x.select("ecosystem").collect())
+        out = []
+        for most in (2, len(parts)):
+            done = (store.load("counts") or {"done": []})["done"]
+            for p in [p for p in parts if p not in done][:most]:
+                out.append(x.where(F.col("ecosystem") == p))
+                done = [*done, p]
+                store.save("counts", {"done": done})
+    return R.union_all(out)
+
+
 @query("gr10_definitions")
 def _(s, d):
     py = t(s, d, "repo_commits").where(X.source_language("language", "file_path") == "python")

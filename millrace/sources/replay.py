@@ -1,7 +1,9 @@
-"""A data source of captured service pages: JSON files in a folder, one partition per page, filters pushed to the reader.
+"""Sources of captured service pages and Git histories.
 
-Services that were paged by offset, token or cursor are captured as page files named <keyword>__<n>.json, each with a
-list of documents. Equality filters on `keyword` choose files before anything is read.
+Services that are asked by primary key, page token, offset or cursor are captured as page files named
+<keyword>__<n>.json, each with a list of documents. A filter on `keyword` or a range of `page` chooses files before
+anything is read; filters on doc_id, severity, ecosystem and a window of `published` choose documents before they
+leave the reader. Any folder that driver and executors see will do.
 """
 
 from __future__ import annotations
@@ -12,52 +14,34 @@ import os
 import subprocess
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import plugins
 
-class Page(InputPartition):
-    def __init__(self, path: str, keyword: str, number: int):
-        super().__init__(path)
-        self.path, self.keyword, self.number = path, keyword, number
 
+class CapturedPages(plugins.Collector):
+    name = "captured_pages"
+    schema = "keyword string, page int, ordinal int, doc_id string, published string, severity string, ecosystem string, document string"
+    pushed = ("keyword", "page", "doc_id", "published", "severity", "ecosystem")
 
-class CapturedPages(DataSource):
-    @classmethod
-    def name(cls):
-        return "captured_pages"
-
-    def schema(self):
-        return "keyword string, page int, ordinal int, document string"
-
-    def reader(self, schema):
-        return _PageReader(self.options)
-
-
-class _PageReader(DataSourceReader):
-    def __init__(self, options):
-        self.folder = options["path"]
-        self.keyword = None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("keyword",):
-                self.keyword = f.value
-            yield f  # Spark still applies it
-
-    def partitions(self):
+    def partitions(self, wanted):
         out = []
-        for path in sorted(glob.glob(os.path.join(self.folder, "*__*.json"))):
+        for path in sorted(glob.glob(os.path.join(self.options["path"], "*__*.json"))):
             keyword, _, n = os.path.basename(path)[:-5].rpartition("__")
-            if n.isdigit() and (self.keyword is None or keyword == self.keyword):
-                out.append(Page(path, keyword, int(n)))
-        return out
-
-    def read(self, partition):
-        if partition is None or not getattr(partition, "path", None):
-            return
-        with open(partition.path, encoding="utf-8") as f:
+            if n.isdigit():
+                row = {"keyword": keyword, "page": int(n)}
+                files_only = plugins.Wanted(*({c: v for c, v in part.items() if c in row} for part in (wanted.equal, wanted.least, wanted.most)))
+                if files_only.admits(row):
+                    out.append((path, keyword, int(n)))
+        return sorted(out, key=lambda p: (p[1], p[2]))
+
+    def rows(self, partition, wanted):
+        path, keyword, n = partition
+        with open(path, encoding="utf-8") as f:
             for i, doc in enumerate(json.load(f)):
-                yield partition.keyword, partition.number, i, json.dumps(doc, ensure_ascii=False)
+                fields = doc if isinstance(doc, dict) else {}
+                text = lambda *names: next((str(fields[k]) for k in names if fields.get(k) is not None), None)
+                yield {"keyword": keyword, "page": n, "ordinal": i, "doc_id": text("id", "ghsaId", "cve_id"), "published": text("published", "publishedAt", "published_at"), "severity": text("severity"), "ecosystem": text("ecosystem"), "document": json.dumps(doc, ensure_ascii=False)}
 
 
 class GitHistory(DataSource):
@@ -85,13 +69,19 @@ class _GitReader(DataSourceReader):
     def read(self, partition):
         repo = partition.value
         cmd = ["git", "-c", "safe.directory=*", "-C", repo, "log", "--format=%H%x1f%cI%x1f%B%x1e", *([f"--since={self.since}"] if self.since else [])]
-        text = subprocess.run(cmd, capture_output=True, text=True, check=True).stdout
-        for rec in text.split("\x1e"):
-            parts = rec.strip("\n").split("\x1f")
-            if len(parts) == 3:
-                yield repo, parts[0], parts[1], parts[2].strip()
+        # the log is read as it comes, never as a whole
+        with subprocess.Popen(cmd, stdout=subprocess.PIPE, text=True, encoding="utf-8", errors="replace") as git:
+            held = ""
+            for chunk in iter(lambda: git.stdout.read(1 << 16), ""):
+                *records, held = (held + chunk).split("\x1e")
+                for rec in records:
+                    parts = rec.strip("\n").split("\x1f")
+                    if len(parts) == 3:
+                        yield repo, parts[0], parts[1], parts[2].strip()
+        if git.returncode:
+            raise RuntimeError(f"git log failed in {repo}")
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(CapturedPages)
+    plugins.register(spark, CapturedPages)
     spark.dataSource.register(GitHistory)

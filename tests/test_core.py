@@ -305,6 +305,14 @@ def test_replayed_pages_and_history(spark, tmp_path):
     df = spark.read.format("captured_pages").load(str(tmp_path))
     assert df.count() == 4
     assert [r["document"] for r in df.where("keyword = 'xss'").collect()] == ['{"id": 4}']
+    more = [{"id": f"A{i}", "published": f"203{i}-01-01", "severity": "HIGH" if i % 2 else "LOW", "ecosystem": "npm"} for i in range(6)]
+    (tmp_path / "adv__10.json").write_text(json.dumps(more))
+    assert [r["doc_id"] for r in df.where("published >= '2031' and published < '2034-06' and severity = 'HIGH' and ecosystem = 'npm'").collect()] == ["A1", "A3"]
+    assert df.where("doc_id = 'A5'").count() == 1 and df.where("page > 1").count() == 6 and df.where("published is null").count() == 4
+    wanted = replay.plugins.Wanted({"keyword": "sql"}, {"page": 1}, {})
+    assert [p[1:] for p in replay.CapturedPages({"path": str(tmp_path)}).partitions(wanted)] == [("sql", 1)]
+    with pytest.raises(ValueError):
+        replay.plugins.register(spark, type("Other", (replay.plugins.Collector,), {"name": "captured_pages", "schema": "a int"}))
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if os.path.isdir(os.path.join(here, ".git")):
         assert spark.read.format("git_history").option("repos", here).load().count() > 0
@@ -487,3 +495,44 @@ def test_gate_moves_each_row_once(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "g/synced"))
     assert done.count() == done.select("id").distinct().count() == 40 and done.select("sync").distinct().count() == 2
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "g/ledger")).select("rows").collect()) == [20, 20]
+
+
+def test_checkpoints(spark, tmp_path):
+    from millrace.streaming import progress
+
+    store = progress.CheckpointStore(str(tmp_path / "c"))
+    assert store.load("a") is None and store.names() == [] and store.info("a") is None and store.delete("a") is False
+    store.save("a", {"n": 1})
+    store.save("a", {"n": 2, "page": "x"})
+    assert store.load("a") == {"n": 2, "page": "x"} and store.names() == ["a"] and store.info("a")["keys"] == ["n", "page"]
+    with store.lock("a"), pytest.raises(TimeoutError), store.lock("a", wait=0.1):
+        pass
+    (tmp_path / "c" / "a.json").write_text('{"state": ')
+    assert store.load("a") is None and store.delete("a") is True
+    with pytest.raises(ValueError):
+        store.save("../x", {})
+    work = spark.range(6).withColumn("k", F.col("id") % 2)
+    path = str(tmp_path / "done")
+    assert progress.remaining(work, path, ["id"]).count() == 6
+    for _ in range(2):
+        progress.mark_done(work.where("id < 2").select("id"), path)
+    assert [r[0] for r in progress.remaining(work, path, ["id"]).orderBy("id").select("id").collect()] == [2, 3, 4, 5]
+
+
+def test_documents_definitions_and_registry(spark, tmp_path):
+    from millrace.functions import models
+
+    (tmp_path / "a.json").write_text("{")
+    with pytest.raises(ValueError):
+        files.read_json_document(str(tmp_path / "a.json"))
+    with pytest.raises(FileNotFoundError):
+        files.read_json_document(str(tmp_path / "b.json"))
+    (tmp_path / "a.json").write_text('{"x": [1]}')
+    assert files.read_json_document(str(tmp_path / "a.json")) == {"x": [1]}
+    code = "class A:\n    def f(self):\n        def g(): pass\n@app.get('/x')\nasync def h(): pass\n"
+    df = spark.createDataFrame([(1, code), (2, "def ("), (3, None)], "i int, code string")
+    got = sorted((r["kind"], r["name"], r["owner"], r["route"]) for r in graph.definitions(df, "i", "code").collect())
+    assert got == sorted([("class", "A", None, None), ("function", "f", "A", None), ("function", "g", "A", None), ("route", "h", None, "/x")], key=lambda r: r[:2])
+    assert "hashed-64" in models.BACKBONES.names() and models.BACKBONES.facts("HASHED-64")["dims"] == 64
+    with pytest.raises(KeyError):
+        models.BACKBONES.build("other")
