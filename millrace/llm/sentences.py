@@ -101,7 +101,7 @@ def _trimmed(text, kind, a, b):
 def _blocks(text: str):
     """The same line by line, for texts with fences or unusual line ends and for stretches with headings or items."""
     lines, at = [], 0
-    for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)|(?<=[  \x0b\x0c\x85])", text):
+    for line in text.splitlines(keepends=True):
         lines.append((at, at + len(line)))
         at += len(line)
 
