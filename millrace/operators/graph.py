@@ -10,24 +10,43 @@ from pyspark.sql import functions as F
 from ..runtime import settle
 
 
+#: Steps that one job takes before what is reached is written to the shared folder.
+STEPS_A_JOB = 6
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int, keep_start: bool = False) -> DataFrame:
     """(start, node, depth): nodes within `depth` steps of each start, with the least number of steps.
 
-    edges (src, dst), starts (start). The frontier moves one step at a time; pairs reached before are anti-joined
-    away, so cycles end and no path is listed. Each step is written to the shared folder. Start nodes themselves are
+    edges (src, dst), starts (start). A step joins what is reached with the edges, and with a loop of length 0 at each
+    node, and keeps the shortest way to each node; so pairs are never listed by path, cycles end, and the steps of
+    STEPS_A_JOB are one job. Beyond those, it goes on only while something new is reached. Start nodes themselves are
     left out unless keep_start, or reached again.
     """
-    e = settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    front = settle(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).where("start is not null").distinct())
-    seen = front
-    found = front if keep_start else front.limit(0)
-    for k in range(1, depth + 1):
-        step = front.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(k).alias("depth")).distinct()
-        front = settle(step.join(found.select("start", "node"), ["start", "node"], "left_anti") if not keep_start else step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen, found = seen.unionByName(front), found.unionByName(front)
-    return found
+    own = starts.select("start").where("start is not null").distinct()
+    pairs = edges.select("src", "dst").where("src is not null and dst is not null")
+    both = pairs.select(F.explode(F.array(F.struct("src", "dst", F.lit(1).alias("far")), F.struct(F.col("dst").alias("src"), "dst", F.lit(0).alias("far")))).alias("e")).select("e.*")
+    e = settle(both.unionByName(own.select(F.col("start").alias("src"), F.col("start").alias("dst"), F.lit(0).alias("far"))).distinct())
+
+    def step(held, k, far):
+        joined = held.join(e.where("far = 1") if far else e, F.col("node") == F.col("src"))
+        # only what the last step reached goes further
+        ways = joined.where((F.col("far") == 0) | (F.col("depth") == k - 1)).select("start", F.col("dst").alias("node"), (F.col("depth") + F.col("far")).alias("depth"))
+        return ways.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+
+    first = own.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
+    if depth < 1:
+        return first if keep_start else first.limit(0)
+    held = step(first, 1, not keep_start)
+    last = None
+    for k in range(2, depth + 1):
+        held = step(held, k, False)
+        if k % STEPS_A_JOB == 0 and k < depth:
+            held = settle(held)
+            now = held.count()
+            if now == last:
+                break
+            last = now
+    return held
 
 
 def between(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
