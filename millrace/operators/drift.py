@@ -33,10 +33,13 @@ def _refuse(text):
     raise ValueError(text)
 
 
+_DECODER = json.JSONDecoder(parse_constant=_refuse)
+
+
 def parse(text: str | None):
     """A strict JSON object, or None: NaN and Infinity, other values and nesting beyond the parser's depth are refused."""
     try:
-        got = json.loads(text, parse_constant=_refuse) if text else None
+        got = _DECODER.decode(text) if text else None
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
