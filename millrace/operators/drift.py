@@ -45,16 +45,18 @@ def parse(text: str | None):
     return got if isinstance(got, dict) else None
 
 
-def fields(obj: dict):
+def fields(obj: dict) -> list:
     """(path, value) of every value that is neither an object nor null; of a repeated key the last."""
-    stack = [("", obj)]
+    out = [(k, v) for k, v in obj.items() if v is not None and v.__class__ is not dict]
+    stack = [(k + ".", v) for k, v in obj.items() if v.__class__ is dict]
     while stack:
         prefix, o = stack.pop()
         for k, v in o.items():
-            if isinstance(v, dict):
+            if v.__class__ is dict:
                 stack.append((prefix + k + ".", v))
             elif v is not None:
-                yield prefix + k, v
+                out.append((prefix + k, v))
+    return out
 
 
 def _digest(v) -> int:
@@ -314,6 +316,8 @@ def columns_of(cat: DataFrame, aliases: DataFrame) -> tuple[DataFrame, dict[str,
 
 _SQL = {"string": "string", "integer": "long", "decimal": "double", "boolean": "boolean", "array": "array<string>"}
 REST = "unfit_values"
+#: Aliases of all files that are broadcast, about 10 MB; with more, lines and aliases are shuffled by file.
+BROADCAST_ENTRIES = 100_000
 
 
 def unified(lines: DataFrame) -> DataFrame:
@@ -334,7 +338,10 @@ def unified(lines: DataFrame) -> DataFrame:
             n += "_"
         seen.add(n.lower())
         names[i] = n
-    renamed = each.where("path <> column").groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("path", "column"))).alias("aliases"))
+    renamed = settle(each.where("path <> column").groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("path", "column"))).alias("aliases")))
+    entries = renamed.agg(F.sum(F.size("aliases"))).first()[0] or 0
+    if entries <= BROADCAST_ENTRIES:
+        renamed = F.broadcast(renamed)
     kind_of = {"string": pa.string(), "integer": pa.int64(), "decimal": pa.float64(), "boolean": pa.bool_(), "array": pa.list_(pa.string())}
 
     def build(batches):
