@@ -62,10 +62,17 @@ def _(s, d):
     return x.select("row_id", F.md5(files.first_valid(F.col("fixed_code"), F.col("vulnerable_code"), valid=ok)).alias("h"))
 
 
-@query("sc15_registry_by_ecosystem", "SELECT sample_id, CASE lower(metadata.ecosystem) WHEN 'npm' THEN '$.repository.url' WHEN 'pip' THEN '$.info.home_page' WHEN 'rubygems' THEN '$.source_code_uri' ELSE '$.url' END AS path FROM samples")
+# registry documents of each package, one per ecosystem's shape, looked up by ecosystem and name
+@query("sc15_registry_by_ecosystem", "SELECT sample_id, CASE WHEN lower(metadata.ecosystem) IN ('npm', 'pip', 'rubygems', 'go') THEN 'https://example.org/' || lower(metadata.package_name) END AS url FROM samples WHERE metadata.package_name IS NOT NULL")
 def _(s, d):
-    e = F.lower("metadata.ecosystem")
-    return t(s, d, "samples").select("sample_id", F.when(e == "npm", "$.repository.url").when(e == "pip", "$.info.home_page").when(e == "rubygems", "$.source_code_uri").otherwise("$.url").alias("path"))
+    x = t(s, d, "samples").where("metadata.package_name is not null").select("sample_id", F.lower("metadata.ecosystem").alias("ecosystem"), F.lower("metadata.package_name").alias("package"))
+    url = F.concat(F.lit("https://example.org/"), F.col("package"))
+    shapes = {"npm": F.struct(F.struct(url.alias("url")).alias("repository")), "pip": F.struct(F.struct(url.alias("home_page")).alias("info")), "rubygems": F.struct(url.alias("source_code_uri"))}
+    document = F.to_json(F.struct(url.alias("url")))
+    for name, shape in shapes.items():
+        document = F.when(F.col("ecosystem") == name, F.to_json(shape)).otherwise(document)
+    registry = x.where("ecosystem in ('npm', 'pip', 'rubygems', 'go')").select("ecosystem", "package", document.alias("document")).distinct()
+    return files.registry_urls(x, registry).select("sample_id", "url")
 
 
 @query("sc16_sc23_glob_with_key", "SELECT sample_id, lower(trim(source)) AS source FROM samples WHERE source IS NOT NULL")
@@ -120,15 +127,15 @@ def _(s, d):
     return s.read.schema(x.schema).parquet(path)
 
 
-@query("sk16_graph_tables", "SELECT (SELECT count(DISTINCT s_suppkey) FROM supplier) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey % 50 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE EXISTS (SELECT 1 FROM supplier z WHERE z.s_suppkey = l_partkey % 50))) AS edges")
+@query("sk16_graph_tables", "SELECT s_suppkey AS id, NULL::BIGINT AS dst FROM supplier UNION ALL SELECT * FROM (SELECT DISTINCT l_suppkey, l_partkey % 50 AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE EXISTS (SELECT 1 FROM supplier z WHERE z.s_suppkey = l_partkey % 50))")
 def _(s, d):
     nodes = t(s, d, "supplier").select(F.col("s_suppkey").alias("id"))
     edges = t(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst")).distinct()
     edges = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     path = _new(s, "graph")
     writers.graph_tables(nodes, edges, path)
-    e = s.read.parquet(f"{path}/edges").agg(F.count("*"))
-    return s.read.parquet(f"{path}/nodes").agg(F.count("*").alias("nodes")).withColumn("edges", e.scalar())
+    n, e = s.read.parquet(f"{path}/nodes"), s.read.parquet(f"{path}/edges")
+    return n.select("id", F.lit(None).cast("long").alias("dst")).unionByName(e.select(F.col("src").alias("id"), "dst"))
 
 
 # ---- rows and scores ------------------------------------------------------------------------------------------------

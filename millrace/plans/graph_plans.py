@@ -274,10 +274,9 @@ def _(s, d):
     return S.run_to_table(w.select(F.unix_micros("start").alias("start"), "event_type", "n"), "complete")
 
 
-@query("ss6_stream_changes", "SELECT user_id, count(*) AS n FROM (SELECT user_id, coalesce(event_type, '') AS c, lag(coalesce(event_type, '')) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR c <> p GROUP BY 1")
+@query("ss6_stream_changes", "SELECT user_id, event_id, c AS event_type FROM (SELECT user_id, event_id, coalesce(event_type, '') AS c, lag(coalesce(event_type, '')) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR c <> p")
 def _(s, d):
-    x = S.changes(S.event_stream(s, d).select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
-    return S.run_to_table(x, "append").groupBy("user_id").agg(F.count("*").alias("n"))
+    return S.run_to_table(S.changes(S.event_stream(s, d).select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type"), "append")
 
 
 @query("ss7_stream_debounce")

@@ -315,9 +315,11 @@ def _(s, d):
     return t(s, d, "documents").where("text is not null").select("doc_id", X.last_match("text", r"(\d+\.\d+)").alias("last_number"))
 
 
-@query("ar1_ar2_token_chain", r"SELECT row_id, least(512, len(list_filter(regexp_split_to_array(code, '\s+'), lambda x: x <> ''))) AS n_tokens, 2 * greatest(0, least(512, len(list_filter(regexp_split_to_array(code, '\s+'), lambda x: x <> ''))) - 1) AS n_edges FROM train_split WHERE code IS NOT NULL")
+@query("ar1_ar2_token_chain", r"SELECT row_id, md5(array_to_string(w, chr(31))) AS tokens, CASE WHEN len(w) > 1 THEN array_to_string(list_transform(range(0, len(w) - 1), lambda i: i || '>' || (i + 1) || ' ' || (i + 1) || '>' || i), ' ') ELSE '' END AS edges FROM (SELECT row_id, (list_filter(regexp_split_to_array(code, '\s+'), lambda x: x <> ''))[1:512] AS w FROM train_split WHERE code IS NOT NULL)")
 def _(s, d):
-    return t(s, d, "train_split").where("code is not null").select("row_id", X.token_chain("code").alias("g")).select("row_id", F.size("g.tokens").cast("long").alias("n_tokens"), F.size("g.edges").cast("long").alias("n_edges"))
+    x = t(s, d, "train_split").where("code is not null").select("row_id", X.token_chain("code").alias("g"))
+    edges = F.array_join(F.transform("g.edges", lambda e: F.concat_ws(">", e[0].cast("string"), e[1].cast("string"))), " ")
+    return x.select("row_id", F.md5(F.array_join("g.tokens", "\x1f")).alias("tokens"), edges.alias("edges"))
 
 
 def queries() -> dict:

@@ -166,6 +166,21 @@ def read_through(wanted: DataFrame, cache: DataFrame, key: str, value: str) -> t
     return wanted.join(have, key), wanted.join(have, key, "left_anti")
 
 
+#: Where the registry of an ecosystem has a package's repository; elsewhere at the first path of the rest.
+REPOSITORY_PATHS = {"npm": "$.repository.url", "pip": "$.info.home_page", "rubygems": "$.source_code_uri"}
+
+
+def registry_urls(wanted: DataFrame, registry: DataFrame) -> DataFrame:
+    """wanted (ecosystem, package, ...) with `url` from the registry's document of that package, null without one.
+
+    registry (ecosystem, package, document): one JSON document per package, in the shape of its ecosystem.
+    """
+    url = F.get_json_object("document", "$.url")
+    for name, path in REPOSITORY_PATHS.items():
+        url = F.when(F.col("ecosystem") == name, F.get_json_object("document", path)).otherwise(url)
+    return wanted.join(registry.select("ecosystem", "package", url.alias("url")), ["ecosystem", "package"], "left")
+
+
 def first_valid(*candidates: Column, valid) -> Column:
     """The first of several texts that is valid."""
     return F.coalesce(*(F.when(valid(c), c) for c in candidates))
