@@ -290,8 +290,9 @@ def split_groups(samples: DataFrame, shares: dict[str, float] | None = None, bin
     chunk = F.pmod(F.xxhash64("group_id"), F.col("chunks")).cast("int")
     dealt = settle(in_stratum.select("group_id", "n", "stratum", chunk.alias("chunk")).groupBy("stratum", "chunk").applyInPandas(deal, "group_id long, n long, stratum string, chunk int, bin int"))
     plan = place(dealt.groupBy("stratum", "chunk", "bin").agg(F.sum("n").alias("n")), shares, bins)
-    placed = settle(dealt.join(plan, ["stratum", "chunk", "bin"]).select("group_id", "split", "n"))
-    return skew_safe_lookup(joined.select("sample_id", "group_id"), placed, "group_id", "n", joined.count()).select("sample_id", "group_id", "split")
+    # groups grow with the rows: small as they may look in a file, they are not broadcast
+    placed = settle(dealt.hint("merge").join(plan, ["stratum", "chunk", "bin"]).select("group_id", "split", "n"))
+    return skew_safe_lookup(joined.select("sample_id", "group_id"), placed.hint("merge"), "group_id", "n", joined.count()).select("sample_id", "group_id", "split")
 
 
 def split_report(samples: DataFrame, shares: dict[str, float] | None = None, bins: int = BINS) -> DataFrame:
