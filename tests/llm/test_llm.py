@@ -200,6 +200,26 @@ def test_overlaps_by_brute_force(spark, seed):
     assert {tuple(r) for r in overlap.found_overlaps(*dfs).collect()} == want
 
 
+def test_overlaps_in_parts_and_blocks(spark, monkeypatch):
+    """Runs and classes of many rows cut into parts, and the evaluation side taken in blocks, give the same pairs."""
+    rng = random.Random(8)
+    base = [" ".join(rng.choice("abcdef") for _ in range(rng.choice([3, 4, 9, 12]))) for _ in range(12)]
+    side = lambda n, at: [(at + i, rng.choice(base) + rng.choice(["", " z", " a b"])) for i in range(n)]
+    left, right = side(60, 0), side(25, 1000)
+    want = set()
+    for i, a in left:
+        for j, b in right:
+            x, y = runs(a), runs(b)
+            if x and y and len(x & y) >= 0.6 * len(x | y) - 1e-9:
+                want.add((i, j))
+    df = [spark.createDataFrame(x, "id long, code string") for x in (left, right)]
+    monkeypatch.setattr(overlap, "ROWS_A_PART", 3)
+    assert {(r["left_id"], r["right_id"]) for r in overlap.similar_pairs(*df).collect()} == want
+    monkeypatch.setattr(overlap, "RANGE_BITS", overlap.BITS_PER_ROW * 60)
+    got = [(r["left_id"], r["right_id"]) for r in overlap.similar_pairs(*df).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 50
+
+
 def test_overlap_edges(spark):
     empty = spark.createDataFrame([], ROWS)
     one = spark.createDataFrame([(1, "a b", ("s",), "x"), (2, None, None, None), (3, "word " * 5000, ("s",), "x")], ROWS)
