@@ -26,6 +26,7 @@ def queries() -> dict:
         "p7_pack": lambda s, d: packing.pack(t(s, d, "documents"), t(s, d, "pack_limits")),
         "p7_report": lambda s, d: packing.pack_report(t(s, d, "documents"), t(s, d, "pack_limits")),
         "p8_found": lambda s, d: leakage.found_leaks(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p8_leaks": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_report": lambda s, d: leakage.leak_report(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_found": lambda s, d: sentences.found_sentences(t(s, d, "documents")),
     }

@@ -1,7 +1,9 @@
 """Problem operators against brute force on small fixtures, edges included."""
 
 import ast
+import collections
 import datetime
+import functools
 import glob
 import itertools
 import json
@@ -473,6 +475,64 @@ def test_simhash_slides():
     assert leakage.simhash_windows(h, 12).tolist() == direct
 
 
+@pytest.mark.parametrize("size", [100_000, 50])
+def test_leaks_with_changed_words(spark, monkeypatch, size):
+    """One search finds unbroken and changed passages; the query of unbroken ones is a part of its rows."""
+    monkeypatch.setattr(leakage, "item_blocks", functools.partial(leakage.item_blocks, size=size))
+    texts = {i: [f"w{i}x{k}" for k in range(80)] for i in (1, 2, 3)}
+    changed = {i: ["new" if k % 20 == 10 else w for k, w in enumerate(ws)] for i, ws in texts.items()}
+    items = spark.createDataFrame([(i, " ".join(ws), "zh") for i, ws in texts.items()] + [(4, "too short", None), (5, None, None)], "item_id long, text string, lang string")
+    pad = " ".join(f"pad{k}" for k in range(40))
+    docs = [(10, changed[1]), (11, texts[2][5:30]), (12, changed[1] + texts[1][:24] + changed[3]), (13, texts[1][:23]), (13, changed[2]), (14, changed[2][:20] + changed[3][20:40])]
+    docs = spark.createDataFrame([(d, f"{pad}. {', '.join(ws)} {pad}") for d, ws in docs] + [(15, None), (16, "")], "doc_id long, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(leakage.leaks(docs, items)) == [(10, 1, False), (11, 2, True), (12, 1, True), (12, 3, False), (13, 2, False)]
+    assert rows(leakage.found_leaks(docs, items)) == [(11, 2), (12, 1)]
+    assert rows(leakage.leaks(docs, items, radius=0)) == [(11, 2, True), (12, 1, True)], "the radius counts"
+    assert rows(leakage.leaks(docs, items, similarity=0.99)) == [(11, 2, True), (12, 1, True)], "so does the similarity"
+    empty = leakage.leaks(docs, items.limit(0))
+    assert empty.columns == ["doc_id", "item_id", "unbroken"] and empty.count() == 0
+
+
+def test_shares_of_shingles_against_sets():
+    rng = np.random.default_rng(3)
+    vocabulary = leakage.word_hashes([f"w{i}" for i in range(25)])
+    items = [(i % 7, rng.choice(vocabulary[:20], 30), 12) for i in range(10)]
+    ix = leakage.Index(items, 7, 0.5)
+    s, doc = ix.spans[12], rng.choice(vocabulary, 200)
+    pairs = lambda h: set(zip(h.tolist(), h[1:].tolist()))
+    has = collections.Counter(p for i in range(7) for p in set().union(*(pairs(h) for j, h, _ in items if j == i)))
+    weigh = lambda ps: sum(np.log1p(7 / has[p]) if p in has else np.log1p(7) for p in ps)
+    at, start = rng.integers(0, 189, 400), rng.choice(s["start"], 400)
+    got = ix.alike(ix.numbers(leakage.window_keys(doc, 2)), at, s, start, 12)
+    for share, d, w in zip(got, at, start):
+        x, y = pairs(doc[d : d + 12]), pairs(s["words"][w : w + 12])
+        assert abs(share - weigh(x & y) / weigh(x | y)) < 1e-9
+    assert got.max() > 0 == got.min()
+
+
+@pytest.mark.parametrize("radius", [0, 2, 4, 9])
+def test_candidates_come_once(radius):
+    rng = np.random.default_rng(radius)
+    vocabulary = leakage.word_hashes([f"w{i}" for i in range(40)])
+    ix = leakage.Index([(i, rng.choice(vocabulary, 40), 12) for i in range(20)], radius)
+    s = ix.spans[12]
+    fp = np.concatenate([s["fp"] ^ (np.uint64(1) << rng.integers(0, 64, len(s["fp"]), dtype=np.uint64)) for _ in range(2)] + [s["fp"]])
+    got = [p for d, i in ix.candidates(fp, s) for p in zip(d.tolist(), i.tolist())]
+    apart = np.bitwise_count(fp[:, None] ^ s["fp"][None, :])
+    assert sorted(got) == list(zip(*(x.tolist() for x in np.nonzero(apart <= radius)))) and got
+
+
+def test_no_window_spans_two_texts():
+    ws = leakage.word_hashes([f"w{i}" for i in range(40)])
+    block = [(7, ws, 12)]
+    whole, near = leakage.Index(block, 0), leakage.Index([(7, ws, 32)], 7, 0.7)
+    assert leakage.leaks_of([ws[:11], ws[11:22], ws[:0], ws[22:33]], whole, near) == []
+    assert leakage.leaks_of([ws[:11], ws[11:23], ws[:0], ws[5:40]], whole, near) == [(1, 7, True), (3, 7, True)]
+    long = np.tile(leakage.word_hashes(["x", "y"]), 150)
+    assert leakage.simhash_windows(long, 300).tolist() == [np.packbits(np.unpackbits(long.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0) * 2 > 300, bitorder="little").view(np.uint64)[0]]
+
+
 # ---- 9: sentences ---------------------------------------------------------------------------------------------------
 def trained():
     m = sentences.Model()
